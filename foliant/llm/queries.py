@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, lookalike, repetition
+from . import encoding, lookalike, repetition, sentences
 from .common import read
 
 
@@ -23,6 +23,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(read(spark, d, "choose_best_page_text"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(read(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
 
 ORACLE_SQL: dict[str, str] = {}
