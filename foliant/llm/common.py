@@ -110,18 +110,8 @@ def frequent(vocab: DataFrame, share: float) -> dict[str, int]:
     return dict(vocab.where(F.col("cnt") >= F.lit(max(2.0, share * total))).select("word", "cnt").toPandas().itertuples(index=False, name=None))
 
 
-#: What a scanner reads -> what was printed (shapes commonly mistaken for each other).
-SCAN_CONFUSIONS = (
-    ("0", "o"), ("1", "l"), ("1", "i"), ("|", "i"), ("|", "l"), ("!", "i"), ("!", "l"), ("5", "s"), ("$", "s"),
-    ("8", "b"), ("6", "b"), ("9", "g"), ("9", "q"), ("@", "a"), ("4", "a"), ("3", "e"), ("7", "t"), ("2", "z"),
-    ("†", "t"), ("€", "e"), ("¢", "c"), ("ſ", "f"), ("c", "e"), ("e", "c"), ("l", "i"), ("i", "l"),
-    ("cl", "d"), ("rn", "m"), ("ri", "n"), ("ii", "u"), ("vv", "w"), ("li", "h"), ("in", "m"), ("nn", "m"), ("lc", "k"),
-    ("h", "b"), ("b", "h"), ("f", "t"), ("t", "f"), ("u", "n"), ("n", "u"),
-    ("0", "о"), ("8", "в"), ("3", "з"), ("6", "б"), ("4", "ч"), ("и", "н"), ("н", "и"), ("п", "л"), ("л", "п"), ("c", "с"), ("ш", "т"), ("ц", "и"),
-)
-
 #: Classes of single shapes a scanner mixes up; the first stands for all.
-SCAN_CLASSES = ("o0о", "l1|!iі", "s5$", "b86hвб", "g9q", "a@4ч", "ec3€¢зсе", "tf7†ſ", "z2", "nu", "иНнц", "пл")
+SCAN_CLASSES = ("o0о", "l1|!iі", "s5$", "b86hóвб", "g9q", "a@4ч", "ec3€зсе", "tf7†ſ", "z2", "nu", "ç¢", "ãä", "íï", "õö", "úü", "инц", "пл")
 SCAN_JOINED = (("cl", "d"), ("rn", "m"), ("ri", "n"), ("vv", "w"), ("ii", "u"))
 SCAN_FOLD = {ord(x): c[0] for c in SCAN_CLASSES for x in c}
 
