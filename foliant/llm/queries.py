@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, lookalike, repetition, scan_noise, sentences
+from . import encoding, lookalike, personal, repetition, scan_noise, sentences
 from .common import read
 
 
@@ -22,6 +22,14 @@ def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scan_noise.repaired(*_scans(spark, d))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find(read(spark, d, "choose_best_page_text"))
+
+
+def p2_replaced(spark: SparkSession, d: str) -> DataFrame:
+    return personal.replaced(read(spark, d, "choose_best_page_text"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     found = encoding.damaged(read(spark, d, "choose_best_page_text"), read(spark, d, "page_audit"))
     return found.select("field_name", "rec_id").distinct()
@@ -39,6 +47,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
 
 ORACLE_SQL: dict[str, str] = {}
