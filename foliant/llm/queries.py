@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import encoding, lookalike, personal, repetition, scan_noise, sentences
+from . import encoding, lookalike, mixing, packing, personal, repetition, scan_noise, sentences
 from .common import read
 
 
@@ -43,10 +43,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(read(spark, d, "choose_best_page_text"))
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.assign(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
+
+
+def p6_slack(spark: SparkSession, d: str) -> DataFrame:
+    kinds = read(spark, d, "pack_sizes")
+    return packing.slack(packing.assign(read(spark, d, "documents"), kinds), kinds)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(p7_mix(spark, d))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_slack": p6_slack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
 
 ORACLE_SQL: dict[str, str] = {}
