@@ -142,16 +142,33 @@ def automaton(table: dict[str, str]):
     return a, frozenset(needs)
 
 
-def rewrite(text: str, auto) -> str:
-    """Greedy, leftmost longest; what a removed mark joined is looked at again."""
-    auto, needs = auto
-    for _ in range(4):
+def rewrite(text: str, auto, memo: dict[str, str] | None = None) -> str:
+    """Greedy, leftmost longest, piece by piece between blanks; a piece seen before is looked up."""
+    tree, needs = auto
+    if needs.isdisjoint(text):
+        return text
+    memo = {} if memo is None else memo
+    out = []
+    for piece in text.split(" "):
+        if needs.isdisjoint(piece):
+            out.append(piece)
+            continue
+        done = memo.get(piece)
+        if done is None:
+            if len(memo) > 200_000:
+                memo.clear()
+            done = memo[piece] = _rewrite(piece, tree, needs)
+        out.append(done)
+    return " ".join(out)
+
+
+def _rewrite(text: str, tree, needs: frozenset[str]) -> str:
+    for _ in range(4):  # what a removed mark joined is looked at again
         if needs.isdisjoint(text):
             return text
         out, at = [], 0
-        for end, (n, v) in auto.iter_long(text):
-            start = end - n + 1
-            out.append(text[at:start])
+        for end, (n, v) in tree.iter_long(text):
+            out.append(text[at : end - n + 1])
             out.append(v)
             at = end + 1
         if not out:
@@ -203,10 +220,10 @@ def consistent(pages: DataFrame, table: dict[str, str] | None = None) -> DataFra
         import pyarrow as pa
 
         if "auto" not in maker:
-            maker["auto"] = automaton(table)
-        auto = maker["auto"]
+            maker["auto"], maker["memo"] = automaton(table), {}
+        auto, memo = maker["auto"], maker["memo"]
         for b in batches:
-            forms = [rewrite(t, auto) for t in b.column("text").to_pylist()]
+            forms = [rewrite(t, auto, memo) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("field_name", "layer_id", "stored")), pa.array(forms, pa.string())], names=["field_name", "layer_id", "stored", "form"])
 
     rows = rows.select("field_name", "layer_id", F.xxhash64("text").alias("stored"), "text")
