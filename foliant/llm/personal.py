@@ -173,9 +173,15 @@ def name_candidates(t: str, locals_: list[str]):
         words = [w for w in re.split(r"[\s,]+", m[0]) if w and w not in PARTICLES]
         if len(words) < 2 or "\n" in m[0]:  # a line's end may part two fields
             continue
+        start = m.start()
         if "," in m[0]:
             words = words[1:] + words[:1]
-        left = [w.lower().strip(".:,;()") for w in t[max(0, m.start() - 30) : m.start()].split()][-2:]
+        elif len(words) == 3 and t[:start].rstrip()[-1:] in _STOPS:
+            start = m.start() + len(words[0])  # the first word of a sentence is taken as context
+            words = words[1:]
+            if words[0] not in m[0][len(m[0].split()[0]) :].split()[:1]:
+                continue
+        left = [w.lower().strip(".:,;()") for w in t[max(0, m.start() - 30) : start].split()][-2:]
         right = t[m.end() : m.end() + 24].split()[:2]
         first, last = fold(words[0]), fold(words[-1])
         seed = -1
@@ -183,11 +189,14 @@ def name_candidates(t: str, locals_: list[str]):
             seed = 0
         elif right and right[0].lower().strip(".,;:") in NOT_PERSONS:
             seed = 0
-        elif any(first in x and (last in x or last[:3] in x) or x.startswith(first) or last in x for x in locals_) and len(first) > 2:
+        elif len(first) > 2 and any(x.startswith(first) or (first in x and last[:3] in x) or (x[:1] == first[:1] and x[1:] == last) for x in locals_):
             seed = 1
         yield f"{first} {last}", " ".join(left) or "^", " ".join(right).lower() or "$", seed
 
 
+_STOPS = frozenset(["", ".", "!", "?", "\n"])
+
+
 @dataclass
 class Learned:
     """What the graph says, each table bounded by SUPPORT."""

@@ -34,7 +34,7 @@ _END = re.compile(rb"[.!?;\n]+\s*")
 #: What is left of a number.
 _ZERO = "\xd8"
 #: Below U+3000 all but letters, digits and blanks goes; shapes a scanner mixes up come together.
-_COMPARE = {i: None for i in range(0x3000) if not (chr(i).isalnum() or chr(i).isspace())} | {ord("_"): None, 0xFEFF: None, 0xA0: " ", ord(_ZERO): _ZERO} | SCAN_FOLD
+_COMPARE = {i: None for i in range(0x3000) if not (chr(i).isalnum() or chr(i).isspace())} | {ord("_"): None, 0xFEFF: None, 0xA0: " ", ord(_ZERO): _ZERO} | SCAN_FOLD | {ord("!"): None}
 _BYTE = bytes(ord(x) if isinstance(x := _COMPARE.get(i, chr(i)), str) and ord(x) < 256 else i for i in range(256))
 _GONE = bytes(i for i in range(256) if i in _COMPARE and _COMPARE[i] is None)
 

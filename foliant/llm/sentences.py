@@ -226,10 +226,10 @@ def balance(text: str, s: int, e: int) -> float:
         c = m[0]
         if c == '"':
             straight ^= 1
-        elif c in _PAIRS and not (c == "“" and depth and depth[-1] == "“"):
-            depth.append(_PAIRS[c])
         elif depth and c in depth[-1]:
             depth.pop()
+        elif c in _PAIRS:
+            depth.append(_PAIRS[c])
         else:
             bad += 1
     return -3.5 * (len(depth) + bad + straight)
