@@ -29,7 +29,7 @@ OPEN, CLOSE = "([{«“„‘「『（【《〈", ")]}»”’」』）】》〉
 QUOTES = "\"”“»«’'"
 
 _BLANK_LINE = re.compile(r"\n[ \t\r\f\v 　]*(?:\n[ \t\r\f\v 　]*)+")
-_ITEM = re.compile(r"[ \t]*(?:[-•*–—·▪◦‣]|(?:\(?\d{1,3}|\(?[a-zа-яA-ZА-Я]|\(?[ivxIVX]{1,4})[.)])[ \t]+(?=\S)")
+_ITEM = re.compile(r"[ \t]*(?:[-•*–—·▪◦‣]|(?:\(?\d{1,3}|\(?[ivx]{1,4})[.)]|\(?[a-zа-яA-ZА-Я]\))[ \t]+(?=\S)")
 _HEAD = re.compile(r"[ \t]*#{1,6}[ \t]+\S")
 
 #: A candidate: an end mark with the closing marks behind it.
@@ -56,6 +56,13 @@ ABBREVIATIONS = frozenset(
 )
 #: Abbreviations that may also close a sentence.
 CLOSING_ABBREVIATIONS = frozenset("etc ecc usw segs ss co jr ltda a.m p.m s.a s.p.a др д т.д т.п пр руб usf ff sq a.c d.c u.a u.s us cia inc ltd corp".split())
+#: Words that carry on a clause behind quoted speech.
+CONTINUES = frozenset(
+    """e and y und et и que then disse declarou afirmou perguntou respondeu dijo declaró preguntó said asked replied sagte fragte erklärte
+    dit déclara demanda disse dichiarò rispose ha сказал сказала заявил заявила спросил ответил""".split()
+)
+_CLOSED = frozenset(CLOSE + QUOTES)
+_FOLLOW = re.compile(r"[^\W\d_]+")
 _ENUMERATED = frozenset("etc ecc usw".split())
 
 def blocks(text: str):
@@ -116,7 +123,7 @@ def cuts(text: str, a: int, b: int, thai: bool = False) -> list[int]:
                 continue
             elif nxt.isupper():
                 before = text[m.start() - 1 : m.start()]
-                if not before.islower() and not before.isdigit():
+                if not before.islower() and not before.isdigit() and before not in _CLOSED:
                     continue
         out.append(e)
     if thai:
@@ -169,9 +176,13 @@ def gap_score(text: str, a: int, s: int, e: int, b: int, abbreviations: frozense
     if nxt in (",", ";", ":"):
         return -6.0
     word = _WORD_BEFORE.search(text, max(a, k - 24), k)[0]
-    low = word.lower().lstrip("'’-")
+    low = word.lower().replace("’", "'").rpartition("'")[2].lstrip("-")
     if closed:
-        return -4.0 if lower else 3.5
+        if not lower:
+            return 3.5
+        # speech goes on with a verb or "and"; a whole sentence in marks of its own does not
+        follow = _FOLLOW.match(text, j)
+        return -4.0 if nxt in ",;" or (follow and follow[0] in CONTINUES and text[e - 1] != ")") else 1.5
     if len(low) == 1 and low.isalpha():
         if low in CLOSING_ABBREVIATIONS and _TAIL.search(text, max(a, k - 6), k):
             return -1.5 if lower else 2.0
