@@ -56,14 +56,15 @@ _NUM = re.compile(
     rf"(?<![\w/@.,-])(?:\+|\({{0,2}})(?:[OoQ0]?xx[{_D}]{{2}}|[A-Z]{{2}}{_G}{{6}}(?!\w)|{_G}(?=[{_D} .()-]))"
     rf"[{_D}]*(?:(?:[ .\n-]|\)[ \n-]?|[ \n]?\()?(?<=\D){_G}{{2,}}|[./-]{_G}(?!\w)|\){_G}+)*(?:-[A-Z{_D}](?!\w))?"
 )
-_AT = re.compile(r"\s?@\s?|\s?\(\s?(?:arroba|at)\s?\)\s?|\s?\[\s?(?:at|arroba)\s?\]\s?|\s(?:arroba)\s", re.I)
+_AT = re.compile(r"\s?@\s?|\s?[(\[]\s?(?:[Aa]rroba|ARROBA|[Aa]t|AT)\s?[)\]]\s?|\s(?:arroba|ARROBA)\s")
+_DISGUISES = ("arroba", "Arroba", "ARROBA", "(at", "[at", "(AT", "[AT", "( at", "[ at")
 _LOCAL = re.compile(r"[A-Za-z0-9_À-ÿ][\w+-]*(?:\.[\w+-]+)*$")
 _DOMAIN = re.compile(r"[A-Za-z0-9][\w-]*(?:\.[\w-]*\w)+")
 
 
 def mails(t: str):
     """(start, end, local part, domain) of mail addresses, also disguised ones."""
-    if "@" not in t and "arroba" not in (low := t.lower()) and "[at]" not in low and "(at)" not in low:
+    if "@" not in t and not any(x in t for x in _DISGUISES):
         return
     for m in _AT.finditer(t):
         left = _LOCAL.search(t, max(0, m.start() - 64), m.start())
@@ -73,7 +74,7 @@ def mails(t: str):
 
 
 _STREET_PT = r"(?:Rua|R\.|Av\.|Avenida|Avda\.|Travessa|Trav\.|Tv\.|Alameda|Al\.|Rod\.|Rodovia|Estrada|Largo|Praça|Pça\.|C/|Calle|Carrera|Paseo|Plaza)"
-_NO = r"(?:[Nn][º°.o]?\s*[0-9OolISB|]{1,5}|[Ss]\s?/\s?[Nn]|[Kk][Mm]\s*[0-9OolISB|]{1,4}|[0-9OolISB|]{1,5})(?![\w/])"
+_NO = r"(?:(?:[Nn][º°.o]?\s*|[Kk][Mm]\s*)?(?=[OolISB|]*\d)[0-9OolISB|]{1,5}|[Ss]\s?/\s?[Nn])(?![\w/])"
 _PART = r"(?:,\s*(?:apto\.?|ap\.|bloco|casa|sala|lote|fundos|andar|quadra|cj\.?|conj\.?|piso|puerta|flat|apt\.?)\s*\w+|,\s*\d{1,2}\.?º(?:\s?[A-Z](?!\w))?)"
 _CEP = r"(?:,?\s*CEP\s*[0-9OolISB|]{5}-?[0-9OolISB|]{3})"
 _CAPS = r"[A-ZÀ-Ý0-9|@][\w'’|@†-]+(?:\s(?:(?:de|da|do|dos|das|del|la)\s)?[A-ZÀ-Ý][\w'’|@†-]+){0,3}"
@@ -83,9 +84,10 @@ _PARTS = re.compile(rf"{_PART}", re.I)
 _PLACE_AT, _CEP_AT = re.compile(_PLACE), re.compile(_CEP, re.I)
 _ADDRESS_EN = re.compile(r"(?<![\w./-])[0-9OolISB|]{1,5}(?:\s[A-Z][\w'’|@†]+){1,3}\s(?:Lane|Street|St|Road|Rd|Avenue|Ave|Row|Way|Square|Close|Drive|Court|Hill)\b")
 
-_STREETS = ("rua", "r.", "av.", "avenida", "avda", "trav", "tv.", "alameda", "al.", "rod", "estrada", "largo", "praça", "pça", "c/", "calle", "carrera", "paseo", "plaza")
-_STREETS_EN = (" lane", " st", " road", " rd", " ave", " row", " way", " square", " close", " drive", " court", " hill")
-_SAME_WIDTH = {ord(x): y for a, b in LOOK_ALIKE.items() for x, y in zip(a, b)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x2007, 0x202F, 0x2009, 0x200A, 0x3000, 9)}
+#: What an address cannot be without: a number, mark or "s/n" behind a comma that is no decimal one; a number before capitals.
+_NUMBERED = re.compile(r"(?<!\d),\s*(?:(?:[nN][º°.o]?\s*|[kK][mM]\s*)?[OolISB|]{0,4}\d|[sS]\s?/)")
+_NUMBER_FIRST = re.compile(r"\d[OolISB|]?\s[A-Z][\w'’|@†]+\s[A-Z]")
+_SAME_WIDTH = {ord(x): y for a, b in LOOK_ALIKE.items() for x, y in zip(a, b)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x2007, 0x202F, 0x2009, 0x200A, 0x3000)}
 _BREAK = re.compile("(?<=\\w)[-¬=‐\\u00ad][ \\t]*\\n[ \\t]*(?=\\w)|[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
 _WIDE = frozenset(map(chr, _SAME_WIDTH))
 _BREAKS = ("-\n", "¬\n", "=\n", "‐\n", "- \n", *"\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
@@ -153,9 +155,32 @@ def context(t: str, a: int, e: int) -> tuple[str, list[str]]:
     return one, [f"1 {one}", *(f"< {w}" for w in words[-3:-1] if len(w) > 2), "> " + " ".join(behind)]
 
 
+#: A digit with another one near: what a number cannot be without.
+_NEAR = re.compile(r"\d[^,;:\d]{0,4}\d[^,;:\d]{0,5}\d[^,;:\d]{0,6}\d")
+
+
+def _numbers_in(t: str):
+    """Matches of the number pattern, looked for only around digits that are near each other."""
+    at = 0
+    while (w := _NEAR.search(t, at)) is not None:
+        a = w.start()
+        while a > at and w.start() - a < 12 and t[a - 1] in _AROUND:
+            a -= 1
+        m = _NUM.search(t, a, min(len(t), w.end() + 40))
+        if m is None or m.start() >= w.end():
+            at = w.start() + 1 if m is None else w.end()
+            at = max(at, w.end() - 8)
+            continue
+        yield m
+        at = m.end()
+
+
+_AROUND = frozenset("0123456789OolISBZ|x+( .()-/\nABCDEFGHJKLMNPQRTUVWXY")
+
+
 def numbers(t: str):
     """Candidate numbers: (start, end, shape, word before, patterns around)."""
-    for m in _NUM.finditer(t):
+    for m in _numbers_in(t):
         a, b = m.span()
         s = t[a:b]
         while s and s[0] == "(" and s.count("(") > s.count(")"):
@@ -212,9 +237,8 @@ class Learned:
 
 def address_spans(t: str, places: frozenset[str] | None):
     """(start, end) of addresses; without known places, tails are taken up to a line's end."""
-    low = t.lower()
-    for pattern, words in ((_ADDRESS, _STREETS), (_ADDRESS_EN, _STREETS_EN)):
-        if not any(w in low for w in words):
+    for pattern, sign in ((_ADDRESS, _NUMBERED), (_ADDRESS_EN, _NUMBER_FIRST)):
+        if sign.search(t) is None:
             continue
         for m in pattern.finditer(t):
             if pattern is _ADDRESS and not _street_name(m[0]):
@@ -388,6 +412,17 @@ class Finder:
     def __init__(self, known: Learned):
         self.known = known
         self.memo: dict[str, str] = {}
+        self.other: set[str] = set()
+
+    def has_first(self, t: str) -> bool:
+        """Whether a word is a first name; words seen to be none are taken away at once."""
+        for w in set(t.split()) - self.other:
+            if "F" in self.kind(w):
+                return True
+            if len(self.other) > 200_000:
+                self.other.clear()
+            self.other.add(w)
+        return False
 
     def kind(self, word: str) -> str:
         got = self.memo.get(word)
@@ -480,7 +515,7 @@ class Finder:
             kind = self.number_type(sh, one)
             if kind:
                 take(kind, a, e)
-        if any("F" in self.kind(w) for w in set(t.split())) or _INITIAL.search(t):
+        if self.has_first(t) or _INITIAL.search(t):
             for a, e in self.names(t):
                 take("NAME", a, e)
         out.sort(key=lambda x: x[1])
