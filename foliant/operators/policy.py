@@ -62,16 +62,26 @@ def profile(pages: Column, dpi: Column) -> Column:
     return out
 
 
+#: Pages of a file that are ranked in one task; a longer file is ranked in parts whose counts are then added up.
+PART_PAGES = 65_536
+
+
 def plan_batches(pages: DataFrame, cap: Column | int, file_id: str = "file_id", page: str = "page_index") -> DataFrame:
     """Adds run and batch: runs of consecutive pages of a file, cut at cap pages.
 
-    Two window steps over one partitioning by file, so one shuffle.
+    Pages of a file must be distinct.  A file's pages are ranked by parts, so a file that holds a third of all pages is
+    spread over tasks; what is gathered by file is one count a part.
     """
     cap = F.lit(cap) if isinstance(cap, int) else cap
-    by_file = W.partitionBy(file_id).orderBy(page)
-    df = pages.withColumn("run", (F.col(page) - F.row_number().over(by_file)).cast("bigint"))
-    in_run = W.partitionBy(file_id, "run").orderBy(page)
-    return df.withColumn("batch", F.floor((F.row_number().over(in_run) - 1) / cap).cast("bigint"))
+    df = pages.withColumn("_part", F.floor(F.col(page) / PART_PAGES))
+    df = df.withColumn("_rank", F.row_number().over(W.partitionBy(file_id, "_part").orderBy(page)))
+    before = W.partitionBy(file_id).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = df.groupBy(file_id, "_part").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    df = df.join(parts.select(file_id, "_part", "_off"), [file_id, "_part"])
+    df = df.withColumn("run", (F.col(page) - F.col("_off") - F.col("_rank")).cast("bigint"))
+    starts = df.groupBy(file_id, "run").agg(F.min(page).alias("_start"))
+    df = df.join(starts, [file_id, "run"])
+    return df.withColumn("batch", F.floor((F.col(page) - F.col("_start")) / cap).cast("bigint")).drop("_part", "_rank", "_off", "_start")
 
 
 def zip_rendered(batch_pages: Column, rendered: Column) -> Column:

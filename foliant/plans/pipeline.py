@@ -111,11 +111,16 @@ def final_pages(scored: DataFrame, selected: DataFrame, ocr: DataFrame, options:
 
 
 def results(files: DataFrame, pages: DataFrame, errors: DataFrame, options: Options) -> DataFrame:
-    """One row per input file: ok with its page count, or failed with the reason."""
-    n = pages.groupBy(F.col("file_id").alias("path")).agg(F.count("*").alias("pages"), F.max(F.col("char_count") > 0).alias("some"), F.sort_array(F.collect_set("ocr_error")).alias("warnings"))
+    """One row per input file: ok with its page count and number of warnings, or failed with the reason."""
+    n = pages.groupBy(F.col("file_id").alias("path")).agg(F.count("*").alias("pages"), F.max(F.col("char_count") > 0).alias("some"), F.count("ocr_error").alias("warnings"))
     df = files.select("path", "ordinal_key").join(n, "path", "left").join(errors, "path", "left")
     why = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("pages").isNull(), "Nenhuma página encontrada.").when(~F.col("some"), "Não foi possível extrair texto por camada nativa nem OCR.")
-    return df.select(F.col("path").alias("input_path"), F.lit(options.output_format).alias("output_format"), F.when(why.isNull(), F.col("pages")).otherwise(0).alias("pages"), F.when(why.isNull(), "ok").otherwise("failed").alias("status"), why.alias("failure"), F.coalesce("warnings", F.array().cast("array<string>")).alias("warnings"), "ordinal_key")
+    return df.select(F.col("path").alias("input_path"), F.lit(options.output_format).alias("output_format"), F.when(why.isNull(), F.col("pages")).otherwise(0).alias("pages"), F.when(why.isNull(), "ok").otherwise("failed").alias("status"), why.alias("failure"), F.coalesce("warnings", F.lit(0)).alias("warnings"), "ordinal_key")
+
+
+def warnings(pages: DataFrame) -> DataFrame:
+    """One row per page whose OCR went wrong: file_id, page, warning."""
+    return pages.where("ocr_error is not null").select("file_id", "page", F.col("ocr_error").alias("warning"))
 
 
 def convert(spark: SparkSession, inputs: str | Iterable[str], out_dir: str, engine: Callable[[], OcrEngine] | None = None, renderer: Callable[[], PageRenderer] | None = None, options: Options | None = None, now: str = "") -> DataFrame:

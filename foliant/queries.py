@@ -571,7 +571,8 @@ def warning_preview(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window as W
 
     due = _t(spark, d, "page_audit").where(F.coalesce("extraction_issue", F.lit("")) != "").select("input_file", "page").distinct()
-    by = W.partitionBy("input_file")
-    first = due.withColumn("n", F.count("*").over(by)).withColumn("k", F.row_number().over(by.orderBy("page"))).where("k <= 8")
-    out = first.groupBy("input_file").agg(F.sort_array(F.collect_list("page")).alias("p"), F.max("n").alias("n"))
+    # the rank's limit is applied before the exchange, and counts are added up before it
+    first = due.withColumn("k", F.row_number().over(W.partitionBy("input_file").orderBy("page"))).where("k <= 8")
+    shown = first.groupBy("input_file").agg(F.sort_array(F.collect_list("page")).alias("p"))
+    out = shown.join(due.groupBy("input_file").agg(F.count("*").alias("n")), "input_file")
     return out.select("input_file", F.concat(F.array_join(F.col("p").cast("array<string>"), ", "), F.when(F.col("n") > 8, "...").otherwise("")).alias("preview"))

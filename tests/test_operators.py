@@ -125,3 +125,20 @@ def test_names_and_state(spark):
     assert rows(resume.pending(pages, state, ["k", "p"])) == [("f", 0)]
     prints = spark.range(1).select(resume.fingerprint(F.lit("/a"), F.lit(1), F.lit(2), {"dpi": 300}), resume.fingerprint(F.lit("/a"), F.lit(1), F.lit(2), {"dpi": 301})).first()
     assert prints[0] != prints[1]
+
+
+def test_long_files_are_ranked_in_parts(spark, monkeypatch):
+    pages = [p for p in range(60) if p not in (7, 20, 21, 40)]
+    df = spark.createDataFrame([("f", p) for p in pages], "file_id string, page_index int")
+    whole = sorted(rows(policy.plan_batches(df, 5).select("page_index", "run", "batch")))
+    monkeypatch.setattr(policy, "PART_PAGES", 8)
+    assert sorted(rows(policy.plan_batches(df, 5).select("page_index", "run", "batch"))) == whole
+
+
+def test_sql_functions(spark):
+    from foliant.functions.register import register
+
+    register(spark)
+    assert rows(spark.sql("SELECT page_chars(' a b '), page_words(' a b '), suspicious_share('ab��'), merge_layers('x', NULL), normal_line(' Ção, é! ')")) == [(3, 2, 0.5, "x", "cao e")]
+    assert rows(spark.sql("SELECT * FROM text_lines(' a\n\n b ')")) == [(1, "a"), (2, "b")]
+    assert rows(spark.sql("SELECT page_chars(NULL), page_words(''), suspicious_share(NULL)")) == [(0, 0, 0.0)]
