@@ -87,3 +87,16 @@ def plan_batches(pages: DataFrame, cap: Column | int, file_id: str = "file_id",
 def zip_rendered(batch_pages: Column, rendered: Column) -> Column:
     """Pages paired with rendered images by position, cut at the shorter side."""
     return F.slice(F.arrays_zip(batch_pages.alias("page"), rendered.alias("image")), 1, F.least(F.size(batch_pages), F.size(rendered)))
+
+
+def prepared_size(width: Column, height: Column) -> Column:
+    """Size an image is enlarged to before OCR: at most twice, up to 1,400 on the longer side; whole numbers of 1 or more."""
+    long = F.greatest(width, height)
+    scale = F.when(long < 1400, F.least(F.lit(2.0), 1400 / long)).otherwise(1.0)
+    side = lambda x: F.greatest(F.lit(1), F.floor(x * scale)).cast("int")
+    return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def progress(extracted: Column, pages: Column, read: Column, due: Column) -> Column:
+    """Share of a file's work that is done: 0.35 for extraction, 0.64 for OCR where any is due."""
+    return F.when(due > 0, 0.35 * extracted / pages + 0.64 * read / due).otherwise(extracted / pages)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engines import OcrEngine, PageRenderer
-from ..operators import merge, policy
+from ..operators import merge, policy, resume
 from ..operators.quality import MIN_CHARS, analysis, structure_hints, summary, with_quality
 from ..sinks import output_name, unique_names, write_audit, write_documents
 from ..sources.files import complete_pdf, read_files, read_pages
@@ -89,6 +89,24 @@ def run_ocr(selected: DataFrame, files: DataFrame, renderer: Callable[[], PageRe
     return work.mapInArrow(run, "path string, page_index int, ocr_text string, ocr_error string")
 
 
+def resumed_ocr(spark: SparkSession, selected: DataFrame, files: DataFrame, renderer: Callable[[], PageRenderer], engine: Callable[[], OcrEngine], options: Options, state: str) -> DataFrame:
+    """OCR of the pages the state does not hold for this file, time, settings and version; failed pages are read again."""
+    settings = {"dpi": options.ocr_dpi, "force": options.force_ocr, "lang": options.lang, "threshold": options.ocr_threshold}
+    prints = files.select("path", resume.fingerprint(F.col("path"), F.col("length"), F.unix_micros("mtime"), settings).alias("fingerprint"))
+    keys = ["path", "fingerprint", "page_index"]
+    due = selected.join(prints, "path")
+    try:
+        held = spark.read.parquet(state)
+    except Exception:  # noqa: BLE001  no run before
+        held = spark.createDataFrame([], "path string, fingerprint string, page_index int, ocr_text string, ocr_error string")
+    todo = resume.pending(due, held.where("ocr_error is null"), keys)
+    run_ocr(todo, files, renderer, engine, options).join(prints, "path").select("path", "fingerprint", "page_index", "ocr_text", "ocr_error").write.mode("append").parquet(state)
+    now = spark.read.parquet(state).join(prints, ["path", "fingerprint"], "left_semi")
+    # a page that failed once and was read later counts as read
+    best = now.groupBy("path", "page_index").agg(F.max("ocr_text").alias("ocr_text"), F.max("ocr_error").alias("ocr_error"))
+    return best.withColumn("ocr_error", F.when(F.col("ocr_text").isNull(), F.col("ocr_error")))
+
+
 def final_pages(scored: DataFrame, selected: DataFrame, ocr: DataFrame, options: Options) -> DataFrame:
     """Every page with the text that is kept and its details; a page whose OCR failed keeps its native text."""
     reasons = selected.select("path", "page_index", "ocr_reason")
@@ -123,9 +141,11 @@ def warnings(pages: DataFrame) -> DataFrame:
     return pages.where("ocr_error is not null").select("file_id", "page", F.col("ocr_error").alias("warning"))
 
 
-def convert(spark: SparkSession, inputs: str | Iterable[str], out_dir: str, engine: Callable[[], OcrEngine] | None = None, renderer: Callable[[], PageRenderer] | None = None, options: Options | None = None, now: str = "") -> DataFrame:
+def convert(spark: SparkSession, inputs: str | Iterable[str], out_dir: str, engine: Callable[[], OcrEngine] | None = None, renderer: Callable[[], PageRenderer] | None = None, options: Options | None = None, now: str = "", state: str | None = None) -> DataFrame:
     """Read, score, OCR where due, reconcile and write; returns the results.
 
+    state: a folder that keeps OCR results over runs, so an interrupted run goes on where it stopped.
+
     OCR is slow and need not give the same text twice, so its result is written once and read again.
     """
     options = options or Options()
@@ -136,7 +156,9 @@ def convert(spark: SparkSession, inputs: str | Iterable[str], out_dir: str, engi
     errors = pages.where("error is not null").select("path", "error").unionByName(broken)
     scored = score_pages(pages.where("error is null"), options)
     selected = select_ocr_pages(scored, options.force_ocr)
-    if options.use_ocr and engine and renderer:
+    if options.use_ocr and engine and renderer and state:
+        ocr = resumed_ocr(spark, selected, files, renderer, engine, options, state)
+    elif options.use_ocr and engine and renderer:
         run_ocr(selected, files, renderer, engine, options).write.mode("overwrite").parquet(f"{out_dir}/_ocr")
         ocr = spark.read.parquet(f"{out_dir}/_ocr")
     else:

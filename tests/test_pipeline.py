@@ -108,3 +108,21 @@ def test_stream_scores_each_page_once(spark, tmp_path):
         score_stream(spark, src, schema, state, check, ["file_id", "page_index"]).awaitTermination()
     got = spark.read.parquet(state)
     assert sorted((r.page_index, r.quality_score) for r in got.collect()) == [(0, 55), (1, 0)]
+
+
+def test_an_interrupted_run_goes_on(spark, folder, tmp_path_factory):
+    out, state = str(tmp_path_factory.mktemp("out")), str(tmp_path_factory.mktemp("state") / "ocr")
+    first = convert(spark, str(folder), out, StubEngine, StubRenderer, Options(), state=state).count()
+    rows = spark.read.parquet(state).count()
+    assert rows and convert(spark, str(folder), out, StubEngine, StubRenderer, Options(), state=state).count() == first
+    assert spark.read.parquet(state).count() == rows  # nothing was read again
+    convert(spark, str(folder), out, StubEngine, StubRenderer, Options(ocr_dpi=400), state=state).count()
+    assert spark.read.parquet(state).count() == 2 * rows  # other settings, other results
+
+
+def test_command_line(spark, folder, tmp_path_factory):
+    from foliant.__main__ import main
+
+    out = str(tmp_path_factory.mktemp("cli"))
+    assert main([str(folder), out, "--output-format", "md", "--engine", "foliant.engines:StubEngine", "--renderer", "foliant.engines:StubRenderer"]) == 2
+    assert spark.read.parquet(f"{out}/results").count() == 6
