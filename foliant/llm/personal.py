@@ -143,16 +143,25 @@ def label(word: str) -> str:
     return fold(re.sub(r"[^\w]", "", word.split("/")[0])) or word
 
 
-def context(t: str, a: int, e: int) -> tuple[str, list[str]]:
-    """The word before a candidate, and the patterns around it: that word, the ones before it, the two behind."""
-    words = [w.strip(".:,;()[]-–\"'“”º°") or w for w in t[max(0, a - 48) : a].lower().split()]
-    words = ["#" if any(map(str.isdigit, w)) or "@" in w else w for w in words if w and not (set(w) <= set(".:-(º°"))]
-    words = [w for w in words if w not in ("nº", "n", "no", "núm", "número", "number", "sob")] or words
-    words = [label(w) for w in words[-3:]]
-    one = words[-1] if words else "^"
-    behind = t[e : e + 32].lower().split()[:3]
-    behind = [w for w in behind if w not in (",", ".", ";")][:2]
-    return one, [f"1 {one}", *(f"< {w}" for w in words[-3:-1] if len(w) > 2), "> " + " ".join(behind)]
+def before(t: str, a: int) -> list[str]:
+    """Labels of the up to three words before a candidate; "#" for what holds a digit or is an address."""
+    words = [w.strip(".:,;()[]-–\"'“”º°") or w for w in t[max(0, a - 48) : a].lower().split()[-6:]]
+    words = [_masked(w) for w in words if w and not (set(w) <= _DOTS)]
+    words = [w for w in words if w not in _NO_LABELS] or words
+    return [label(w) for w in words[-3:]]
+
+
+_DOTS = frozenset(".:-(º°")
+_NO_LABELS = frozenset(["nº", "n", "no", "núm", "número", "number", "sob"])
+_DIGIT_OR_AT = re.compile(r"[\d@]")
+
+
+def _masked(word: str) -> str:
+    return "#" if _DIGIT_OR_AT.search(word) else word
+
+
+def behind(t: str, e: int) -> str:
+    return " ".join(_masked(w) for w in t[e : e + 32].lower().split()[:3] if w not in (",", ".", ";"))
 
 
 #: A digit with another one near: what a number cannot be without.
@@ -179,7 +188,7 @@ _AROUND = frozenset("0123456789OolISBZ|x+( .()-/\nABCDEFGHJKLMNPQRTUVWXY")
 
 
 def numbers(t: str):
-    """Candidate numbers: (start, end, shape, word before, patterns around)."""
+    """Candidate numbers: (start, end, shape, word before, the words before that)."""
     for m in _numbers_in(t):
         a, b = m.span()
         s = t[a:b]
@@ -189,7 +198,8 @@ def numbers(t: str):
             b, s = b - 1, s[:-1]
         if sum(c in "0123456789OolISBZ|" for c in s) < 6 or sum(map(str.isdigit, s)) < 4:
             continue
-        yield a, b, shape(s), *context(t, a, b)
+        words = before(t, a)
+        yield a, b, shape(s), words[-1] if words else "^", words[:-1]
 
 
 def name_candidates(t: str, locals_: list[str]):
@@ -216,7 +226,7 @@ def name_candidates(t: str, locals_: list[str]):
             seed = 0
         elif len(first) > 2 and any(x.startswith(first) or (first in x and last[:3] in x) or (x[:1] == first[:1] and x[1:] == last) for x in locals_):
             seed = 1
-        yield f"{first} {last}", " ".join(left) or "^", " ".join(right).lower() or "$", seed
+        yield f"{first} {last}", " ".join(map(_masked, left)) or "^", " ".join(_masked(w.lower()) for w in right) or "$", seed
 
 
 _STOPS = frozenset(["", ".", "!", "?", "\n"])
@@ -292,8 +302,8 @@ def place_key(s: str) -> str:
 def observe(text: str, counts: Counter) -> None:
     """Add a layer's candidates to the counts of graph edges (kind, pattern, instance, seed)."""
     t, _ = plain(text)
-    for _a, _b, sh, one, patterns in numbers(t):
-        for p in patterns:
+    for _a, e, sh, one, others in numbers(t):
+        for p in (f"1 {one}", *(f"< {w}" for w in others if len(w) > 2), f"> {behind(t, e)}"):
             counts[("n", p, f"{one}\t{sh}", -1)] += 1
         counts[("n", f"1 {one}", f"\t{sh}", -1)] += 1
     locals_ = []
@@ -414,15 +424,39 @@ class Finder:
         self.memo: dict[str, str] = {}
         self.other: set[str] = set()
 
-    def has_first(self, t: str) -> bool:
-        """Whether a word is a first name; words seen to be none are taken away at once."""
+    def first_names(self, t: str) -> list[str]:
+        """Words that are first names; words seen to be none are taken away at once."""
+        out = []
         for w in set(t.split()) - self.other:
             if "F" in self.kind(w):
-                return True
+                out.append(w)
+                continue
             if len(self.other) > 200_000:
                 self.other.clear()
             self.other.add(w)
-        return False
+        return out
+
+    def near_names(self, t: str):
+        """(start, end) of the stretches of a text that can hold a name: around first names and initials."""
+        hits = [m.start() for m in _INITIAL.finditer(t)]
+        for w in self.first_names(t):
+            at = t.find(w)
+            while at >= 0:
+                hits.append(at)
+                at = t.find(w, at + len(w))
+        joined: list[list[int]] = []
+        for h in sorted(hits):
+            if joined and h - 60 <= joined[-1][1]:
+                joined[-1][1] = max(joined[-1][1], h + 120)
+            else:
+                joined.append([max(0, h - 60), h + 120])
+        for a, b in joined:
+            while a > 0 and not t[a - 1].isspace():
+                a -= 1
+            b = min(len(t), b)
+            while b < len(t) and not t[b].isspace():
+                b += 1
+            yield a, b
 
     def kind(self, word: str) -> str:
         got = self.memo.get(word)
@@ -446,8 +480,8 @@ class Finder:
         kind = k.numbers.get(f"{one}\t{sh}") or k.number_words.get(one) or k.shapes.get(sh)
         return None if kind == "-" else kind
 
-    def names(self, t: str):
-        words = [m for m in _TOKEN.finditer(t)]
+    def names(self, t: str, a: int = 0, b: int | None = None):
+        words = [m for m in _TOKEN.finditer(t, a, len(t) if b is None else b)]
         kinds = [self.kind(m[0]) for m in words]
         n, i = len(words), 0
         gap = lambda x, y: t[words[x].end() : words[y].start()]
@@ -515,8 +549,8 @@ class Finder:
             kind = self.number_type(sh, one)
             if kind:
                 take(kind, a, e)
-        if self.has_first(t) or _INITIAL.search(t):
-            for a, e in self.names(t):
+        for x, y in self.near_names(t):
+            for a, e in self.names(t, x, y):
                 take("NAME", a, e)
         out.sort(key=lambda x: x[1])
         if places is None:
