@@ -40,6 +40,8 @@ MAX_JOINED = 2
 HEADER_SHARE, HEADER_PAGES = 0.03, 2
 #: The share of all files, and their least number, at whose edges a title-like line is a header anywhere.
 HEADER_FILES_SHARE, HEADER_FILES = 0.002, 3
+#: A pattern of lines is a header's if on this many further pages of its files, and this share of them, its line is the same.
+TEMPLATE_PAGES, TEMPLATE_SAME = 5, 0.5
 #: Lines this much of their length apart are one header, altered.
 HEADER_EDITS = 0.15
 
@@ -181,6 +183,15 @@ def _looks_running(core: str) -> bool:
     return len(core) > 5 and not core[:1].islower() and not _SENTENCE_END.search(core) and "\t" not in core and not re.search(r"\d,\d\d$", core)
 
 
+def template(core: str) -> str:
+    """A line with its numbers and capitalised words, but the first, masked."""
+    first, _, rest = " ".join(core.split()).rstrip(" .").partition(" ")
+    return re.sub(r"\d+", "0", first) + " " + _MASK.sub(lambda m: "0" if m[0][0].isdigit() else "X", rest)
+
+
+_MASK = re.compile(r"\d+|[A-ZÀ-Þ]\w*")
+
+
 def _title_like(core: str) -> bool:
     """Most of the longer words begin with a capital."""
     long = [w for w in re.findall(r"[^\W\d_]+", core) if len(w) > 3]
@@ -194,25 +205,29 @@ def edges(pages: DataFrame) -> DataFrame:
         for place, line, context, core, number, inside, beside in edge_lines(text):
             fit = not number and _looks_running(core)
             if number or fit:
-                yield layer_id, file_id, page_index, place, line, context, header_key(core) if fit else None, number, inside, beside, _title_like(core)
+                yield layer_id, file_id, page_index, place, line, context, header_key(core) if fit else None, number, inside, beside, _title_like(core), template(core)
 
     rows = pages.select(F.col("layer_id").cast("bigint").alias("layer_id"), F.col("file_id").cast("string").alias("file_id"), F.col("page_index").cast("int").alias("page_index"), F.col("ocr_text").cast("string").alias("text")).where("text is not null")
-    schema = "layer_id bigint, file_id string, page_index int, place string, line string, context string, key string, number boolean, inside boolean, beside string, title boolean"
+    schema = "layer_id bigint, file_id string, page_index int, place string, line string, context string, key string, number boolean, inside boolean, beside string, title boolean, template string"
     return arrow_pass(rows, one, schema)
 
 
 def headers(edge: DataFrame, pages: DataFrame) -> DataFrame:
     """(file_id, key) of running headers."""
     sizes = pages.where(F.col("ocr_text").isNotNull()).select(F.col("file_id").cast("string").alias("file_id"), F.col("page_index").cast("int").alias("page_index")).distinct().groupBy("file_id").agg(F.count("*").alias("pages"))
-    seen = edge.where("key is not null").groupBy("file_id", "key", "page_index").agg(F.min("beside").alias("beside"), F.max("title").alias("title"))
-    by_file = seen.groupBy("file_id", "key").agg(F.count("*").alias("on"), F.min("beside").alias("a"), F.max("beside").alias("b"), F.max("title").alias("title"))
+    seen = edge.where("key is not null").groupBy("file_id", "key", "page_index").agg(F.min("beside").alias("beside"), F.max("title").alias("title"), F.max("template").alias("template"))
+    by_file = seen.groupBy("file_id", "key").agg(F.count("*").alias("on"), F.min("beside").alias("a"), F.max("beside").alias("b"), F.max("title").alias("title"), F.max("template").alias("template"))
     # the neighbours tell headers from copies of a page, whose neighbours are the same
     everywhere = by_file.where("title").groupBy("key").agg(F.count("*").alias("files"), F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b")
     least = sizes.agg(F.greatest(F.lit(HEADER_FILES), F.lit(HEADER_FILES_SHARE) * F.count("*")).alias("least"))
     wide = everywhere.join(F.broadcast(least), F.col("files") >= F.col("least")).select("key", F.lit(True).alias("wide"))
-    judged = by_file.join(sizes, "file_id").join(wide, "key", "left")
+    # a pattern whose lines stay the same within files is a header's, one whose lines change from page to page a title's
+    within = by_file.where("title").groupBy("file_id", "template").agg(F.sum("on").alias("n"), F.max("on").alias("same"))
+    kept = within.where("n >= 2").groupBy("template").agg(F.sum(F.col("same") - 1).alias("same"), F.sum(F.col("n") - 1).alias("all"))
+    kept = kept.where((F.col("all") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SAME * F.col("all"))).select("template", F.lit(True).alias("running"))
+    judged = by_file.join(sizes, "file_id").join(wide, "key", "left").join(kept, "template", "left")
     enough = F.col("on") >= F.when(F.col("title"), HEADER_PAGES).otherwise(HEADER_PAGES + 1)
-    return judged.where((enough & (F.col("a") != F.col("b")) & (F.col("on") >= HEADER_SHARE * F.col("pages"))) | F.col("wide")).select("file_id", "key")
+    return judged.where((enough & (F.col("a") != F.col("b")) & (F.col("on") >= HEADER_SHARE * F.col("pages"))) | F.col("wide") | (F.col("running") & F.col("title"))).select("file_id", "key")
 
 
 def edge_noise(pages: DataFrame) -> DataFrame:
