@@ -345,32 +345,34 @@ def edges(pages: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "pattern", "instance", "seed").agg(F.sum("n").alias("n"))
 
 
-def spread(graph: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Scores by type of patterns and of instances.
+def spread(graph: DataFrame, seeds: DataFrame, types: list[str], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Scores of patterns and of instances, a column s0, s1, ... for each type.
 
-    graph: pattern, instance, n.  seeds: pattern, type, score, clamped in every round.
-    An instance's score is the mean of its patterns', weighted by n, and the other way round.
+    graph: pattern, instance, n.  seeds: pattern and the score columns; they hold in every round.
+    An instance's score is the mean of its patterns', weighted by n, and the other way round; what has no score yet has
+    no weight.  A round is two joins and two aggregations of one chain, which is cut at its end.
     """
-    patterns = seeds.select("pattern", "type", F.col("score").cast("double").alias("score"))
-    clamped = patterns
-    own = clamped.select("pattern").distinct()
+    cols = [f"s{k}" for k in range(len(types))]
+    first = F.broadcast(seeds) if len(types) > 1 else seeds  # seed words are a fixed list; other seeds are as many as there are
+    edges_ = cut(graph.join(first.select("pattern", *[F.col(c).alias(f"_{c}") for c in cols]), "pattern", "left"))
+
+    def mean(c: str):
+        return F.sum(F.col("n") * F.col(c)) / F.sum("n")
+
+    patterns = seeds.select("pattern", *cols)
     for _ in range(rounds):
-        by_instance = graph.join(patterns, "pattern").groupBy("instance", "type").agg(F.sum(F.col("n") * F.col("score")).alias("s"), F.sum("n").alias("m"))
-        known = graph.join(patterns.select("pattern").distinct(), "pattern", "left_semi").groupBy("instance").agg(F.sum("n").alias("all"))
-        instances = cut(by_instance.join(known, "instance").select("instance", "type", (F.col("s") / F.col("all")).alias("score")))
-        total = graph.join(instances.select("instance").distinct(), "instance", "left_semi").groupBy("pattern").agg(F.sum("n").alias("all"))
-        grown = graph.join(instances, "instance").groupBy("pattern", "type").agg(F.sum(F.col("n") * F.col("score")).alias("s")).join(total, "pattern").select("pattern", "type", (F.col("s") / F.col("all")).alias("score"))
-        patterns = cut(clamped.unionByName(grown.join(own, "pattern", "left_anti")))
+        instances = edges_.join(patterns, "pattern").groupBy("instance").agg(*[mean(c).alias(c) for c in cols])
+        patterns = edges_.join(instances, "instance").groupBy("pattern").agg(*[F.coalesce(F.max(f"_{c}"), mean(c)).alias(c) for c in cols])
+    patterns = cut(patterns)
+    instances = cut(edges_.join(patterns, "pattern").groupBy("instance").agg(*[mean(c).alias(c) for c in cols]))
     return patterns, instances
 
 
-def _table(df: DataFrame, key: str) -> dict[str, str]:
+def _table(df: DataFrame, key: str, types: list[str]) -> dict[str, str]:
     """key -> type of the best score, where it is confident."""
-    best: dict[str, tuple[float, str]] = {}
-    for k, kind, score in df.where(F.col("score") >= CONFIDENT).select(key, "type", "score").collect():
-        if score > best.get(k, (0.0, ""))[0]:
-            best[k] = (score, kind)
-    return {k: v for k, (_, v) in best.items()}
+    cols = [f"s{k}" for k in range(len(types))]
+    rows = df.where(F.greatest(*cols) >= CONFIDENT if len(cols) > 1 else F.col(cols[0]) >= CONFIDENT).select(key, *cols).collect()
+    return {r[0]: types[max(range(len(cols)), key=lambda k: r[k + 1])] for r in rows}
 
 
 def learn(pages: DataFrame) -> Learned:
@@ -389,22 +391,23 @@ def learn(pages: DataFrame) -> Learned:
 
     out = Learned()
     graph_n = kept("n").select("pattern", "instance", "n")
-    seeds = spark.createDataFrame([(f"1 {label(w)}", kind, 1.0) for kind, ws in SEEDS.items() for w in ws.split()], "pattern string, type string, score double")
-    patterns, instances = spread(graph_n, seeds)
+    kinds = list(SEEDS)
+    rows = [(f"1 {label(w)}", *(float(k == kind) for k in kinds)) for kind, ws in SEEDS.items() for w in ws.split()]
+    seeds = spark.createDataFrame(list(dict.fromkeys(rows)), "pattern string, " + ", ".join(f"s{k} double" for k in range(len(kinds))))
+    patterns, instances = spread(graph_n, seeds, kinds)
     supported = graph_n.where(F.startswith("pattern", F.lit("1 "))).groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= least("n"))
-    table = _table(instances.join(supported.select("instance"), "instance", "left_semi"), "instance")
+    table = _table(instances.join(supported.select("instance"), "instance", "left_semi"), "instance", kinds)
     out.numbers = {k: v for k, v in table.items() if not k.startswith("\t")}
     out.shapes = {k[1:]: v for k, v in table.items() if k.startswith("\t")}
-    out.number_words = {k[2:]: v for k, v in _table(patterns.where(F.startswith("pattern", F.lit("1 "))), "pattern").items()}
+    out.number_words = {k[2:]: v for k, v in _table(patterns.where(F.startswith("pattern", F.lit("1 "))), "pattern", kinds).items()}
 
     people = kept("l").unionByName(kept("r").withColumn("pattern", F.concat(F.lit("> "), F.col("pattern"))))
     # seed entities: sequences that a mail address repeats, against firms and streets
     start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= 2)
-    start = start.select("pattern", F.lit("NAME").alias("type"), "score")
-    _, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), start)
+    _, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
     # tokens: first names by their instances' scores, last names by the first names they follow
     weight = kept("l").where("seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
-    scored = weight.join(persons.where("type = 'NAME'"), "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("score", F.lit(0.0)).alias("score"), "n")
+    scored = weight.join(persons, "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("s0", F.lit(0.0)).alias("score"), "n")
     firsts = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
     firsts = cut(firsts.where((F.col("s") >= CONFIDENT) & (F.col("n") >= least("l"))).select("first"))
     behind = scored.where(F.length("last") >= 3).join(firsts.withColumn("known", F.lit(1)), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
