@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -110,31 +111,35 @@ def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def line_rows(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key..., line_no, line, norm: one row per line that is not blank, in the built-in normal form."""
+#: A text's form for comparison: normal_udf, or T.simple_normal where SQL is to give the same.
+Form = Callable[[Column], Column]
+
+
+def line_rows(df: DataFrame, key: list[str], text: str, form: Form = normal_udf) -> DataFrame:
+    """key..., line_no, line, norm: one row per line that is not blank, in its form for comparison."""
     rows = df.select(*key, F.posexplode(T.lines(F.col(text))).alias("line_no", "line"))
-    return rows.withColumn("norm", T.simple_normal(F.col("line"))).where("norm <> ''")
+    return rows.withColumn("norm", form(F.col("line"))).where("norm <> ''")
 
 
-def contained(df: DataFrame, key: list[str], native: str, ocr: str) -> DataFrame:
+def contained(df: DataFrame, key: list[str], native: str, ocr: str, form: Form = normal_udf) -> DataFrame:
     """OCR lines with contained: whether the page's native text has the line, whole or without its blanks.
 
     Both texts are in the page's row, so there is no join.
     """
-    flat = df.select(*key, T.simple_normal(F.col(native)).alias("flat"), F.col(ocr).alias("_ocr"))
-    rows = line_rows(flat.withColumn("compact", F.replace("flat", F.lit(" "), F.lit(""))), [*key, "flat", "compact"], "_ocr")
+    flat = df.select(*key, form(F.col(native)).alias("flat"), F.col(ocr).alias("_ocr"))
+    rows = line_rows(flat.withColumn("compact", F.replace("flat", F.lit(" "), F.lit(""))), [*key, "flat", "compact"], "_ocr", form)
     squeezed = F.replace("norm", F.lit(" "), F.lit(""))
     hit = (F.col("norm") == F.col("flat")) | ((F.length("norm") >= 8) & F.col("flat").contains(F.col("norm"))) | ((F.length(squeezed) >= 12) & F.col("compact").contains(squeezed))
     return rows.select(*key, "line_no", "norm", hit.alias("contained"))
 
 
-def token_runs(df: DataFrame, key: list[str], native: str, ocr: str) -> DataFrame:
+def token_runs(df: DataFrame, key: list[str], native: str, ocr: str, form: Form = normal_udf) -> DataFrame:
     """key..., line_no, tokens, run: the longest run of a line's tokens in the native text.
 
     Tokens of a page meet on their word; a run is a stretch of one diagonal without gaps.
     """
-    left = line_rows(df, key, ocr).select(*key, "line_no", F.size(F.split("norm", " ")).cast("bigint").alias("tokens"), F.posexplode(F.split("norm", " ")).alias("i", "w"))
-    right = df.select(*key, F.posexplode(F.split(T.simple_normal(F.col(native)), " ")).alias("j", "w")).where("w <> ''")
+    left = line_rows(df, key, ocr, form).select(*key, "line_no", F.size(F.split("norm", " ")).cast("bigint").alias("tokens"), F.posexplode(F.split("norm", " ")).alias("i", "w"))
+    right = df.select(*key, F.posexplode(F.split(form(F.col(native)), " ")).alias("j", "w")).where("w <> ''")
     met = left.join(right, [*key, "w"]).withColumn("d", F.col("j") - F.col("i"))
     diagonal = W.partitionBy(*key, "line_no", "d").orderBy("i")
     runs = met.withColumn("g", F.col("i") - F.row_number().over(diagonal)).groupBy(*key, "line_no", "d", "g").agg(F.count("*").alias("n"))
@@ -143,11 +148,11 @@ def token_runs(df: DataFrame, key: list[str], native: str, ocr: str) -> DataFram
     return lines.join(best, [*key, "line_no"], "left").select(*key, "line_no", "tokens", F.coalesce("run", F.lit(0)).cast("bigint").alias("run"))
 
 
-def bag_overlap(df: DataFrame, key: list[str], native: str, ocr: str) -> DataFrame:
+def bag_overlap(df: DataFrame, key: list[str], native: str, ocr: str, form: Form = normal_udf) -> DataFrame:
     """key..., tokens, shared: how many tokens of the OCR text the native one has, as bags."""
 
     def bag(column: str, name: str) -> DataFrame:
-        words = df.select(*key, F.explode(F.split(T.simple_normal(F.col(column)), " ")).alias("w")).where("w <> ''")
+        words = df.select(*key, F.explode(F.split(form(F.col(column)), " ")).alias("w")).where("w <> ''")
         return words.groupBy(*key, "w").agg(F.count("*").alias(name))
 
     both = bag(ocr, "a").join(bag(native, "b"), [*key, "w"], "left")

@@ -399,7 +399,7 @@ def _both(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_BOTH} SELECT layer_id, CAST(line_no AS INTEGER) AS line_no, norm, (norm = flat OR (length(norm) >= 8 AND contains(flat, norm)) OR (length(replace(norm, ' ', '')) >= 12 AND contains(replace(flat, ' ', ''), replace(norm, ' ', '')))) AS contained FROM ocr_lines")
 def line_containment(spark: SparkSession, d: str) -> DataFrame:
-    return merge.contained(_both(spark, d), ["layer_id"], "native_text", "ocr_text")
+    return merge.contained(_both(spark, d), ["layer_id"], "native_text", "ocr_text", T.simple_normal)  # the form its SQL fixes
 
 
 @query(
@@ -411,7 +411,7 @@ runs AS (SELECT layer_id, line_no, max(n) AS run FROM (SELECT layer_id, line_no,
 SELECT l.layer_id, CAST(l.line_no AS INTEGER) AS line_no, CAST(l.tokens AS BIGINT) AS tokens, CAST(coalesce(run, 0) AS BIGINT) AS run FROM (SELECT DISTINCT layer_id, line_no, tokens FROM a) l LEFT JOIN runs r ON l.layer_id = r.layer_id AND l.line_no = r.line_no"""
 )
 def longest_token_run(spark: SparkSession, d: str) -> DataFrame:
-    return merge.token_runs(_both(spark, d), ["layer_id"], "native_text", "ocr_text")
+    return merge.token_runs(_both(spark, d), ["layer_id"], "native_text", "ocr_text", T.simple_normal)  # the form its SQL fixes
 
 
 @query(
@@ -420,7 +420,7 @@ b AS (SELECT layer_id, w, count(*) AS n FROM (SELECT layer_id, unnest(string_spl
 SELECT a.layer_id, CAST(sum(a.n) AS BIGINT) AS tokens, CAST(sum(least(a.n, coalesce(b.n, 0))) AS BIGINT) AS shared FROM a LEFT JOIN b ON a.layer_id = b.layer_id AND a.w = b.w GROUP BY 1"""
 )
 def token_multiset_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return merge.bag_overlap(_both(spark, d), ["layer_id"], "native_text", "ocr_text")
+    return merge.bag_overlap(_both(spark, d), ["layer_id"], "native_text", "ocr_text", T.simple_normal)  # the form its SQL fixes
 
 
 @query()

@@ -142,3 +142,34 @@ def test_sql_functions(spark):
     assert rows(spark.sql("SELECT page_chars(' a b '), page_words(' a b '), suspicious_share('ab��'), merge_layers('x', NULL), normal_line(' Ção, é! ')")) == [(3, 2, 0.5, "x", "cao e")]
     assert rows(spark.sql("SELECT * FROM text_lines(' a\n\n b ')")) == [(1, "a"), (2, "b")]
     assert rows(spark.sql("SELECT page_chars(NULL), page_words(''), suspicious_share(NULL)")) == [(0, 0, 0.0)]
+
+
+def test_lines_are_compared_without_accents_composition_and_width(spark):
+    pages = {
+        1: ("A conciliação de Órgãos públicos\nﬁnal do ofício", "A conciliacao de Orgaos publicos\nfinal do oficio\noutra coisa"),
+        2: ("Straße e número", "STRASSE E NUMERO"),
+        3: ("Ｔｅｘｔｏ ｄｅ ｌａｒｇｕｒａ ｃｈｅｉａ", "texto de largura cheia\nTEXTO DE LARGURA CHEIO"),
+        4: ("e\u0301poca de cafe\u0301 e pa\u0303o", "época de café e pão"),
+        5: (None, "a"),
+        6: ("x", None),
+    }
+    df = spark.createDataFrame([(k, *v) for k, v in pages.items()], "k int, n string, o string")
+    held, runs, bags, alike = {}, {}, {}, {}
+    for k, (n, o) in pages.items():
+        flat = merge.normal(n)
+        lines = [merge.normal(x) for x in (o or "").split("\n")]
+        words = [w for x in lines for w in x.split()]
+        if words:
+            bags[k] = (len(words), sum(min(words.count(w), flat.split().count(w)) for w in set(words)))
+        for i, x in enumerate(lines):
+            if x:
+                held[k, i] = x == flat or (len(x) >= 8 and x in flat) or (len(x.replace(" ", "")) >= 12 and x.replace(" ", "") in flat.replace(" ", ""))
+                runs[k, i] = (len(x.split()), merge.longest_run(x.split(), flat.split()))
+            for j, y in enumerate(map(merge.normal, (n or "").split("\n"))):
+                if min(len(x), len(y)) >= 12 and (r := SequenceMatcher(None, x, y).ratio()) >= merge.SIMILAR:
+                    alike[k, i, j] = r
+    args = (df, ["k"], "n", "o")
+    assert {(r.k, r.line_no): r.contained for r in merge.contained(*args).collect()} == held and sum(held.values()) == 5
+    assert {(r.k, r.line_no): (r.tokens, r.run) for r in merge.token_runs(*args).collect()} == runs
+    assert {r.k: (r.tokens, r.shared) for r in merge.bag_overlap(*args).collect()} == bags
+    assert {(r.k, r.ocr_line_no, r.native_line_no): r.ratio for r in merge.similar_lines(*args).collect()} == alike and len(alike) == 6
