@@ -250,6 +250,10 @@ def edge_noise(pages: DataFrame) -> DataFrame:
 def word_noise(rows: DataFrame, vocab: DataFrame, fixes: DataFrame) -> DataFrame:
     """rows: field_name, rec_id, text.  Cases of the kinds hyphen and misread: field_name, rec_id, noise_kind, word, correction."""
     common = frequent(vocab, FREQUENT_SHARE)
+    fixes = cut(fixes)
+    # an error that recurs is frequent itself; as few as common words have a correction
+    recurring = fixes.join(vocab.where(F.col("cnt") >= min(common.values(), default=float("inf"))), "word", "left_semi").select("word").toPandas()["word"]
+    skip = frozenset(common).difference(recurring)
 
     def one(field_name, rec_id, text):
         if not text:
@@ -266,7 +270,7 @@ def word_noise(rows: DataFrame, vocab: DataFrame, fixes: DataFrame) -> DataFrame
             text = rejoin(text)
         unknown = {normal(t) for t in set(text.split())}
         for w in unknown:
-            if w and w not in common:
+            if w and w not in skip:
                 yield field_name, rec_id, "word", w, None, None
 
     schema = "field_name string, rec_id bigint, noise_kind string, word string, correction string, clitic boolean"

@@ -57,3 +57,13 @@ def test_page_numbers():
     for line in ("de inverno.", "mil", "2007.", "vi a casa", "kg. 12 x", "d", "civil"):
         assert not S._PAGE_ONLY.match(line), line
     assert S._PAGE_LAST.match("Câmara de Nova - - 21 -")[1] == "Câmara de Nova" and not S._PAGE_LAST.match("Livro de atas nº 211")
+
+
+def test_an_error_that_recurs_is_found(pages, audit, spark):
+    p = pages(*[("a parte requereu vista do contrato", None)] * 40, *[(None, "a parte rcquereu vista do con†rato")] * 3)
+    files = spark.createDataFrame([], "file_id string, input_path string")
+    rows = S.texts(p, audit((None, None, "", None)))
+    vocab = S.vocabulary(p)
+    got = {(r.rec_id, r.word, r.correction) for r in S.word_noise(rows, vocab, S.corrections(vocab)).collect()}
+    assert got == {(i, w, c) for i in (40, 41, 42) for w, c in (("rcquereu", "requereu"), ("con†rato", "contrato"))}
+    assert {r.repaired for r in S.repaired(p, audit((None, None, "", None)), files).where("rec_id >= 40").collect()} == {"a parte requereu vista do contrato"}
