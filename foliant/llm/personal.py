@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -32,6 +34,10 @@ ROUNDS = 3
 CONFIDENT = 0.5
 #: What is seen less often than this share of its kind's candidates gives no evidence; at most 1/SUPPORT of a kind are kept.
 SUPPORT = 2e-5
+#: A pattern of this score, around so many different names, makes a name of unknown words.
+SURE, SURE_NAMES = 0.9, 3
+#: Size of the table of hashes that tells most words from rare names before these are joined.
+HASHES = 1 << 22
 
 #: Seed words before a number, by type; "-" marks numbers that are issued to no person.
 SEEDS = {
@@ -203,7 +209,7 @@ def numbers(t: str):
 
 
 def name_candidates(t: str, locals_: list[str]):
-    """Title-case sequences: (instance, left pattern, right pattern, seed) with seed 1, 0 or -1 for unknown."""
+    """Title-case sequences: (instance, left pattern, right pattern, seed, start, end) with seed 1, 0 or -1 for unknown."""
     for m in _NAME.finditer(t):
         words = [w for w in re.split(r"[\s,]+", m[0]) if w and w not in PARTICLES]
         if len(words) < 2 or "\n" in m[0]:  # a line's end may part two fields
@@ -226,7 +232,7 @@ def name_candidates(t: str, locals_: list[str]):
             seed = 0
         elif len(first) > 2 and any(x.startswith(first) or (first in x and last[:3] in x) or (x[:1] == first[:1] and x[1:] == last) for x in locals_):
             seed = 1
-        yield f"{first} {last}", " ".join(map(_masked, left)) or "^", " ".join(_masked(w.lower()) for w in right) or "$", seed
+        yield f"{first} {last}", " ".join(map(_masked, left)) or "^", " ".join(_masked(w.lower()) for w in right) or "$", seed, start, m.end()
 
 
 _STOPS = frozenset(["", ".", "!", "?", "\n"])
@@ -234,7 +240,7 @@ _STOPS = frozenset(["", ".", "!", "?", "\n"])
 
 @dataclass
 class Learned:
-    """What the graph says, each table bounded by SUPPORT."""
+    """What the graph says, each table bounded by SUPPORT; names and patterns of names below it are in rare."""
 
     numbers: dict[str, str] = field(default_factory=dict)
     number_words: dict[str, str] = field(default_factory=dict)
@@ -243,6 +249,11 @@ class Learned:
     last: frozenset[str] = frozenset()
     places: frozenset[str] = frozenset()
     domains: frozenset[str] = frozenset()
+    lefts: frozenset[str] = frozenset()
+    rights: frozenset[str] = frozenset()
+    #: (key, kind), any number of rows, and the hashes of its keys; None if nothing is below the bound.
+    rare: DataFrame | None = None
+    hashes: bytes = b""
 
 
 def address_spans(t: str, places: frozenset[str] | None):
@@ -310,7 +321,7 @@ def observe(text: str, counts: Counter) -> None:
     for _a, _b, local, domain in mails(t):
         locals_.append(fold(re.sub(r"[\W\d_]", "", local)))
         counts[("d", "", domain, -1)] += 1
-    for inst, left, right, seed in name_candidates(t, locals_):
+    for inst, left, right, seed, _a, _e in name_candidates(t, locals_):
         counts[("l", left, inst, seed)] += 1
         counts[("r", right, inst, seed)] += 1
     for a, e in address_spans(t, None):
@@ -384,13 +395,13 @@ def learn(pages: DataFrame) -> Learned:
     def least(kind: str) -> float:
         return max(2.0, SUPPORT * totals.get(kind, 0))
 
-    def kept(kind: str) -> DataFrame:
+    def kept(kind: str, floor: float) -> DataFrame:
         g = graph.where(F.col("kind") == kind)
-        supported = g.groupBy("pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= least(kind)).select("pattern")
+        supported = g.groupBy("pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= floor).select("pattern")
         return g.join(supported, "pattern", "left_semi").select("pattern", "instance", "seed", "n")
 
     out = Learned()
-    graph_n = kept("n").select("pattern", "instance", "n")
+    graph_n = kept("n", least("n")).select("pattern", "instance", "n")
     kinds = list(SEEDS)
     rows = [(f"1 {label(w)}", *(float(k == kind) for k in kinds)) for kind, ws in SEEDS.items() for w in ws.split()]
     seeds = spark.createDataFrame(list(dict.fromkeys(rows)), "pattern string, " + ", ".join(f"s{k} double" for k in range(len(kinds))))
@@ -401,18 +412,32 @@ def learn(pages: DataFrame) -> Learned:
     out.shapes = {k[1:]: v for k, v in table.items() if k.startswith("\t")}
     out.number_words = {k[2:]: v for k, v in _table(patterns.where(F.startswith("pattern", F.lit("1 "))), "pattern", kinds).items()}
 
-    people = kept("l").unionByName(kept("r").withColumn("pattern", F.concat(F.lit("> "), F.col("pattern"))))
+    people = kept("l", 2.0).unionByName(kept("r", 2.0).withColumn("pattern", F.concat(F.lit("> "), F.col("pattern"))))
     # seed entities: sequences that a mail address repeats, against firms and streets
     start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= 2)
-    _, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
+    around, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
     # tokens: first names by their instances' scores, last names by the first names they follow
-    weight = kept("l").where("seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
+    weight = kept("l", 2.0).where("seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
     scored = weight.join(persons, "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("s0", F.lit(0.0)).alias("score"), "n")
     firsts = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
-    firsts = cut(firsts.where((F.col("s") >= CONFIDENT) & (F.col("n") >= least("l"))).select("first"))
-    behind = scored.where(F.length("last") >= 3).join(firsts.withColumn("known", F.lit(1)), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
-    lasts = behind.join(firsts.withColumnRenamed("first", "last"), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= least("l"))).select("last")
-    out.first, out.last = (frozenset(r[0] for r in x.collect()) for x in (firsts, lasts))
+    firsts = cut(firsts.where((F.col("s") >= CONFIDENT) & (F.col("n") >= 2)).select("first", "n"))
+    behind = scored.where(F.length("last") >= 3).join(firsts.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
+    lasts = behind.join(firsts.select(F.col("first").alias("last")), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= 2))
+    seen = people.groupBy("pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("names")).where(F.col("names") >= SURE_NAMES)
+    sure = around.where(F.col("s0") >= SURE).join(seen, "pattern").where("pattern not in ('^', '> $')")
+    side = F.when(F.startswith("pattern", F.lit("> ")), F.concat(F.lit("r "), F.substr("pattern", F.lit(3)))).otherwise(F.concat(F.lit("l "), "pattern"))
+    word = lambda x, c, k: x.select(F.concat(F.lit("w "), c).alias("key"), F.lit(k).alias("kind"), "n")
+    table_l = cut(word(firsts, "first", "F").unionByName(word(lasts, "last", "L")).unionByName(sure.select(side.alias("key"), F.lit("P").alias("kind"), "n")))
+    often = table_l.where(F.col("n") >= least("l")).select("key", "kind").collect()
+    out.first, out.last = (frozenset(k[2:] for k, kind in often if kind == x) for x in "FL")
+    out.lefts, out.rights = (frozenset(k[2:] for k, kind in often if kind == "P" and k[0] == x) for x in "lr")
+    rare = table_l.where(F.col("n") < least("l")).select("key", "kind")
+    bits = bytearray(HASHES // 8)
+    held = rare.select((F.crc32("key") % HASHES).alias("h")).distinct().toPandas()["h"]
+    for h in held:
+        bits[h >> 3] |= 1 << (h & 7)
+    if len(held):
+        out.rare, out.hashes = rare, bytes(bits)
     for where, kind in (("places", "p"), ("domains", "d")):
         g = graph.where(F.col("kind") == kind).groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, least(kind), 2e-3 * totals.get(kind, 0)))
         setattr(out, where, frozenset(r[0] for r in g.select("instance").collect()))
@@ -426,9 +451,42 @@ class Finder:
         self.known = known
         self.memo: dict[str, str] = {}
         self.other: set[str] = set()
+        self.not_rare: set[str] = set()
+        self.extra: dict[str, str] = {}
+
+    def open_keys(self, text: str | None) -> list[str]:
+        """Words and patterns of a text that may be in the table of rare ones."""
+        if not text:
+            return []
+        t, _ = plain(text)
+        out = set()
+        for w in set(_TOKEN.findall(t)) - self.not_rare:
+            if self._hashed(key := f"w {fold(w)}"):
+                out.add(key)
+                continue
+            if len(self.not_rare) > 200_000:
+                self.not_rare.clear()
+            self.not_rare.add(w)
+        for _inst, left, right, seed, _a, _e in name_candidates(t, []):
+            if seed != 0:
+                out.update(k for k in (f"l {left}", f"r {right}") if self._hashed(k))
+        return sorted(out)
+
+    def _hashed(self, key: str) -> bool:
+        h = zlib.crc32(key.encode()) % HASHES
+        return self.known.hashes[h >> 3] >> (h & 7) & 1 == 1
+
+    def named_by_pattern(self, t: str):
+        """(start, end) of capitalised words that a pattern of high confidence makes a name."""
+        k = self.known
+        for _inst, left, right, seed, a, e in name_candidates(t, []):
+            if seed != 0 and (left in k.lefts or right in k.rights or f"l {left}" in self.extra or f"r {right}" in self.extra):
+                yield a, e
 
     def first_names(self, t: str) -> list[str]:
         """Words that are first names; words seen to be none are taken away at once."""
+        if self.extra:
+            return [w for w in set(t.split()) if "F" in self.kind(w)]
         out = []
         for w in set(t.split()) - self.other:
             if "F" in self.kind(w):
@@ -468,6 +526,8 @@ class Finder:
                 self.memo.clear()
             f = fold(word.strip(".,;:()[]\"'“”"))
             got = self.memo[word] = ("F" if f in self.known.first else "") + ("L" if f in self.known.last else "")
+        if self.extra:
+            return got + self.extra.get("w " + fold(word.strip(".,;:()[]\"'“”")), "")
         return got
 
     def mails(self, t: str):
@@ -531,8 +591,9 @@ class Finder:
                 return False
         return False
 
-    def spans(self, text: str | None) -> list[tuple[str, int, int]]:
-        """(type, start, end) in the stored text, in order and without overlap."""
+    def spans(self, text: str | None, extra: dict[str, str] | None = None) -> list[tuple[str, int, int]]:
+        """(type, start, end) in the stored text, in order and without overlap; extra is what the text has of the rare names."""
+        self.extra = extra or {}
         if not text:
             return []
         t, places = plain(text)
@@ -555,6 +616,8 @@ class Finder:
         for x, y in self.near_names(t):
             for a, e in self.names(t, x, y):
                 take("NAME", a, e)
+        for a, e in self.named_by_pattern(t):
+            take("NAME", a, e)
         out.sort(key=lambda x: x[1])
         if places is None:
             return out
@@ -565,33 +628,65 @@ _INITIAL = re.compile(r"(?<!\w)[A-ZÀ-Ý]\.\s[A-ZÀ-Ýa-z]")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w|@†!$]*[^\W_|@†!$])?(?:['’][^\W\d_]+)?[@|†0-9]?(?!\w)|[^\W_]")
 
 
+def _by_layer(pages: DataFrame, known: Learned, emit: Callable, schema: str) -> DataFrame:
+    """emit(field_name, layer_id, text, stretches) over all layers.
+
+    Layers with words or patterns that may be rare ones wait until these are joined; the others are done in one pass.
+    """
+    rows = layer_rows(pages).select("field_name", "layer_id", "text")
+    rare, lean, maker = known.rare, replace(known, rare=None), {}
+    waiting = rare is not None
+    width = schema.count(",") + 1
+
+    def finder() -> Finder:
+        if "f" not in maker:
+            maker["f"] = Finder(lean)
+        return maker["f"]
+
+    def one(field_name, layer_id, text):
+        f = finder()
+        if not waiting:
+            yield from emit(field_name, layer_id, text, f.spans(text))
+        elif keys := f.open_keys(text):
+            yield (*[None] * width, field_name, layer_id, text, keys)
+        else:
+            for row in emit(field_name, layer_id, text, f.spans(text)):
+                yield (*row, None, None, None, None)
+
+    def two(field_name, layer_id, text, held):
+        extra: dict[str, str] = {}
+        for x in held or ():
+            extra[x["key"]] = extra.get(x["key"], "") + x["kind"]
+        yield from emit(field_name, layer_id, text, finder().spans(text, extra))
+
+    if not waiting:
+        return arrow_pass(rows, one, schema)
+    done = cut(arrow_pass(rows, one, f"{schema}, _field string, _layer bigint, _text string, _keys array<string>"))
+    left = done.where("_text is not null").select("_field", "_layer", "_text", "_keys", F.monotonically_increasing_id().alias("_row"))
+    held = left.select("_row", F.explode("_keys").alias("key")).join(rare, "key").groupBy("_row").agg(F.collect_set(F.struct("key", "kind")).alias("_held"))
+    again = arrow_pass(left.join(held, "_row", "left").select("_field", "_layer", "_text", "_held"), two, schema)
+    return done.where("_text is null").select(*again.columns).unionByName(again)
+
+
 def find(pages: DataFrame, known: Learned | None = None) -> DataFrame:
     """field_name, layer_id, pii_type, char_start, char_end; one row per stretch."""
     known = learn(pages) if known is None else known
-    maker: dict = {}
 
-    def one(field_name, layer_id, text):
-        finder = maker.get("f")
-        if finder is None:
-            finder = maker["f"] = Finder(known)
-        return [(field_name, layer_id, k, a, e) for k, a, e in finder.spans(text)]
+    def one(field_name, layer_id, text, found):
+        return [(field_name, layer_id, k, a, e) for k, a, e in found]
 
-    return arrow_pass(layer_rows(pages).select("field_name", "layer_id", "text"), one, "field_name string, layer_id bigint, pii_type string, char_start int, char_end int")
+    return _by_layer(pages, known, one, "field_name string, layer_id bigint, pii_type string, char_start int, char_end int")
 
 
 def replaced(pages: DataFrame, known: Learned | None = None) -> DataFrame:
     """Every present layer with each stretch replaced by its type in brackets: field_name, layer_id, text, stretches."""
     known = learn(pages) if known is None else known
-    maker: dict = {}
 
-    def one(field_name, layer_id, text):
-        finder = maker.get("f")
-        if finder is None:
-            finder = maker["f"] = Finder(known)
-        found, out, at = finder.spans(text), [], 0
+    def one(field_name, layer_id, text, found):
+        out, at = [], 0
         for k, a, e in found:
             out += [text[at:a], f"[{k}]"]
             at = e
         yield field_name, layer_id, "".join(out) + text[at:], len(found)
 
-    return arrow_pass(layer_rows(pages).select("field_name", "layer_id", "text"), one, "field_name string, layer_id bigint, text string, stretches int")
+    return _by_layer(pages, known, one, "field_name string, layer_id bigint, text string, stretches int")

@@ -54,3 +54,18 @@ def test_query(spark, known, pages):
     texts = {(r.field_name, r.layer_id): r.text for r in P.replaced(p, known).collect()}
     assert texts["native_text", 0] == "Fale com [EMAIL] já" and texts["ocr_text", 1] == "" and len(texts) == 5
     assert P.find(p.limit(0)).count() == 0
+
+
+def test_unknown_names_by_patterns(known):
+    assert found(known, "A Sra. Zulmira Xandrovic informou o telefone (30) 93288-1111 para recados.")[0] == ("NAME", "Zulmira Xandrovic")
+    assert found(known, "A Padaria Xandrovic Zulmira abriu.") == []
+
+
+def test_rare_names_are_joined(spark, corpus, monkeypatch):
+    extra = ["Compareceu Zulmira Xandrovic, CPF 184.000.299-99, e saiu.", "A Sra. Zulmira Xandrovic informou o telefone (30) 93299-9521 para recados."]
+    texts = [*corpus, *extra, "Ontem veio zulmira xandrovic sozinha."]
+    p = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "layer_id bigint, native_text string, ocr_text string")
+    names = lambda: sorted((r.layer_id, r.char_start, r.char_end) for r in P.find(p).where("pii_type = 'NAME'").collect())
+    few = names()
+    monkeypatch.setattr(P, "SUPPORT", 0.02)  # the bound of a table many times as large
+    assert names() == few and (len(texts) - 1, 11, 28) in few
