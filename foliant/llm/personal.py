@@ -1,12 +1,18 @@
 """Problem 2: personal information inside free text.
 
-Bootstrapped contextual extraction.  Candidates (numbers, capitalised word
-sequences, address tails, mail domains) are counted over all layers as edges of
-a graph between lexical patterns, the words around a candidate, and instances,
-its shape or its words.  A few seed entities and seed words start with a score;
-Spark spreads scores over the graph, from patterns to instances and back, for a
-few rounds.  Patterns and instances of high confidence then decide about every
-stretch, also those that no seed knows.
+Bootstrapped contextual extraction.  Candidates are counted over all layers as
+edges of graphs between lexical patterns and instances:
+
+* numbers: the words around them, and their label with their shape;
+* mail addresses: the sign between local part and domain, and the address and its domain;
+* addresses: the words before and the place, complement or postal code behind, and the street word;
+* names: the words on either side, and the capitalised words.
+
+A few seed entities (plain mail addresses, some street words, labels of numbers,
+names that a mail address repeats) start with a score.  Spark spreads scores
+over the graphs, from instances to patterns and back, for a few rounds.
+Patterns and instances of high confidence then decide about every stretch, also
+those that no seed knows.
 
 Defined results: null, empty and blank layers give no row; equal layers give
 equal stretches; empty tables give empty results; columns other than the named
@@ -18,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -29,76 +36,114 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, cut, layer_rows
 from .lookalike import LOOK_ALIKE
 
-ROUNDS = 3
+ROUNDS = 4
 #: Scores from which a pattern or instance counts as one of its type.
 CONFIDENT = 0.5
-#: What is seen less often than this share of its kind's candidates gives no evidence; at most 1/SUPPORT of a kind are kept.
-SUPPORT = 2e-5
+#: What is seen less often gives no evidence: a fixed number, whatever the size of the tables.
+LEAST = 2
+#: The same for street words and places.
+LEAST_PLACES = 3
 #: A pattern of this score, around so many different names, makes a name of unknown words.
 SURE, SURE_NAMES = 0.9, 3
-#: Size of the table of hashes that tells most words from rare names before these are joined.
-HASHES = 1 << 22
+#: A number's label says this many times as much as the words farther off.
+LABEL_WEIGHT = 3
+#: The share of a number's form that a type must have for a label to give it that type.
+POSSIBLE = 0.1
+#: Rows of what was learned that every task holds, the most frequent ones; the rest is joined to the texts that need it.
+HELD = 50_000
+#: Size of the table of hashes that tells which words, labels and places may be among the rest.
+HASHES = 1 << 23
 
 #: Seed words before a number, by type; "-" marks numbers that are issued to no person.
 SEEDS = {
-    "PHONE": "telefone fone tel celular call llame phone teléfono téléphone telefon",
-    "ID_NUMBER": "cpf rg identidade dni passaporte passport pasaporte nif tax",
-    "-": "processo protocolo fiscal lote edital volume versão caixa sala prateleira art apenso r$ file expediente dossier akte дело том box chapas cep leitura",
+    "PHONE": "telefone fone tel celular call llame phone mobile teléfono móvil téléphone telefon handy телефон",
+    "ID_NUMBER": "cpf rg identidade dni passaporte passport pasaporte passeport nif tax ssn ausweis паспорт инн",
+    "-": "processo protocolo nota fiscal lote file expediente dossier akte дело том r$",
 }
+TYPES = (*SEEDS, "EMAIL", "ADDRESS")
+#: Seed street words, before a name and number and behind a number and name.
+STREETS = ("rua avenida av. calle rue", "street road avenue")
+#: Seed signs between the parts of a mail address; brackets of all kinds are one.
+SIGNS = ("@", "(arroba)", "(at)", "arroba")
 #: Words before a capitalised word that make it the name of a firm, school or street.
 NOT_PERSONS = frozenset(
     """padaria escola clínica instituto construtora editora transportes empresa condomínio associação fundação farmácia hospital colégio
-    bakery company school firma secretaria câmara cartório arquivo comissão rua r av avenida travessa alameda rod rodovia praça vila porto bairro
-    jardim centro lagoa serra nova são calle c""".split()
+    bakery company school firma secretaria câmara cartório arquivo comissão rua avenida travessa alameda rodovia praça calle plaza street""".split()
 )
 PARTICLES = frozenset("de da do dos das e del della von van".split())
+#: Words that stand before a street word and are none.
+BEFORE_STREETS = frozenset("na no da do de em à ao a o nas nos en la el at to in the per por para e und im".split())
 
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_TITLE = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
+_TITLE = r"[A-ZÀ-ÖØ-ÞЀ-Я][a-zß-öø-ÿа-џ]+"
 _NAME = re.compile(rf"{_TITLE}(?:\s(?:de|da|do|dos|das)\s{_TITLE}|\s{_TITLE}){{1,2}}(?![\w])|{_TITLE},\s{_TITLE}(?=[\s,:(])")
 _D = "0-9OolISBZ|"
-_G = rf"(?=[OolISBZ|]*\d)[{_D}]"  # the rest of a group of digits, one of them beyond doubt
+_G = rf"(?=[OolISBZ|]*\d)[{_D}]"  # one of a group of digits, at least one of them beyond doubt
+_GROUP = rf"(?:(?=[{_D}]*\d[OolISBZ|]*\d)[{_D}]{{2,}}|{_G}{{2,}})"
 _NUM = re.compile(
-    rf"(?<![\w/@.,-])(?:\+|\({{0,2}})(?:[OoQ0]?xx[{_D}]{{2}}|[A-Z]{{2}}{_G}{{6}}(?!\w)|{_G}(?=[{_D} .()-]))"
-    rf"[{_D}]*(?:(?:[ .\n-]|\)[ \n-]?|[ \n]?\()?(?<=\D){_G}{{2,}}|[./-]{_G}(?!\w)|\){_G}+)*(?:-[A-Z{_D}](?!\w))?"
+    rf"(?<![\w/@.,-])(?:\+|\({{0,2}})(?:[OoQ0]?xx[{_D}]{{2}}|[A-Z]{{2}}{_G}{{6}}(?!\w)|(?<=\()[{_D}]{{2}}(?=\)[ \n-]?{_G})|(?<=\+)[{_D}]{{2}} [OolISBZ|]{{2}}(?= {_G})|(?<=\+)[{_D}]{{1,2}}(?=[ \n]?[ (]{_G})|{_G}(?=[{_D} .()\n-]))"
+    rf"[{_D}]*(?:(?:[ .\n-]|\)[ \n-]?|[ \n]?\()?(?<=\D)(?!\d\d?:\d){_GROUP}|[./-]{_G}(?!\w)|\){_G}+|[ \n]?\([{_D}]{{2}}(?=\)[ \n-]?{_G}))*(?:-[A-Z{_D}](?!\w))?"
 )
-_AT = re.compile(r"\s?@\s?|\s?[(\[]\s?(?:[Aa]rroba|ARROBA|[Aa]t|AT)\s?[)\]]\s?|\s(?:arroba|ARROBA)\s")
-_DISGUISES = ("arroba", "Arroba", "ARROBA", "(at", "[at", "(AT", "[AT", "( at", "[ at")
+_SIGN = re.compile(r"\s?@\s?|\s?[(\[{<]\s?([^\W\d_]{2,8})\s?[)\]}>]\s?")
+_BRACKET = re.compile(r"[(\[{<]\s?[^\W\d_]{2,8}\s?[)\]}>]\s?[A-Za-z0-9][\w-]*\.")
+_DOTTED = re.compile(r"\.[^\W\d_]{2}")
+_BARE = re.compile(r"\s([^\W\d_]{2,8})\s$")
 _LOCAL = re.compile(r"[A-Za-z0-9_À-ÿ][\w+-]*(?:\.[\w+-]+)*$")
 _DOMAIN = re.compile(r"[A-Za-z0-9][\w-]*(?:\.[\w-]*\w)+")
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def _local(t: str, e: int) -> int:
+    """Where the local part that ends at e begins; e itself if there is none."""
+    a = e
+    while a and (t[a - 1].isalnum() or t[a - 1] in "._+-"):
+        a -= 1
+    m = _LOCAL.search(t[a:e])
+    return a + m.start() if m else e
+
+
+def _mail(t: str, a: int, e: int, sign: str):
+    start, right = _local(t, a), _DOMAIN.match(t, e)
+    if start < a and right and _LETTER.search(right[0].rpartition(".")[2]):
+        yield start, right.end(), t[start:a], right[0].lower(), sign
 
 
 def mails(t: str):
-    """(start, end, local part, domain) of mail addresses, also disguised ones."""
-    if "@" not in t and not any(x in t for x in _DISGUISES):
-        return
-    for m in _AT.finditer(t):
-        left = _LOCAL.search(t, max(0, m.start() - 64), m.start())
-        right = _DOMAIN.match(t, m.end())
-        if left and right:
-            yield left.start(), right.end(), left[0], right[0].lower()
+    """Candidate mail addresses: (start, end, local part, domain, sign between them)."""
+    if "@" in t or _BRACKET.search(t):
+        for m in _SIGN.finditer(t):
+            yield from _mail(t, m.start(), m.end(), f"({m[1].lower()})" if m[1] else "@")
+    done = -1
+    for m in _DOTTED.finditer(t):  # a bare word for the sign
+        a = m.start()
+        while a and (t[a - 1].isalnum() or t[a - 1] in "_.-"):
+            a -= 1
+        if a > done and (w := _BARE.search(t, max(0, a - 10), a)):
+            yield from _mail(t, w.start(), a, w[1].lower())
+        done = a
 
 
-_STREET_PT = r"(?:Rua|R\.|Av\.|Avenida|Avda\.|Travessa|Trav\.|Tv\.|Alameda|Al\.|Rod\.|Rodovia|Estrada|Largo|Praça|Pça\.|C/|Calle|Carrera|Paseo|Plaza)"
 _NO = r"(?:(?:[Nn][º°.o]?\s*|[Kk][Mm]\s*)?(?=[OolISB|]*\d)[0-9OolISB|]{1,5}|[Ss]\s?/\s?[Nn])(?![\w/])"
 _PART = r"(?:,\s*(?:apto\.?|ap\.|bloco|casa|sala|lote|fundos|andar|quadra|cj\.?|conj\.?|piso|puerta|flat|apt\.?)\s*\w+|,\s*\d{1,2}\.?º(?:\s?[A-Z](?!\w))?)"
 _CEP = r"(?:,?\s*CEP\s*[0-9OolISB|]{5}-?[0-9OolISB|]{3})"
 _CAPS = r"[A-ZÀ-Ý0-9|@][\w'’|@†-]+(?:\s(?:(?:de|da|do|dos|das|del|la)\s)?[A-ZÀ-Ý][\w'’|@†-]+){0,3}"
 _PLACE = rf"(?:(?:,|\s[-–])\s{_CAPS})"
-_ADDRESS = re.compile(rf"(?<![\w.]){_STREET_PT}\s+(?:[\w'’.|@†-]+\s+){{0,5}}?[\w'’|@†-]+,\s*{_NO}{_PART}*", re.I)
+#: A house number behind a comma; the comma comes first, so the search is for one sign.
+_HOUSE = re.compile(rf",\s*{_NO}", re.I)
 _PARTS = re.compile(rf"{_PART}", re.I)
 _PLACE_AT, _CEP_AT = re.compile(_PLACE), re.compile(_CEP, re.I)
-_ADDRESS_EN = re.compile(r"(?<![\w./-])[0-9OolISB|]{1,5}(?:\s[A-Z][\w'’|@†]+){1,3}\s(?:Lane|Street|St|Road|Rd|Avenue|Ave|Row|Way|Square|Close|Drive|Court|Hill)\b")
+_STREET_WORD = re.compile(r"[\w'’.|@†/-]+")
+_STREET_WORDS = 7  # a street's words, the street word among them
+_FIRST = re.compile(r"(?<![\w./-])(?=[OolISB|]{0,4}\d)[0-9OolISB|]{1,5}((?:\s[A-Z][\w'’|@†]+){2,4})\b")
+#: A digit, at most four more signs of the number, a blank and a capital: what every match of _FIRST has.
+_FIRST_SIGN = re.compile(r"\d[0-9OolISB|]{0,4}\s[A-Z]")
 
-#: What an address cannot be without: a number, mark or "s/n" behind a comma that is no decimal one; a number before capitals.
-_NUMBERED = re.compile(r"(?<!\d),\s*(?:(?:[nN][º°.o]?\s*|[kK][mM]\s*)?[OolISB|]{0,4}\d|[sS]\s?/)")
-_NUMBER_FIRST = re.compile(r"\d[OolISB|]?\s[A-Z][\w'’|@†]+\s[A-Z]")
 _SAME_WIDTH = {ord(x): y for a, b in LOOK_ALIKE.items() for x, y in zip(a, b)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x2007, 0x202F, 0x2009, 0x200A, 0x3000)}
-_BREAK = re.compile("(?<=\\w)[-¬=‐\\u00ad][ \\t]*\\n[ \\t]*(?=\\w)|[\\u00ad\\u200b-\\u200f\\u2060\\ufeff]")
-_WIDE = frozenset(map(chr, _SAME_WIDTH))
-_BREAKS = ("-\n", "¬\n", "=\n", "‐\n", "- \n", *"\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff")
+_WIDE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_SAME_WIDTH)) + "]")
+_UNSEEN = "\u00ad\u200b-\u200f\u2060\ufeff"
+_BREAK = re.compile(f"[-¬=‐{_UNSEEN}](?:(?<=\\w[-¬=‐\u00ad])[ \\t]*\\n[ \\t]*(?=\\w)|(?<=[{_UNSEEN}]))")
 
 
+@lru_cache(maxsize=200_000)
 def fold(word: str) -> str:
     """Lower-case letters without accents, shapes a scanner mixes up together."""
     w = word.lower()
@@ -114,33 +159,42 @@ _FOLD = str.maketrans({"0": "o", "1": "l", "|": "l", "!": "l", "i": "l", "5": "s
 
 def plain(text: str) -> tuple[str, list[int] | None]:
     """The text without breaks inside words and unseen marks, in one width; and where each character was, if any moved."""
-    if not _WIDE.isdisjoint(text):
-        text = text.translate(_SAME_WIDTH)
-    if not any(x in text for x in _BREAKS):
-        return text, None
+    try:
+        text.encode("latin-1")
+        if "\xa0" in text:
+            text = text.replace("\xa0", " ")
+    except UnicodeEncodeError:
+        if _WIDE.search(text):
+            text = text.translate(_SAME_WIDTH)
     at, out, places = 0, [], []
     for m in _BREAK.finditer(text):
         # a hyphen between parts of a number or address stays
-        if "\n" in m[0] and (text[m.start() - 1].isdigit() or text[m.end()].isdigit()):
-            out.append(text[at : m.start() + 1])
-            places.extend(range(at, m.start() + 1))
-            at = m.end()
-            continue
-        out.append(text[at : m.start()])
-        places.extend(range(at, m.start()))
+        stay = "\n" in m[0] and (text[m.start() - 1].isdigit() or text[m.end()].isdigit())
+        end = m.start() + stay
+        out.append(text[at:end])
+        places.extend(range(at, end))
         at = m.end()
+    if not out:
+        return text, None
     out.append(text[at:])
     places.extend(range(at, len(text) + 1))
     return "".join(out), places
 
 
+_LEAD = re.compile(r"[A-Z]{2}(?=[0-9OolISBZ|]{6}$)")
+_SHAPE = {c: "0" for c in "0123456789OolISBZ|"}
+
+
+@lru_cache(maxsize=100_000)
 def shape(s: str) -> str:
-    out = []
-    s = s.strip()
-    lead = re.match(r"[A-Z]{2}(?=[0-9OolISBZ|]{6}$)", s)
-    for i, c in enumerate(s):
-        out.append("A" if lead and i < 2 else "0" if c in "0123456789OolISBZ|" else " " if c.isspace() else c if not c.isalpha() else "x" if c == "x" else "A")
-    return "".join(out)
+    lead = 2 * (_LEAD.match(s) is not None)
+    return "A" * lead + "".join(_SHAPE.get(c) or (" " if c.isspace() else c if not c.isalpha() or c == "x" else "A") for c in s.strip()[lead:])
+
+
+@lru_cache(maxsize=10_000)
+def form(shape_: str) -> str:
+    """What a shape begins with and the lengths of its groups: (00) 00000-0000 and (00)00000 0000 are one form."""
+    return (shape_[:1] if shape_[:1] in "+(A" else "") + "-".join(str(len(g)) for g in re.findall(r"0+", shape_)) + ("A" if shape_[-1:] == "A" else "")
 
 
 @lru_cache(maxsize=100_000)
@@ -149,9 +203,13 @@ def label(word: str) -> str:
     return fold(re.sub(r"[^\w]", "", word.split("/")[0])) or word
 
 
+#: Characters around a candidate in which the words of its context are looked for.
+_CONTEXT = 96
+
+
 def before(t: str, a: int) -> list[str]:
     """Labels of the up to three words before a candidate; "#" for what holds a digit or is an address."""
-    words = [w.strip(".:,;()[]-–\"'“”º°") or w for w in t[max(0, a - 48) : a].lower().split()[-6:]]
+    words = [w.strip(".:,;()[]-–\"'“”º°") or w for w in t[max(0, a - _CONTEXT) : a].lower().split()[-6:]]
     words = [_masked(w) for w in words if w and not (set(w) <= _DOTS)]
     words = [w for w in words if w not in _NO_LABELS] or words
     return [label(w) for w in words[-3:]]
@@ -170,39 +228,21 @@ def behind(t: str, e: int) -> str:
     return " ".join(_masked(w) for w in t[e : e + 32].lower().split()[:3] if w not in (",", ".", ";"))
 
 
-#: A digit with another one near: what a number cannot be without.
-_NEAR = re.compile(r"\d[^,;:\d]{0,4}\d[^,;:\d]{0,5}\d[^,;:\d]{0,6}\d")
-
-
-def _numbers_in(t: str):
-    """Matches of the number pattern, looked for only around digits that are near each other."""
-    at = 0
-    while (w := _NEAR.search(t, at)) is not None:
-        a = w.start()
-        while a > at and w.start() - a < 12 and t[a - 1] in _AROUND:
-            a -= 1
-        m = _NUM.search(t, a, min(len(t), w.end() + 40))
-        if m is None or m.start() >= w.end():
-            at = w.start() + 1 if m is None else w.end()
-            at = max(at, w.end() - 8)
-            continue
-        yield m
-        at = m.end()
-
-
-_AROUND = frozenset("0123456789OolISBZ|x+( .()-/\nABCDEFGHJKLMNPQRTUVWXY")
+_STOPS_OF_NUMBERS = " .-(\n"
 
 
 def numbers(t: str):
     """Candidate numbers: (start, end, shape, word before, the words before that)."""
-    for m in _numbers_in(t):
+    for m in _NUM.finditer(t):
         a, b = m.span()
+        if b - a < 6:
+            continue
         s = t[a:b]
         while s and s[0] == "(" and s.count("(") > s.count(")"):
             a, s = a + 1, s[1:]
-        while s and (s[-1] in " .-(\n" or (s[-1] == ")" and s.count(")") > s.count("("))):
+        while s and (s[-1] in _STOPS_OF_NUMBERS or (s[-1] == ")" and s.count(")") > s.count("("))):
             b, s = b - 1, s[:-1]
-        if sum(c in "0123456789OolISBZ|" for c in s) < 6 or sum(map(str.isdigit, s)) < 4:
+        if sum(c in _SHAPE for c in s) < 6 or sum(map(str.isdigit, s)) < 4:
             continue
         words = before(t, a)
         yield a, b, shape(s), words[-1] if words else "^", words[:-1]
@@ -217,10 +257,10 @@ def name_candidates(t: str, locals_: list[str]):
         start = m.start()
         if "," in m[0]:
             words = words[1:] + words[:1]
-        elif len(words) == 3 and t[:start].rstrip()[-1:] in _STOPS:
-            start = m.start() + len(words[0])  # the first word of a sentence is taken as context
+        elif len(words) == 3 and t[max(0, start - 8) : start].rstrip()[-1:] in _STOPS:
+            start = m.start() + len(words[0]) + 1  # the first word of a sentence is taken as context
             words = words[1:]
-            if words[0] not in m[0][len(m[0].split()[0]) :].split()[:1]:
+            if not t.startswith(words[0], start):
                 continue
         left = [w.lower().strip(".:,;()") for w in t[max(0, m.start() - 30) : start].split()][-2:]
         right = t[m.end() : m.end() + 24].split()[:2]
@@ -232,107 +272,196 @@ def name_candidates(t: str, locals_: list[str]):
             seed = 0
         elif len(first) > 2 and any(x.startswith(first) or (first in x and last[:3] in x) or (x[:1] == first[:1] and x[1:] == last) for x in locals_):
             seed = 1
-        yield f"{first} {last}", " ".join(map(_masked, left)) or "^", " ".join(_masked(w.lower()) for w in right) or "$", seed, start, m.end()
+        yield f"{first} {last}", " ".join(fold(_masked(w)) for w in left) or "^", " ".join(_masked(w.lower()) for w in right) or "$", seed, start, m.end()
 
 
 _STOPS = frozenset(["", ".", "!", "?", "\n"])
 
 
-@dataclass
-class Learned:
-    """What the graph says, each table bounded by SUPPORT; names and patterns of names below it are in rare."""
-
-    numbers: dict[str, str] = field(default_factory=dict)
-    number_words: dict[str, str] = field(default_factory=dict)
-    shapes: dict[str, str] = field(default_factory=dict)
-    first: frozenset[str] = frozenset()
-    last: frozenset[str] = frozenset()
-    places: frozenset[str] = frozenset()
-    domains: frozenset[str] = frozenset()
-    lefts: frozenset[str] = frozenset()
-    rights: frozenset[str] = frozenset()
-    #: (key, kind), any number of rows, and the hashes of its keys; None if nothing is below the bound.
-    rare: DataFrame | None = None
-    hashes: bytes = b""
+@lru_cache(maxsize=100_000)
+def street_key(word: str) -> str:
+    """A street word as it is learned; an abbreviation keeps its full stop or slash."""
+    core = word.rstrip(".")
+    return fold(core) + ("." if core != word else "")
+
+
+def houses(t: str):
+    """(words before, their starts, start and end of the number) of house numbers behind a comma, words from near to far."""
+    for m in _HOUSE.finditer(t):
+        p = e = m.start()
+        lo = max(0, p - 400)
+        words, starts = [], []
+        for w in reversed(t[lo:p].rsplit(None, _STREET_WORDS)[-_STREET_WORDS:]):
+            s = t.rfind(w, lo, e)
+            if words and "\t" in t[s + len(w) : e]:
+                break  # another field
+            if not _STREET_WORD.fullmatch(w) or (w[-1] == "." and not words):
+                # the street word may hang on a label or bracket, all else is a word of its own
+                if words and (hung := _HUNG_WORD.search(w)):
+                    words.append(hung[0])
+                    starts.append(s + hung.start())
+                break
+            words.append(w)
+            starts.append(s)
+            e = s
+        if len(words) > 1:
+            yield words, starts, p, m.end()
+
+
+_HUNG_WORD = re.compile(r"(?<![\w.])[^\W\d_][\w'’|@†]*[./]?$")
+
+
+def _run(words: list[str]) -> tuple[int, int]:
+    """How many words before a number belong to a name, capitalised ones and particles between them; and with the particles before."""
+    n = 0
+    for k, w in enumerate(words):
+        if w[0].isupper() or w[0].isdigit() or w[0] in "|@":
+            n = k + 1
+        elif w.lower() not in _IN_STREETS:
+            return n, k
+    return n, len(words)
+
+
+_IN_STREETS = PARTICLES | {"la", "las", "los", "du", "des"}
+
+
+def heads(words: list[str]) -> tuple[int | None, int | None]:
+    """Where the street word of a house number can be: the first of the capitalised words, and the small word before them."""
+    n, m = _run(words)
+    if not n:
+        return None, None
+    return n - 1 if n > 1 else None, m if m < len(words) and words[m].lower() not in BEFORE_STREETS else None
+
+
+_SEED_STREETS = frozenset(f"h {street_key(w)}" for w in STREETS[0].split())
+
+
+def firsts(t: str):
+    """(start, words, ends) of house numbers before capitalised words."""
+    if _FIRST_SIGN.search(t) is None:
+        return
+    for m in _FIRST.finditer(t):
+        ws = list(re.finditer(r"\S+", m[1]))
+        yield m.start(), [w[0] for w in ws], [m.start(1) + w.end() for w in ws]
+
+
+def around(t: str, a: int, e: int) -> list[str]:
+    """Patterns around an address whose street word begins at a and whose number or street ends at e."""
+    left = [_masked(w.strip(".:,;()")) for w in t[max(0, a - 40) : a].lower().split()][-2:]
+    out = [f"< {' '.join(left)}"] if left else []
+    if _CEP_AT.match(t, e):
+        out.append("z")
+    elif c := _PARTS.match(t, e):
+        out.append(f"c {''.join(x for x in c[0].split()[1][:4] if x.isalpha()).lower() if len(c[0].split()) > 1 else 'º'}")
+    elif c := _PLACE_AT.match(t, e):
+        out.append(f"p {place_key(_place_text(c[0]))}")
+    else:
+        out.append(f"> {' '.join(t[e : e + 16].lower().split()[:1])}")
+    return out
 
 
-def address_spans(t: str, places: frozenset[str] | None):
-    """(start, end) of addresses; without known places, tails are taken up to a line's end."""
-    for pattern, sign in ((_ADDRESS, _NUMBERED), (_ADDRESS_EN, _NUMBER_FIRST)):
-        if sign.search(t) is None:
-            continue
-        for m in pattern.finditer(t):
-            if pattern is _ADDRESS and not _street_name(m[0]):
-                continue
-            e = m.end()
-            while True:
-                if c := _CEP_AT.match(t, e):
-                    e = c.end()
-                elif c := _PARTS.match(t, e):
-                    e = c.end()
-                elif c := _PLACE_AT.match(t, e):
-                    stop = _place_end(t, c.start(), c.end(), places)
-                    if stop <= e:
-                        break
-                    e = stop
-                    if stop < c.end():
-                        if x := _CEP_AT.match(t, e):
-                            e = x.end()
-                        elif not _PLACE_AT.match(t, e):
-                            break
-                else:
-                    break
-            yield m.start(), e
+def _place_text(s: str) -> str:
+    return re.sub(r"^(?:,|\s[-–])\s+", "", s)
 
 
-def _street_name(s: str) -> bool:
-    """What stands between the street word and the number is a name: words, one with a capital, no sentence."""
-    body = s.split(",")[0].split(None, 1)[-1]
-    return "." not in body.rstrip(".") and (body != body.lower() or s[0].isupper()) and any(c.isupper() for c in body)
+@dataclass
+class Learned:
+    """What the graphs say, by key: the most frequent rows in held, and any number of others in rest.
 
+    Keys: "w" words of names (F first, L last), "l" and "r" patterns around names, "n" labels with shapes, "b" labels and
+    "f" forms of numbers, "s" signs and "d" domains of mail addresses, "h" and "t" street words, "p" places, "q" their first words.
+    """
+
+    held: dict[str, str] = field(default_factory=dict)
+    #: (key, value), and the hashes of its keys; None if everything is held.
+    rest: DataFrame | None = None
+    hashes: bytes = b""
+    places: bool = False
+
+
+def tail(t: str, e: int, place) -> int:
+    """The end of an address whose number or street ends at e; place(start, end) gives the end of a place that may be there."""
+    while True:
+        if c := _CEP_AT.match(t, e):
+            e = c.end()
+        elif c := _PARTS.match(t, e):
+            e = c.end()
+        elif c := _PLACE_AT.match(t, e):
+            stop = place(c.start(), c.end())
+            if stop <= e:
+                return e
+            e = stop
+            if stop < c.end():
+                if x := _CEP_AT.match(t, e):
+                    e = x.end()
+                elif not _PLACE_AT.match(t, e):
+                    return e
+        else:
+            return e
 
-def _place_end(t: str, a: int, e: int, places: frozenset[str] | None) -> int:
-    """Where the place name that may begin in t[a:e] ends; a itself if it is none."""
-    head = re.match(r"(?:,|\s[-–])\s+", t[a:e])
-    s = a + head.end()
-    words = list(re.finditer(r"\S+", t[s:e]))
-    if places:
-        for k in range(len(words), 0, -1):
-            if place_key(t[s : s + words[k - 1].end()]) in places:
-                return s + words[k - 1].end()
-    nl = t.find("\n", s, e)
-    if nl < 0:
-        return e
-    return nl if nl > s else a
+
+def _at_line(t: str, a: int, e: int) -> int:
+    """Without known places, a place ends with its line."""
+    nl = t.find("\n", a + 2, e)
+    return e if nl < 0 else nl
 
 
 def place_key(s: str) -> str:
     return " ".join(fold(w) for w in s.split())
 
 
+def places_in(t: str, a: int, e: int):
+    """(key, end) of what may be a place in t[a:e], the longest first."""
+    s = a + re.match(r"(?:,|\s[-–])\s+", t[a:e]).end()
+    words = list(re.finditer(r"\S+", t[s:e]))
+    for k in range(len(words), 0, -1):
+        end = s + words[k - 1].end()
+        yield place_key(t[s:end]), end
+
+
 def observe(text: str, counts: Counter) -> None:
     """Add a layer's candidates to the counts of graph edges (kind, pattern, instance, seed)."""
     t, _ = plain(text)
     for _a, e, sh, one, others in numbers(t):
         for p in (f"1 {one}", *(f"< {w}" for w in others if len(w) > 2), f"> {behind(t, e)}"):
-            counts[("n", p, f"{one}\t{sh}", -1)] += 1
-        counts[("n", f"1 {one}", f"\t{sh}", -1)] += 1
+            counts[("n", p, f"{one}\t{sh}\t{form(sh)}", -1)] += 1
+        counts[("n", f"1 {one}", f"\t\t{form(sh)}", -1)] += 1  # labels of one form are near each other
     locals_ = []
-    for _a, _b, local, domain in mails(t):
-        locals_.append(fold(re.sub(r"[\W\d_]", "", local)))
-        counts[("d", "", domain, -1)] += 1
+    for _a, _b, local, domain, sign in mails(t):
+        counts[("@", sign, f"a {local.lower()}@{domain}", -1)] += 1
+        counts[("@", sign, f"d {domain}", -1)] += 1
+        if sign in SIGNS:
+            locals_.append(fold(re.sub(r"[\W\d_]", "", local)))
     for inst, left, right, seed, _a, _e in name_candidates(t, locals_):
         counts[("l", left, inst, seed)] += 1
         counts[("r", right, inst, seed)] += 1
-    for a, e in address_spans(t, None):
-        tail = t[a:e]
-        for m in _PLACE_AT.finditer(tail):
-            place = re.sub(r"^(?:,|\s[-–])\s+", "", m[0])
-            counts[("p", "", place_key(place), -1)] += 1
+    for words, starts, _p, e in houses(t):
+        keys = {f"h {street_key(words[k])}": k for k in heads(words) if k is not None}
+        if len(keys) > 1 and not _SEED_STREETS.intersection(keys):
+            counts[("b", *keys, -1)] += 1
+        if seeds := [k for k in keys if k in _SEED_STREETS]:
+            inner = {f"h {street_key(w)}" for w in words[: keys[seeds[0]]]}
+            keys = {k: keys[k] for k in seeds}
+            for x in inner:  # what stands in a street's name
+                counts[("a", "inner", x, -1)] += 4
+        for key, k in keys.items():
+            for x in around(t, starts[k], e):
+                counts[("a", x, key, -1)] += 1
+        _observe_places(t, e, tail(t, e, lambda a, b: _at_line(t, a, b)), keys, counts)
+    for a, words, ends in firsts(t):
+        for x in around(t, a, ends[-1]):
+            counts[("a", x, f"t {street_key(words[-1])}", -1)] += 1
+        _observe_places(t, ends[-1], tail(t, ends[-1], lambda a, b: _at_line(t, a, b)), [f"t {street_key(words[-1])}"], counts)
+
+
+def _observe_places(t: str, a: int, e: int, streets, counts: Counter) -> None:
+    for m in _PLACE_AT.finditer(t, a, e):
+        for s in streets:
+            counts[("p", s, place_key(_place_text(m[0])), -1)] += 1
 
 
 def edges(pages: DataFrame) -> DataFrame:
-    """The graph over all layers of all rows: kind, pattern, instance, seed, n; counted within tasks first."""
+    """The graphs over all layers of all rows: kind, pattern, instance, seed, n; counted within tasks first."""
     import pyarrow as pa
 
     kinds = pa.schema([("kind", pa.string()), ("pattern", pa.string()), ("instance", pa.string()), ("seed", pa.int32()), ("n", pa.int64())])
@@ -346,9 +475,9 @@ def edges(pages: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column("text").to_pylist():
                 observe(t, counts)
-            if len(counts) > 200_000:
-                yield flush(counts)
-                counts = Counter()
+                if len(counts) > 200_000:
+                    yield flush(counts)
+                    counts = Counter()
         if counts:
             yield flush(counts)
 
@@ -359,88 +488,160 @@ def edges(pages: DataFrame) -> DataFrame:
 def spread(graph: DataFrame, seeds: DataFrame, types: list[str], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Scores of patterns and of instances, a column s0, s1, ... for each type.
 
-    graph: pattern, instance, n.  seeds: pattern and the score columns; they hold in every round.
+    graph: pattern, instance, n, doubt.  seeds: pattern and the score columns; they hold in every round.
     An instance's score is the mean of its patterns', weighted by n, and the other way round; what has no score yet has
-    no weight.  A round is two joins and two aggregations of one chain, which is cut at its end.
+    no weight, or counts as 0 on edges with doubt.  A round is two joins and two aggregations of one chain, which is cut
+    at its end.
     """
     cols = [f"s{k}" for k in range(len(types))]
     first = F.broadcast(seeds) if len(types) > 1 else seeds  # seed words are a fixed list; other seeds are as many as there are
     edges_ = cut(graph.join(first.select("pattern", *[F.col(c).alias(f"_{c}") for c in cols]), "pattern", "left"))
 
     def mean(c: str):
-        return F.sum(F.col("n") * F.col(c)) / F.sum("n")
+        score = F.coalesce(F.col(c), F.when(F.col("doubt"), 0.0))
+        return F.sum(F.col("n") * score) / F.sum(F.when(score.isNotNull(), F.col("n")))
 
     patterns = seeds.select("pattern", *cols)
     for _ in range(rounds):
-        instances = edges_.join(patterns, "pattern").groupBy("instance").agg(*[mean(c).alias(c) for c in cols])
-        patterns = edges_.join(instances, "instance").groupBy("pattern").agg(*[F.coalesce(F.max(f"_{c}"), mean(c)).alias(c) for c in cols])
+        instances = edges_.join(patterns, "pattern", "left").groupBy("instance").agg(*[mean(c).alias(c) for c in cols])
+        patterns = edges_.join(instances, "instance", "left").groupBy("pattern").agg(*[F.coalesce(F.max(f"_{c}"), mean(c)).alias(c) for c in cols])
     patterns = cut(patterns)
-    instances = cut(edges_.join(patterns, "pattern").groupBy("instance").agg(*[mean(c).alias(c) for c in cols]))
+    instances = cut(edges_.join(patterns, "pattern", "left").groupBy("instance").agg(*[mean(c).alias(c) for c in cols]))
     return patterns, instances
 
 
-def _table(df: DataFrame, key: str, types: list[str]) -> dict[str, str]:
-    """key -> type of the best score, where it is confident."""
-    cols = [f"s{k}" for k in range(len(types))]
-    rows = df.where(F.greatest(*cols) >= CONFIDENT if len(cols) > 1 else F.col(cols[0]) >= CONFIDENT).select(key, *cols).collect()
-    return {r[0]: types[max(range(len(cols)), key=lambda k: r[k + 1])] for r in rows}
-
-
-def learn(pages: DataFrame) -> Learned:
-    """Run the bootstrap over all layers; only tables bounded by SUPPORT reach the driver."""
-    spark = pages.sparkSession
-    graph = cut(edges(pages))
-    totals = {k: n for k, n in graph.groupBy("kind").agg(F.sum("n")).collect()}
+def _best(types: list[str], least: float = CONFIDENT):
+    """The type of the best score, null where it is not confident."""
+    cols = [F.col(f"s{k}") for k in range(len(types))]
+    top = F.greatest(*cols) if len(cols) > 1 else cols[0]
+    out = F.lit(None).cast("string")
+    for c, t in reversed(list(zip(cols, types))):
+        out = F.when((top >= least) & (c == top), t).otherwise(out)
+    return out
 
-    def least(kind: str) -> float:
-        return max(2.0, SUPPORT * totals.get(kind, 0))
 
-    def kept(kind: str, floor: float) -> DataFrame:
-        g = graph.where(F.col("kind") == kind)
-        supported = g.groupBy("pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= floor).select("pattern")
-        return g.join(supported, "pattern", "left_semi").select("pattern", "instance", "seed", "n")
+def _scored(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Patterns and instances of numbers, mail addresses and streets with their scores by TYPES.
 
-    out = Learned()
-    graph_n = kept("n", least("n")).select("pattern", "instance", "n")
+    Mail addresses and streets have no seeds against them, so their edges are doubted.
+    """
+    spark = graph.sparkSession
+    g = graph.where("kind in ('n', '@', 'a')").select(
+        F.when(F.col("kind") == "a", F.col("instance")).otherwise(F.concat(F.when(F.col("kind") == "@", "s ").otherwise(""), "pattern")).alias("pattern"),
+        F.when(F.col("kind") == "a", F.concat(F.lit("a "), "pattern")).otherwise(F.concat("kind", F.lit(" "), "instance")).alias("instance"),
+        (F.col("n") * F.when(F.startswith("pattern", F.lit("1 ")) & (F.col("kind") == "n"), LABEL_WEIGHT).otherwise(1)).alias("n"), (F.col("kind") != "n").alias("doubt"),
+    )
+    often = g.groupBy("pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("pattern")
+    rows = [(f"1 {one}", kind) for one, kind in _SEED_LABELS.items()] + [(f"s {x}", "EMAIL") for x in SIGNS] + [(f"{k} {street_key(w)}", "ADDRESS") for k, ws in zip("ht", STREETS) for w in ws.split()]
+    of = {"n": TYPES[:3], "s": TYPES[3:], "h": TYPES[3:], "t": TYPES[3:]}
+    seeds = spark.createDataFrame([(p, *(float(t == kind) if t in of[p[0] if p[0] in of else "n"] else None for t in TYPES)) for p, kind in rows], "pattern string, " + ", ".join(f"s{k} double" for k in range(len(TYPES))))
+    return spread(g.join(often, "pattern", "left_semi"), seeds, list(TYPES), ROUNDS)
+
+
+def _numbers_learned(graph: DataFrame, instances: DataFrame) -> DataFrame:
+    """key, value, n of labels with shapes, labels, and forms.
+
+    Labels and forms are judged over all their numbers: one that no pattern scores counts against every type.
+    """
     kinds = list(SEEDS)
-    rows = [(f"1 {label(w)}", *(float(k == kind) for k in kinds)) for kind, ws in SEEDS.items() for w in ws.split()]
-    seeds = spark.createDataFrame(list(dict.fromkeys(rows)), "pattern string, " + ", ".join(f"s{k} double" for k in range(len(kinds))))
-    patterns, instances = spread(graph_n, seeds, kinds)
-    supported = graph_n.where(F.startswith("pattern", F.lit("1 "))).groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= least("n"))
-    table = _table(instances.join(supported.select("instance"), "instance", "left_semi"), "instance", kinds)
-    out.numbers = {k: v for k, v in table.items() if not k.startswith("\t")}
-    out.shapes = {k[1:]: v for k, v in table.items() if k.startswith("\t")}
-    out.number_words = {k[2:]: v for k, v in _table(patterns.where(F.startswith("pattern", F.lit("1 "))), "pattern", kinds).items()}
-
-    people = kept("l", 2.0).unionByName(kept("r", 2.0).withColumn("pattern", F.concat(F.lit("> "), F.col("pattern"))))
+    cols = [f"s{k}" for k in range(len(kinds))]
+    seen = graph.where("kind = 'n'").where(F.startswith("pattern", F.lit("1 ")) & ~F.startswith("instance", F.lit("\t"))).groupBy("instance").agg(F.sum("n").alias("n"))
+    part = F.split("instance", "\t")
+    scores = instances.where(F.startswith("instance", F.lit("n "))).select(F.substr("instance", F.lit(3)).alias("instance"), *cols)
+    fine = cut(seen.join(scores, "instance", "left").select(part[0].alias("label"), part[1].alias("shape"), part[2].alias("form"), "n", *cols))
+
+    def shares(key: str) -> DataFrame:
+        return fine.groupBy(key).agg(F.sum("n").alias("n"), *[(F.sum(F.col("n") * F.coalesce(c, F.lit(0.0))) / F.sum("n")).alias(c) for c in cols]).where(F.col("n") >= LEAST)
+
+    possible = [F.when(F.col(c) >= POSSIBLE, F.concat(F.lit(f"{t}="), F.round(c, 3).cast("string"))) for c, t in zip(cols, kinds)]
+    return (
+        fine.where(F.col("n") >= LEAST).select(F.concat(F.lit("n "), "label", F.lit("\t"), "shape").alias("key"), _best(kinds).alias("value"), "n")
+        .unionByName(shares("label").select(F.concat(F.lit("b "), "label").alias("key"), _best(kinds).alias("value"), "n"))
+        .unionByName(shares("form").select(F.concat(F.lit("f "), "form").alias("key"), F.nullif(F.concat_ws(" ", *possible), F.lit("")).alias("value"), "n"))
+        .where("value is not null")
+    )
+
+
+_SEED_LABELS = {label(w): kind for kind, ws in SEEDS.items() for w in ws.split()}
+
+
+def _places_learned(graph: DataFrame, patterns: DataFrame, instances: DataFrame) -> DataFrame:
+    """key, value, n of signs and domains of mail addresses, street words, places and their first words."""
+    n = graph.where("kind in ('@', 'a')").groupBy(F.when(F.col("kind") == "a", F.col("instance")).otherwise(F.concat(F.lit("s "), "pattern")).alias("pattern")).agg(F.sum("n").alias("n"))
+    score = F.greatest("s3", "s4")
+    # a bare word for the sign takes more than a bracketed one: it also stands before domains in sentences
+    bare = F.col("pattern").rlike("^s [^(@]")
+    sure = patterns.where(F.col("pattern").rlike("^[sht] ") & (score >= F.when(bare, 0.75).otherwise(CONFIDENT))).join(n, "pattern").where(F.col("n") >= LEAST_PLACES).select("pattern", "n")
+    fixed = [f"s {x}" for x in SIGNS] + [f"{k} {street_key(w)}" for k, ws in zip("ht", STREETS) for w in ws.split()]
+    known = cut(sure.unionByName(graph.sparkSession.createDataFrame([(x, LEAST_PLACES) for x in fixed], "pattern string, n bigint")).groupBy("pattern").agg(F.max("n").alias("n")))
+    # a small word before capitalised ones is no street word where these mostly begin with one
+    other = graph.where("kind = 'b'").join(known.select("pattern", F.lit(1).alias("own")), "pattern", "left")
+    other = other.groupBy(F.col("instance").alias("pattern")).agg((F.sum(F.coalesce("own", F.lit(0)) * F.col("n")) / F.sum("n")).alias("own")).where(F.col("own") >= CONFIDENT).select("pattern")
+    known = cut(known.join(other, "pattern", "left_anti"))
+    places = graph.where("kind = 'p'").join(known.select("pattern"), "pattern", "left_semi").groupBy(F.col("instance").alias("place")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PLACES)
+    places = cut(places)
+    # what follows a place without a mark is no part of it: its shorter form is much more frequent
+    words = F.split("place", " ")
+    longer = places.where(F.size(words) > 1).select("place", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.array_join(F.slice(words, 1, k), " "))).alias("short"))
+    junk = longer.join(places.select(F.col("place").alias("short"), F.col("n").alias("often")), "short").where("often >= 20 * n").select("place").distinct()
+    places = cut(places.join(junk, "place", "left_anti"))
+    openings = places.where(F.instr("place", " ") > 0).groupBy(F.split("place", " ")[0].alias("w")).agg(F.sum("n").alias("n"))
+    mail = graph.where("kind = '@'").groupBy(F.concat(F.lit("@ "), "instance").alias("instance")).agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PLACES)
+    domains = instances.where(F.startswith("instance", F.lit("@ d ")) & (F.col("s3") >= CONFIDENT)).join(mail, "instance").select(F.substr("instance", F.lit(3)).alias("instance"), "n")
+    row = lambda df, key, value: df.select(key.alias("key"), F.lit(value).alias("value"), "n")
+    return (
+        row(known, F.col("pattern"), "+")
+        .unionByName(row(domains, F.col("instance"), "+"))
+        .unionByName(row(places, F.concat(F.lit("p "), "place"), "+"))
+        .unionByName(row(openings, F.concat(F.lit("q "), "w"), "+"))
+    )
+
+
+def _names_learned(graph: DataFrame, places: DataFrame) -> DataFrame:
+    """key, value, n of words of names and of sure patterns around them; what is a place is no person."""
+    g = graph.where("kind in ('l', 'r')").withColumn("pattern", F.when(F.col("kind") == "r", F.concat(F.lit("> "), F.col("pattern"))).otherwise(F.col("pattern")))
+    words = F.filter(F.split(F.substr("key", F.lit(3)), " "), lambda w: ~w.isin(sorted(PARTICLES)))
+    place = places.where(F.startswith("key", F.lit("p "))).select(F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1)).alias("instance"), F.lit(True).alias("place")).distinct()
+    opening = places.where(F.startswith("key", F.lit("q "))).select(F.substr("key", F.lit(3)).alias("_w"), F.lit(True).alias("opening"))
+    g = g.withColumn("_w", F.when(F.col("kind") == "l", F.element_at(F.split("pattern", " "), -1))).join(place, "instance", "left").join(opening, "_w", "left")
+    g = g.withColumn("seed", F.when(F.col("place") | F.col("opening"), 0).otherwise(F.col("seed"))).drop("place", "opening", "_w")
+    often = g.groupBy("kind", "pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("kind", "pattern")
+    people = cut(g.join(often, ["kind", "pattern"], "left_semi"))
     # seed entities: sequences that a mail address repeats, against firms and streets
-    start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= 2)
-    around, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
-    # tokens: first names by their instances' scores, last names by the first names they follow
-    weight = kept("l", 2.0).where("seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
+    start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    patterns, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).withColumn("doubt", F.lit(False)), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
+    # words: first names by their instances' scores, last names by the first names they follow
+    weight = people.where("kind = 'l' and seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
     scored = weight.join(persons, "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("s0", F.lit(0.0)).alias("score"), "n")
-    firsts = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
-    firsts = cut(firsts.where((F.col("s") >= CONFIDENT) & (F.col("n") >= 2)).select("first", "n"))
-    behind = scored.where(F.length("last") >= 3).join(firsts.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
-    lasts = behind.join(firsts.select(F.col("first").alias("last")), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= 2))
+    firsts_ = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
+    firsts_ = cut(firsts_.where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST)).select("first", "n"))
+    follow = scored.where(F.length("last") >= 3).join(firsts_.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
+    lasts = follow.join(firsts_.select(F.col("first").alias("last")), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST))
     seen = people.groupBy("pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("names")).where(F.col("names") >= SURE_NAMES)
-    sure = around.where(F.col("s0") >= SURE).join(seen, "pattern").where("pattern not in ('^', '> $')")
+    sure = patterns.where(F.col("s0") >= SURE).join(seen, "pattern").where("pattern not in ('^', '> $')")
     side = F.when(F.startswith("pattern", F.lit("> ")), F.concat(F.lit("r "), F.substr("pattern", F.lit(3)))).otherwise(F.concat(F.lit("l "), "pattern"))
-    word = lambda x, c, k: x.select(F.concat(F.lit("w "), c).alias("key"), F.lit(k).alias("kind"), "n")
-    table_l = cut(word(firsts, "first", "F").unionByName(word(lasts, "last", "L")).unionByName(sure.select(side.alias("key"), F.lit("P").alias("kind"), "n")))
-    often = table_l.where(F.col("n") >= least("l")).select("key", "kind").collect()
-    out.first, out.last = (frozenset(k[2:] for k, kind in often if kind == x) for x in "FL")
-    out.lefts, out.rights = (frozenset(k[2:] for k, kind in often if kind == "P" and k[0] == x) for x in "lr")
-    rare = table_l.where(F.col("n") < least("l")).select("key", "kind")
-    bits = bytearray(HASHES // 8)
-    held = rare.select((F.crc32("key") % HASHES).alias("h")).distinct().toPandas()["h"]
-    for h in held:
-        bits[h >> 3] |= 1 << (h & 7)
-    if len(held):
-        out.rare, out.hashes = rare, bytes(bits)
-    for where, kind in (("places", "p"), ("domains", "d")):
-        g = graph.where(F.col("kind") == kind).groupBy("instance").agg(F.sum("n").alias("n")).where(F.col("n") >= max(3.0, least(kind), 2e-3 * totals.get(kind, 0)))
-        setattr(out, where, frozenset(r[0] for r in g.select("instance").collect()))
+    word = lambda df, c, value: df.select(F.concat(F.lit("w "), c).alias("key"), F.lit(value).alias("value"), "n")
+    return word(firsts_, "first", "F").unionByName(word(lasts, "last", "L")).unionByName(sure.select(side.alias("key"), F.lit("P").alias("value"), "n"))
+
+
+def learn(pages: DataFrame, held: int | None = None) -> Learned:
+    """Run the bootstrap over all layers; at most held rows and the hashes of the others reach the driver."""
+    held = held or HELD
+    graph = cut(edges(pages))
+    patterns, instances = _scored(graph)
+    places = cut(_places_learned(graph, patterns, instances))
+    table = cut(_numbers_learned(graph, instances).unionByName(places).unionByName(_names_learned(graph, places)))
+    first = table.orderBy(F.desc("n"), "key").limit(held).select("key", "value", "n").collect()
+    out = Learned(places=any(r["key"].startswith("p ") for r in first))
+    for r in first:
+        out.held[r["key"]] = out.held.get(r["key"], "") + r["value"]
+    if len(first) == held and table.count() > held:
+        last = first[-1]
+        rest = table.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("key") >= last["key"]))).select("key", "value")
+        bits = bytearray(HASHES // 8)
+        for h in rest.select((F.crc32("key") % HASHES).alias("h")).distinct().toPandas()["h"]:
+            bits[h >> 3] |= 1 << (h & 7)
+        out.rest, out.hashes = rest, bytes(bits)
     return out
 
 
@@ -449,102 +650,124 @@ class Finder:
 
     def __init__(self, known: Learned):
         self.known = known
-        self.memo: dict[str, str] = {}
-        self.other: set[str] = set()
-        self.not_rare: set[str] = set()
+        self.pieces: dict[str, str] = {}
+        self.nothing: set[str] = set()
         self.extra: dict[str, str] = {}
 
+    def look(self, key: str) -> str | None:
+        return self.known.held.get(key) or (self.extra.get(key) if self.extra else None)
+
     def open_keys(self, text: str | None) -> list[str]:
-        """Words and patterns of a text that may be in the table of rare ones."""
+        """Keys that the text may be asked for and that may be in the table of the rest."""
         if not text:
             return []
         t, _ = plain(text)
-        out = set()
-        for w in set(_TOKEN.findall(t)) - self.not_rare:
-            if self._hashed(key := f"w {fold(w)}"):
-                out.add(key)
-                continue
-            if len(self.not_rare) > 200_000:
-                self.not_rare.clear()
-            self.not_rare.add(w)
-        for _inst, left, right, seed, _a, _e in name_candidates(t, []):
-            if seed != 0:
-                out.update(k for k in (f"l {left}", f"r {right}") if self._hashed(k))
-        return sorted(out)
+        keys = {f"w {fold(w)}" for w in set(_TOKEN.findall(t))}
+        for _inst, left, right, _seed, _a, _e in name_candidates(t, []):
+            keys.update((f"l {left}", f"r {right}"))
+        for _a, _e, sh, one, _ in numbers(t):
+            keys.update((f"n {one}\t{sh}", f"b {one}", f"f {form(sh)}"))
+        for _a, e, _local_, domain, sign in mails(t):
+            keys.update((f"s {sign}", f"d {domain}", *(f"d {d}" for d, _ in self._longer(t, e, domain))))
+        ends = []
+        for words, _starts, _p, e in houses(t):
+            keys.update(f"h {street_key(w)}" for w in words)
+            ends.append(e)
+        for _a, words, stops in firsts(t):
+            keys.update(f"t {street_key(w)}" for w in words[1:])
+            ends += stops[1:]
+        for e in ends:
+            e = tail(t, e, lambda a, b: (keys.update(f"p {k}" for k, _ in places_in(t, a, b)), _at_line(t, a, b))[1])
+        for w in {w for k in keys if k[0] == "w" for w in (k[2:],)}:
+            keys.update((f"q {w}", f"h {w}", f"h {w}."))
+        return sorted(k for k in keys if self._hashed(k))
 
     def _hashed(self, key: str) -> bool:
         h = zlib.crc32(key.encode()) % HASHES
         return self.known.hashes[h >> 3] >> (h & 7) & 1 == 1
 
-    def named_by_pattern(self, t: str):
-        """(start, end) of capitalised words that a pattern of high confidence makes a name."""
-        k = self.known
-        for _inst, left, right, seed, a, e in name_candidates(t, []):
-            if seed != 0 and (left in k.lefts or right in k.rights or f"l {left}" in self.extra or f"r {right}" in self.extra):
-                yield a, e
+    def kind(self, word: str) -> str:
+        """Whether a word is a first or a last name, or both."""
+        return self.look(f"w {fold(word)}") or ""
 
-    def first_names(self, t: str) -> list[str]:
-        """Words that are first names; words seen to be none are taken away at once."""
+    def has_names(self, t: str) -> bool:
+        """Whether a word of the text is known; a word that is none is taken away at once the next time."""
         if self.extra:
-            return [w for w in set(t.split()) if "F" in self.kind(w)]
-        out = []
-        for w in set(t.split()) - self.other:
-            if "F" in self.kind(w):
-                out.append(w)
-                continue
-            if len(self.other) > 200_000:
-                self.other.clear()
-            self.other.add(w)
-        return out
-
-    def near_names(self, t: str):
-        """(start, end) of the stretches of a text that can hold a name: around first names and initials."""
-        hits = [m.start() for m in _INITIAL.finditer(t)]
-        for w in self.first_names(t):
-            at = t.find(w)
-            while at >= 0:
-                hits.append(at)
-                at = t.find(w, at + len(w))
-        joined: list[list[int]] = []
-        for h in sorted(hits):
-            if joined and h - 60 <= joined[-1][1]:
-                joined[-1][1] = max(joined[-1][1], h + 120)
-            else:
-                joined.append([max(0, h - 60), h + 120])
-        for a, b in joined:
-            while a > 0 and not t[a - 1].isspace():
-                a -= 1
-            b = min(len(t), b)
-            while b < len(t) and not t[b].isspace():
-                b += 1
-            yield a, b
+            return any(self.kind(w) for w in set(_TOKEN.findall(t)))
+        for piece in set(_PIECE.findall(t)) - self.nothing:
+            if any(self.kind(w) for w in _TOKEN.findall(piece)):
+                return True
+            if len(self.nothing) > 200_000:
+                self.nothing.clear()
+            self.nothing.add(piece)
+        return False
 
-    def kind(self, word: str) -> str:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            f = fold(word.strip(".,;:()[]\"'“”"))
-            got = self.memo[word] = ("F" if f in self.known.first else "") + ("L" if f in self.known.last else "")
-        if self.extra:
-            return got + self.extra.get("w " + fold(word.strip(".,;:()[]\"'“”")), "")
-        return got
+    @staticmethod
+    def _longer(t: str, e: int, domain: str):
+        if x := re.compile(r"\.?\s?[\w-]+(?:\.[\w-]+)*").match(t, e):
+            yield domain + re.sub(r"\s", "", x[0]).lower(), x.end()
 
     def mails(self, t: str):
-        for a, e, _local, domain in mails(t):
-            if self.known.domains and domain not in self.known.domains:
-                if x := re.match(r"\.?\s?[\w-]+(?:\.[\w-]+)*", t[e:]):
-                    if (domain + re.sub(r"\s", "", x[0]).lower()) in self.known.domains:
-                        e += x.end()
+        for a, e, _l, domain, sign in mails(t):
+            if not self.look(f"s {sign}"):
+                continue
+            if not self.look(f"d {domain}"):
+                for longer, end in self._longer(t, e, domain):
+                    if self.look(f"d {longer}"):
+                        e = end
             yield a, e
 
+    def place(self, t: str, a: int, e: int) -> int:
+        """The end of the longest known place that begins in t[a:e]; else that of the line, if it goes on; a if there is none."""
+        if self.known.places:
+            for key, end in places_in(t, a, e):
+                if self.look(f"p {key}"):
+                    return end
+        s = a + re.match(r"(?:,|\s[-–])\s+", t[a:e]).end()
+        nl = t.find("\n", s, e)
+        return e if nl < 0 else nl if nl > s else a
+
+    def addresses(self, t: str):
+        for words, starts, _p, e in houses(t):
+            # the street word: the first of the capitalised words if it is known, else the small word before, else the nearest
+            known = [k for k in range(1, len(words)) if self.look(f"h {street_key(words[k])}")]
+            if not known:
+                continue
+            k = next((x for x in heads(words) if x in known), known[0])
+            body = words[:k]
+            if any(w.rstrip(".").count(".") for w in body) or not any(c.isupper() for w in body for c in w):
+                continue
+            yield starts[k], tail(t, e, lambda a, b: self.place(t, a, b))
+        for a, words, stops in firsts(t):
+            for k in range(len(words) - 1, 0, -1):
+                if self.look(f"t {street_key(words[k])}"):
+                    yield a, tail(t, stops[k], lambda x, y: self.place(t, x, y))
+                    break
+
     def number_type(self, sh: str, one: str) -> str | None:
-        k = self.known
-        kind = k.numbers.get(f"{one}\t{sh}") or k.number_words.get(one) or k.shapes.get(sh)
+        """By label and shape where they were seen together, else by both apart; a label alone does not suffice, unless it is a seed."""
+        shares = {k: float(v) for k, v in (x.split("=") for x in (self.look(f"f {form(sh)}") or "").split())}
+        best = max(shares, key=shares.__getitem__, default=None)
+        seed = _SEED_LABELS.get(one)
+        kind = self.look(f"n {one}\t{sh}")
+        if kind is not None:
+            kind = kind if kind in shares or kind == seed else None
+        elif seed is not None:
+            kind = seed
+        elif (kind := self.look(f"b {one}")) is not None:
+            kind = kind if kind == best else None
+        elif best is not None and shares[best] >= CONFIDENT and all(3 * v <= shares[best] for k, v in shares.items() if k != best):
+            kind = best
         return None if kind == "-" else kind
 
-    def names(self, t: str, a: int = 0, b: int | None = None):
-        words = [m for m in _TOKEN.finditer(t, a, len(t) if b is None else b)]
+    def named_by_pattern(self, t: str):
+        """(start, end) of capitalised words that a pattern of high confidence makes a name."""
+        for _inst, left, right, seed, a, e in name_candidates(t, []):
+            if seed != 0 and (self.look(f"l {left}") or self.look(f"r {right}")):
+                yield a, e
+
+    def names(self, t: str):
+        words = list(_TOKEN.finditer(t))
         kinds = [self.kind(m[0]) for m in words]
         n, i = len(words), 0
         gap = lambda x, y: t[words[x].end() : words[y].start()]
@@ -552,24 +775,26 @@ class Finder:
             k = kinds[i]
             if not k:
                 # an initial before a last name
-                if len(words[i][0]) == 1 and words[i][0].isupper() and i + 1 < n and "L" in kinds[i + 1] and gap(i, i + 1).strip() == "." and len(gap(i, i + 1)) <= 2 and not self._firm(t, words, i):
+                if i + 1 < n and "L" in kinds[i + 1] and len(words[i][0]) == 1 and words[i][0].isupper() and gap(i, i + 1).strip() == "." and len(gap(i, i + 1)) <= 2 and not self._firm(words, i):
                     yield words[i].start(), words[i + 1].end()
                     i += 2
                     continue
                 i += 1
                 continue
-            if "L" in k and i + 1 < n and "F" in kinds[i + 1] and re.fullmatch(r",\s", gap(i, i + 1)) and not self._firm(t, words, i):
+            if "L" in k and i + 1 < n and "F" in kinds[i + 1] and re.fullmatch(r",\s", gap(i, i + 1)) and not self._firm(words, i):
                 j = i + 1
                 while j + 1 < n and "F" in kinds[j + 1] and gap(j, j + 1).isspace():
                     j += 1
                 yield words[i].start(), words[j].end()
                 i = j + 1
                 continue
-            if "F" in k and not self._firm(t, words, i):
+            if "F" in k and not self._firm(words, i):
                 j, end = i, None
                 while j + 1 < n and len(gap(j, j + 1)) <= 2 and gap(j, j + 1).isspace():
                     if "L" in kinds[j + 1]:
                         end = j + 1
+                    elif end is not None and ("F" in kinds[j + 1] or words[j + 1][0].lower() == "e" and j + 2 < n and "F" in kinds[j + 2]):
+                        break  # another person
                     elif not ("F" in kinds[j + 1] or words[j + 1][0].lower() in PARTICLES):
                         break
                     j += 1
@@ -579,8 +804,8 @@ class Finder:
                     continue
             i += 1
 
-    def _firm(self, t: str, words: list, i: int) -> bool:
-        """A firm, school or street word stands before."""
+    def _firm(self, words: list, i: int) -> bool:
+        """A word of a firm, school, street or place stands before."""
         for back in (1, 2):
             if i < back:
                 return False
@@ -588,53 +813,54 @@ class Finder:
             if w in NOT_PERSONS:
                 return True
             if w not in PARTICLES:
-                return False
+                f = fold(w)
+                return words[i - back][0][0].isupper() and bool(self.look(f"h {f}") or self.look(f"h {f}.") or self.look(f"q {f}"))
         return False
 
     def spans(self, text: str | None, extra: dict[str, str] | None = None) -> list[tuple[str, int, int]]:
-        """(type, start, end) in the stored text, in order and without overlap; extra is what the text has of the rare names."""
+        """(type, start, end) in the stored text, in order and without overlap; extra is what the text has of the rest."""
         self.extra = extra or {}
         if not text:
             return []
         t, places = plain(text)
-        taken: list[tuple[int, int]] = []
-        out: list[tuple[str, int, int]] = []
+        starts: list[int] = []
+        out: list[tuple[int, int, str]] = []
 
         def take(kind: str, a: int, e: int) -> None:
-            if a < e and all(e <= x or a >= y for x, y in taken):
-                taken.append((a, e))
-                out.append((kind, a, e))
+            k = bisect_right(starts, a)
+            if a < e and (not k or out[k - 1][1] <= a) and (k == len(out) or e <= out[k][0]):
+                starts.insert(k, a)
+                out.insert(k, (a, e, kind))
 
         for a, e in self.mails(t):
             take("EMAIL", a, e)
-        for a, e in address_spans(t, self.known.places):
+        for a, e in self.addresses(t):
             take("ADDRESS", a, e)
         for a, e, sh, one, _ in numbers(t):
-            kind = self.number_type(sh, one)
-            if kind:
+            if kind := self.number_type(sh, one):
                 take(kind, a, e)
-        for x, y in self.near_names(t):
-            for a, e in self.names(t, x, y):
+        if self.has_names(t):
+            for a, e in self.names(t):
                 take("NAME", a, e)
         for a, e in self.named_by_pattern(t):
             take("NAME", a, e)
-        out.sort(key=lambda x: x[1])
         if places is None:
-            return out
-        return [(k, places[a], places[e - 1] + 1) for k, a, e in out]
+            return [(k, a, e) for a, e, k in out]
+        return [(k, places[a], places[e - 1] + 1) for a, e, k in out]
 
 
-_INITIAL = re.compile(r"(?<!\w)[A-ZÀ-Ý]\.\s[A-ZÀ-Ýa-z]")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w|@†!$]*[^\W_|@†!$])?(?:['’][^\W\d_]+)?[@|†0-9]?(?!\w)|[^\W_]")
+#: Runs of all signs that a token can have: every token lies in one, so a text without a known piece has no known word.
+_PIECE = re.compile(r"[\w|@†!$'’]+")
 
 
 def _by_layer(pages: DataFrame, known: Learned, emit: Callable, schema: str) -> DataFrame:
     """emit(field_name, layer_id, text, stretches) over all layers.
 
-    Layers with words or patterns that may be rare ones wait until these are joined; the others are done in one pass.
+    Layers with keys that may be among the rest wait until these are joined; the others are done in one pass.
     """
     rows = layer_rows(pages).select("field_name", "layer_id", "text")
-    rare, lean, maker = known.rare, replace(known, rare=None), {}
+    rare, lean, maker = known.rest, replace(known, rest=None), {}
     waiting = rare is not None
     width = schema.count(",") + 1
 
@@ -656,14 +882,14 @@ def _by_layer(pages: DataFrame, known: Learned, emit: Callable, schema: str) ->
     def two(field_name, layer_id, text, held):
         extra: dict[str, str] = {}
         for x in held or ():
-            extra[x["key"]] = extra.get(x["key"], "") + x["kind"]
+            extra[x["key"]] = extra.get(x["key"], "") + x["value"]
         yield from emit(field_name, layer_id, text, finder().spans(text, extra))
 
     if not waiting:
         return arrow_pass(rows, one, schema)
     done = cut(arrow_pass(rows, one, f"{schema}, _field string, _layer bigint, _text string, _keys array<string>"))
     left = done.where("_text is not null").select("_field", "_layer", "_text", "_keys", F.monotonically_increasing_id().alias("_row"))
-    held = left.select("_row", F.explode("_keys").alias("key")).join(rare, "key").groupBy("_row").agg(F.collect_set(F.struct("key", "kind")).alias("_held"))
+    held = left.select("_row", F.explode("_keys").alias("key")).join(rare, "key").groupBy("_row").agg(F.collect_set(F.struct("key", "value")).alias("_held"))
     again = arrow_pass(left.join(held, "_row", "left").select("_field", "_layer", "_text", "_held"), two, schema)
     return done.where("_text is null").select(*again.columns).unionByName(again)
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from foliant.llm import personal as P
@@ -61,11 +63,57 @@ def test_unknown_names_by_patterns(known):
     assert found(known, "A Padaria Xandrovic Zulmira abriu.") == []
 
 
-def test_rare_names_are_joined(spark, corpus, monkeypatch):
+def test_tables_beyond_the_bound_are_joined(spark, corpus, monkeypatch):
     extra = ["Compareceu Zulmira Xandrovic, CPF 184.000.299-99, e saiu.", "A Sra. Zulmira Xandrovic informou o telefone (30) 93299-9521 para recados."]
-    texts = [*corpus, *extra, "Ontem veio zulmira xandrovic sozinha."]
+    texts = [*corpus, *extra, "Ontem veio zulmira xandrovic sozinha da Av. do Moinho, 45, Serra Lisa."]
     p = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "layer_id bigint, native_text string, ocr_text string")
-    names = lambda: sorted((r.layer_id, r.char_start, r.char_end) for r in P.find(p).where("pii_type = 'NAME'").collect())
-    few = names()
-    monkeypatch.setattr(P, "SUPPORT", 0.02)  # the bound of a table many times as large
-    assert names() == few and (len(texts) - 1, 11, 28) in few
+    rows = lambda: sorted(tuple(r) for r in P.find(p).collect())
+    few = rows()
+    assert ("native_text", len(texts) - 1, "NAME", 11, 28) in few
+    for held in (1, 12):  # as if the tables were many times as large
+        monkeypatch.setattr(P, "HELD", held)
+        assert rows() == few
+
+
+@pytest.mark.parametrize("lead", ["Nome:", "Assinado/", "Sr.", "contato=", "—", "(", "x" * 300 + " ", "A" * 300 + " "])
+def test_names_after_any_sign(known, lead):
+    assert found(known, f"{lead}Bruna Seprano") == [("NAME", "Bruna Seprano")]
+
+
+def test_prune_equals_full_scan(known, corpus):
+    rng, signs = random.Random(5), [" ", "\n", ":", "/", "=", "-\n", "—", ".", ", ", "(", "'", "_", "|", "! "]
+    words = [w for t in corpus[:8] for w in t.split()] + ["bruna", "SEPRANO", "H.", "Hel3na", "Quirelles'", "@rdovaz"]
+    f = P.Finder(known)
+    for _ in range(400):
+        t = "".join(rng.choice(words) + rng.choice(signs) for _ in range(rng.randrange(1, 30)))
+        full = list(f.names(P.plain(t)[0]))
+        assert not full or f.has_names(P.plain(t)[0])
+
+
+def test_whole_stretches_however_long(known):
+    assert found(known, "Fale com " + "a" * 70 + "@posta.invalid já") == [("EMAIL", "a" * 70 + "@posta.invalid")]
+    assert found(known, "telefone " + "9" * 80) == [("PHONE", "9" * 80)]
+    assert len(found(known, "Bruna Seprano " * 3000)) == 3000
+    assert found(known, "l" * 20_000 + " a" * 20_000 + "@" * 500) == []
+
+
+def test_addresses_by_learned_street_words(known):
+    for t in ("Rua T 63, 1200", "Rua C 104, nº 77", "Alameda Velha Guarda, 12"):
+        assert found(known, f"Mora na {t} hoje.") == [("ADDRESS", t)]
+    assert found(known, "Pagou à Mercearia Velha, 12 reais. Em Mercearia Velha, 12, havia luz.") == []
+
+
+def test_signs_of_mail_addresses_are_learned(spark, corpus):
+    more = [f"Escreva a {f.lower()}.{n.lower()} {{arob}} posta.invalid já." for f in FIRST for n in LAST] + ["Foi publicado (em) jornal.exemplo ontem, o texto (em) folha.exemplo e {em} jornal.exemplo."] * 3
+    k = P.learn(spark.createDataFrame([(i, t, None) for i, t in enumerate([*corpus, *more])], "layer_id bigint, native_text string, ocr_text string"))
+    assert found(k, "Escreva a zu {arob} posta.invalid já, está (em) jornal.exemplo") == [("EMAIL", "zu {arob} posta.invalid")]
+
+
+def test_numbers_need_a_fitting_form(known):
+    assert found(known, "para 1.250.000 alunos e 2.345.678 habitantes, em 13-06-1990") == []
+    assert found(known, "call +44 20 7946 0958 or SSN 123-45-6789") == [("PHONE", "+44 20 7946 0958"), ("ID_NUMBER", "123-45-6789")]
+    assert found(known, "telefone (BO)\n9321O-9S21 14:36") == [("PHONE", "(BO)\n9321O-9S21")]
+
+
+def test_breaks_with_blanks(known):
+    assert found(known, "Hele= \nna Ardovaz e Hele-  \n na Ardovaz") == [("NAME", "Hele= \nna Ardovaz"), ("NAME", "Hele-  \n na Ardovaz")]
