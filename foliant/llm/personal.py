@@ -248,31 +248,50 @@ def numbers(t: str):
         yield a, b, shape(s), words[-1] if words else "^", words[:-1]
 
 
-def name_candidates(t: str, locals_: list[str]):
-    """Title-case sequences: (instance, left pattern, right pattern, seed, start, end) with seed 1, 0 or -1 for unknown."""
+def name_contexts(t: str):
+    """Title-case sequences: (first word, last word, words to the left, words to the right, start, end)."""
     for m in _NAME.finditer(t):
-        words = [w for w in re.split(r"[\s,]+", m[0]) if w and w not in PARTICLES]
-        if len(words) < 2 or "\n" in m[0]:  # a line's end may part two fields
+        whole = m[0]
+        words = [w for w in whole.replace(",", " ").split() if w not in PARTICLES]
+        if len(words) < 2 or "\n" in whole:  # a line's end may part two fields
             continue
         start = m.start()
-        if "," in m[0]:
+        if "," in whole:
             words = words[1:] + words[:1]
         elif len(words) == 3 and t[max(0, start - 8) : start].rstrip()[-1:] in _STOPS:
-            start = m.start() + len(words[0]) + 1  # the first word of a sentence is taken as context
+            start += len(words[0]) + 1  # the first word of a sentence is taken as context
             words = words[1:]
             if not t.startswith(words[0], start):
                 continue
-        left = [w.lower().strip(".:,;()") for w in t[max(0, m.start() - 30) : start].split()][-2:]
-        right = t[m.end() : m.end() + 24].split()[:2]
-        first, last = fold(words[0]), fold(words[-1])
+        left = [w.strip(".:,;()") for w in t[max(0, m.start() - 30) : start].lower().split()[-2:]]
+        yield words[0], words[-1], left, t[m.end() : m.end() + 24].lower().split()[:2], start, m.end()
+
+
+def _left(words: list[str]) -> str:
+    return " ".join([fold(_masked(w)) for w in words]) or "^"
+
+
+def _right(words: list[str]) -> str:
+    return " ".join([_masked(w) for w in words]) or "$"
+
+
+def _no_person(word: str, left: list[str], right: list[str]) -> bool:
+    """A word of a firm, school or street stands before, behind or in front."""
+    if left and (left[-1] in NOT_PERSONS or (len(left) > 1 and left[-2] in NOT_PERSONS and left[-1] in PARTICLES)) or word.lower() in NOT_PERSONS:
+        return True
+    return bool(right) and right[0].strip(".,;:") in NOT_PERSONS
+
+
+def name_candidates(t: str, locals_: list[str]):
+    """(instance, left pattern, right pattern, seed): seed 1 where a mail address repeats the name, 0 where it is none, -1 else."""
+    for first, last, left, right, _a, _e in name_contexts(t):
+        one, two = fold(first), fold(last)
         seed = -1
-        if left and (left[-1] in NOT_PERSONS or (len(left) > 1 and left[-2] in NOT_PERSONS and left[-1] in PARTICLES)) or words[0].lower() in NOT_PERSONS:
-            seed = 0
-        elif right and right[0].lower().strip(".,;:") in NOT_PERSONS:
+        if _no_person(first, left, right):
             seed = 0
-        elif len(first) > 2 and any(x.startswith(first) or (first in x and last[:3] in x) or (x[:1] == first[:1] and x[1:] == last) for x in locals_):
+        elif len(one) > 2 and any(x.startswith(one) or (one in x and two[:3] in x) or (x[:1] == one[:1] and x[1:] == two) for x in locals_):
             seed = 1
-        yield f"{first} {last}", " ".join(fold(_masked(w)) for w in left) or "^", " ".join(_masked(w.lower()) for w in right) or "$", seed, start, m.end()
+        yield f"{one} {two}", _left(left), _right(right), seed
 
 
 _STOPS = frozenset(["", ".", "!", "?", "\n"])
@@ -432,7 +451,7 @@ def observe(text: str, counts: Counter) -> None:
         counts[("@", sign, f"d {domain}", -1)] += 1
         if sign in SIGNS:
             locals_.append(fold(re.sub(r"[\W\d_]", "", local)))
-    for inst, left, right, seed, _a, _e in name_candidates(t, locals_):
+    for inst, left, right, seed in name_candidates(t, locals_):
         counts[("l", left, inst, seed)] += 1
         counts[("r", right, inst, seed)] += 1
     for words, starts, _p, e in houses(t):
@@ -609,7 +628,7 @@ def _names_learned(graph: DataFrame, places: DataFrame) -> DataFrame:
     people = cut(g.join(often, ["kind", "pattern"], "left_semi"))
     # seed entities: sequences that a mail address repeats, against firms and streets
     start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    patterns, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).withColumn("doubt", F.lit(False)), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
+    patterns, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).withColumn("doubt", F.lit(False)), start.select("pattern", F.col("score").alias("s0")), ["NAME"], 3)
     # words: first names by their instances' scores, last names by the first names they follow
     weight = people.where("kind = 'l' and seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
     scored = weight.join(persons, "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("s0", F.lit(0.0)).alias("score"), "n")
@@ -650,7 +669,7 @@ class Finder:
 
     def __init__(self, known: Learned):
         self.known = known
-        self.pieces: dict[str, str] = {}
+        self.kinds: dict[str, str] = {}
         self.nothing: set[str] = set()
         self.extra: dict[str, str] = {}
 
@@ -663,8 +682,8 @@ class Finder:
             return []
         t, _ = plain(text)
         keys = {f"w {fold(w)}" for w in set(_TOKEN.findall(t))}
-        for _inst, left, right, _seed, _a, _e in name_candidates(t, []):
-            keys.update((f"l {left}", f"r {right}"))
+        for _first, _last, left, right, _a, _e in name_contexts(t):
+            keys.update((f"l {_left(left)}", f"r {_right(right)}"))
         for _a, _e, sh, one, _ in numbers(t):
             keys.update((f"n {one}\t{sh}", f"b {one}", f"f {form(sh)}"))
         for _a, e, _local_, domain, sign in mails(t):
@@ -688,19 +707,31 @@ class Finder:
 
     def kind(self, word: str) -> str:
         """Whether a word is a first or a last name, or both."""
-        return self.look(f"w {fold(word)}") or ""
+        got = self.kinds.get(word)
+        if got is None:
+            if len(self.kinds) > 200_000:
+                self.kinds.clear()
+            got = self.kinds[word] = self.known.held.get(f"w {fold(word)}") or ""
+        if self.extra:
+            return got or self.extra.get(f"w {fold(word)}") or ""
+        return got
 
     def has_names(self, t: str) -> bool:
-        """Whether a word of the text is known; a word that is none is taken away at once the next time."""
-        if self.extra:
-            return any(self.kind(w) for w in set(_TOKEN.findall(t)))
-        for piece in set(_PIECE.findall(t)) - self.nothing:
-            if any(self.kind(w) for w in _TOKEN.findall(piece)):
+        """Whether names can find any: there is a first name, or a last name and an initial.
+
+        Words lie between blanks; a piece between blanks in which no word is known is taken away at once the next time.
+        """
+        last = False
+        for piece in set(t.split()) - (_NOTHING if self.extra else self.nothing):
+            kinds = "".join(self.kind(w) for w in _TOKEN.findall(piece))
+            if "F" in kinds:
                 return True
-            if len(self.nothing) > 200_000:
-                self.nothing.clear()
-            self.nothing.add(piece)
-        return False
+            last = last or bool(kinds)
+            if not kinds and not self.extra:
+                if len(self.nothing) > 200_000:
+                    self.nothing.clear()
+                self.nothing.add(piece)
+        return last and any("L" in self.kind(w[0]) for m in _INITIAL.finditer(t) if (w := _TOKEN.match(t, m.end())))
 
     @staticmethod
     def _longer(t: str, e: int, domain: str):
@@ -762,13 +793,14 @@ class Finder:
 
     def named_by_pattern(self, t: str):
         """(start, end) of capitalised words that a pattern of high confidence makes a name."""
-        for _inst, left, right, seed, a, e in name_candidates(t, []):
-            if seed != 0 and (self.look(f"l {left}") or self.look(f"r {right}")):
+        for first, _last, left, right, a, e in name_contexts(t):
+            if (self.look(f"l {_left(left)}") or self.look(f"r {_right(right)}")) and not _no_person(first, left, right):
                 yield a, e
 
     def names(self, t: str):
         words = list(_TOKEN.finditer(t))
-        kinds = [self.kind(m[0]) for m in words]
+        kind = self.kind if self.extra else lambda w, get=self.kinds.get: k if (k := get(w)) is not None else self.kind(w)
+        kinds = [kind(m[0]) for m in words]
         n, i = len(words), 0
         gap = lambda x, y: t[words[x].end() : words[y].start()]
         while i < n:
@@ -850,8 +882,9 @@ class Finder:
 
 
 _TOKEN = re.compile(r"[^\W\d_](?:[\w|@†!$]*[^\W_|@†!$])?(?:['’][^\W\d_]+)?[@|†0-9]?(?!\w)|[^\W_]")
-#: Runs of all signs that a token can have: every token lies in one, so a text without a known piece has no known word.
-_PIECE = re.compile(r"[\w|@†!$'’]+")
+#: An initial before a word; more than names takes for one.
+_INITIAL = re.compile(r"[A-ZÀ-ÖØ-ÞĀ-\U0010ffff]\s?\.\s?(?=[^\W_])")
+_NOTHING: frozenset[str] = frozenset()
 
 
 def _by_layer(pages: DataFrame, known: Learned, emit: Callable, schema: str) -> DataFrame:
