@@ -24,18 +24,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir.
+
+    Where it names none, one of this machine serves only a session that has no executors elsewhere; any other must name one.
+    """
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "foliant-checkpoint")
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = os.path.join(tempfile.gettempdir(), "foliant-checkpoint")
     sc.setCheckpointDir(where)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise a derived table once, outside the executors, and cut its lineage."""
+    """Materialise a derived table once, outside the executors, and cut its lineage.
+
+    Its files go when the table is no longer referred to, by spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

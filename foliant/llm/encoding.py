@@ -16,7 +16,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ MAX_LAYERS = 5
 WORD_EDGE = ".,;:()[]{}<>\"'*#-_|/"
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-#: A letter lost to a question mark: inside a word, before its lower-case rest, or at its end within a sentence.
-_LOST_Q = re.compile(r"[^\W\d_]\?+[a-zà-ÿа-яё]|[A-ZÀ-Þ]\?+[A-ZÀ-Þ]|(?<![\w?.!/=&])\?+[a-zà-ÿ]{2}|[a-zà-ÿ]\? [a-zà-ÿ]")
+#: Where a letter may be lost to a question mark: inside a word, before its lower-case rest, or at its end within a sentence.
+_MAYBE_LOST = re.compile(r"[^\W\d_]\?+[a-zà-ÿа-яё]|[A-ZÀ-Þ]\?+[A-ZÀ-Þ]|(?<![\w?.!/=&])\?+[a-zà-ÿ]{2}|[a-zà-ÿ]\? [a-zà-ÿ]")
 _WORDS = re.compile(r"[^ \t\r\n\f\v]+")
 #: Cyrillic letters that stand in Latin words for their look-alikes; alone they are no sign of a wrong decoding.
 _STAND_INS = frozenset("аеоріѕјһԁАВЕКМНОРСТХІЅЈ")
@@ -93,11 +94,12 @@ def _legacy(word: str, table: dict[str, int], written: str) -> str | None:
 class Garbling:
     """Improbability of a word's letter pairs, in nats; pairs of letters, word edges and all other characters."""
 
-    def __init__(self, pairs: dict[str, int], known: dict[str, int]):
+    def __init__(self, pairs: dict[str, int], known: dict[str, int], plain: Collection[str] = ()):
         self.total = sum(pairs.values()) + 1
         self.cost = {p: math.log(self.total / n) for p, n in pairs.items()}
         self.unseen = math.log(self.total) + 2
         self.known = known
+        self.plain = frozenset(plain)  # known words of ASCII letters only
 
     def __call__(self, word: str) -> float:
         word = f" {word.strip(WORD_EDGE).lower()} "
@@ -111,6 +113,28 @@ class Garbling:
     def count(self, word: str) -> int:
         return self.known.get(word.strip(WORD_EDGE).lower(), 0)
 
+    @cached_property
+    def masked(self) -> frozenset[str]:
+        """The known words as they look with their letters beyond ASCII lost."""
+        return frozenset(_HIGH.sub(lambda m: "?" * len(m[0]), w) for w in self.known if _LATIN.search(w))
+
+    def lost(self, word: str) -> bool:
+        """Whether question marks in or at the end of a word stand for lost letters, by the known words.
+
+        They do if letters in their place give a known word; they do not behind a known word or between known words, nor in
+        what looks like an address.  What is left reads as no word with the marks as marks, so it has lost letters; marks
+        before a word are lost letters of known words only.
+        """
+        w = word.strip(WORD_EDGE).lower()
+        stem = w.strip("?")
+        if not stem:
+            return False
+        if w in self.masked or (w[-1] == "?" and w[:-1] in self.masked):
+            return True
+        if w[0] == "?" or any(c in w for c in "/=&@"):
+            return False
+        return not all(x in self.plain or x in self.known for x in stem.split("?") if x)
+
 
 def pairs_of(word: str, n: int, into: Counter) -> None:
     word = f" {word} "
@@ -185,6 +209,7 @@ def repair_word(word: str, garbling: Garbling) -> str:
 def repairer(garbling: Garbling) -> Callable[[str | None], tuple[bool, bool, str | None]]:
     """text -> (affected, a loss cannot be undone, repaired text); words already seen are looked up."""
     memo: dict[str, str] = {}
+    gone = lru_cache(maxsize=100_000)(garbling.lost)
 
     def changed(w: str) -> bool:
         done = memo.get(w)
@@ -197,7 +222,7 @@ def repairer(garbling: Garbling) -> Callable[[str | None], tuple[bool, bool, str
     def text(t: str | None) -> tuple[bool, bool, str | None]:
         if not t:
             return False, False, t
-        lost = "?" in t and _LOST_Q.search(t) is not None
+        lost = "?" in t and _MAYBE_LOST.search(t) is not None and any(gone(w) for w in set(_WORDS.findall(t)) if "?" in w)
         if t.isascii():
             return lost, lost, t
         lost = lost or "\ufffd" in t
@@ -214,8 +239,15 @@ def _high_words(text: str) -> list[str]:
     return [] if text.isascii() else [w for w in _WORDS.findall(text) if not w.isascii()]
 
 
+#: Marks the counted words of ASCII letters only.
+_PLAIN = "\x01"
+
+
 def _clean(word: str) -> str | None:
     """Counted form of a word, of words that are certainly not damaged."""
+    if word.isascii():
+        word = word.strip(WORD_EDGE).lower()
+        return _PLAIN + word if word.isalpha() else None
     if "\ufffd" in word or any("\ue000" <= c <= "\uf8ff" or "\x80" <= c < "\xa0" for c in word):
         return None
     if strict_layers(word) != word:
@@ -228,7 +260,9 @@ def learn(texts: DataFrame) -> Garbling:
 
     Both tables are cut at a share of the total, so what reaches the driver is bounded at any size.
     """
-    vocab = cut(token_counts(texts, _high_words, _clean))
+    words = cut(token_counts(texts, _WORDS.findall, _clean))
+    plain = F.startswith("word", F.lit(_PLAIN))
+    vocab = words.where(~plain)
 
     def run(batches):
         import pyarrow as pa
@@ -241,7 +275,7 @@ def learn(texts: DataFrame) -> Garbling:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "cnt"])
 
     pairs = vocab.mapInArrow(run, "word string, cnt bigint").groupBy("word").agg(F.sum("cnt").alias("cnt"))
-    return Garbling(frequent(pairs, PAIR_SHARE), frequent(vocab, KNOWN_SHARE))
+    return Garbling(frequent(pairs, PAIR_SHARE), frequent(vocab, KNOWN_SHARE), [w[1:] for w in frequent(words.where(plain), KNOWN_SHARE)])
 
 
 def repair_rows(rows: DataFrame, garbling: Garbling) -> DataFrame:

@@ -33,7 +33,7 @@ LOOK_ALIKE = {
     "ՕօՍսՏոհցզ": "OoUuSnhgq",
 }
 #: Marks that read as the same mark.
-SAME_MARKS = ("-‐‑", "'ʼ＇", "·•∙"[:1], "|ǀ")
+SAME_MARKS = ("-‐‑", "'ʼ＇", "|ǀ")
 #: Characters that leave no mark on the page.
 UNSEEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufe00\ufe01\ufe02\ufe0e\ufe0f\ufeff"
 #: Letters drawn alike that the standard does not relate.
@@ -142,9 +142,23 @@ def automaton(table: dict[str, str]):
     return a, frozenset(needs)
 
 
+#: Letters with marks, and the parts that Hangul syllables are composed of.
+_MARKS = "".join(chr(c) for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c)))
+_CLUSTER = re.compile(f".[{re.escape(_MARKS)}]+|[\uac00-\ud7a3]?[\u1100-\u11ff]+", re.S)
+_PARTED = re.compile(f"[{re.escape(_MARKS)}\u1100-\u11ff]")
+
+
+def composed(text: str) -> str:
+    """Marks in their canonical order and Hangul in syllables: one form of what is canonically equal."""
+    if text.isascii() or _PARTED.search(text) is None:
+        return text
+    return _CLUSTER.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
+
+
 def rewrite(text: str, auto, memo: dict[str, str] | None = None) -> str:
     """Greedy, leftmost longest, piece by piece between blanks; a piece seen before is looked up."""
     tree, needs = auto
+    text = composed(text)
     if needs.isdisjoint(text):
         return text
     memo = {} if memo is None else memo
@@ -163,24 +177,20 @@ def rewrite(text: str, auto, memo: dict[str, str] | None = None) -> str:
 
 
 def _rewrite(text: str, tree, needs: frozenset[str]) -> str:
-    for _ in range(4):  # what a removed mark joined is looked at again
-        if needs.isdisjoint(text):
-            return text
+    before: set[str] = set()
+    while text not in before and not needs.isdisjoint(text):  # what a removed mark joined is looked at again
+        before.add(text)
         out, at = [], 0
         for end, (n, v) in tree.iter_long(text):
             out.append(text[at : end - n + 1])
             out.append(v)
             at = end + 1
-        if not out:
-            return text
         out.append(text[at:])
-        done = "".join(out)
-        if done == text:
-            return text
-        text = done
+        text = composed("".join(out)) if out[:-1] and _UNSEEN_SET & set(text) else "".join(out)
     return text
 
 
+_UNSEEN_SET = frozenset(UNSEEN)
 _MARKED = re.compile("[^\u0300-\u036f][\u0300-\u036f]+")
 
 
@@ -230,21 +240,34 @@ def consistent(pages: DataFrame, table: dict[str, str] | None = None) -> DataFra
     return rows.mapInArrow(run, "field_name string, layer_id bigint, stored bigint, form string")
 
 
+_KEY = ["field_name", "h1", "h2", "h3"]
+
+
+def _keyed(pages: DataFrame, table: dict[str, str] | None) -> DataFrame:
+    """Digests only: 128 bits of the form, 64 of the stored text; blank texts are left out, whichever kind of blank."""
+    forms = consistent(pages, table)
+    return forms.where(F.length(F.trim(F.regexp_replace("form", r"\s", ""))) > 0).select("field_name", "layer_id", "stored", F.xxhash64("form").alias("h1"), F.hash("form").alias("h2"), F.length("form").alias("h3"))
+
+
 def pairs(pages: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
     """Rows of one field whose texts read the same and are not stored identically (field_name, layer_id_a, layer_id_b).
 
-    Only digests are moved: 128 bits of the form, 64 of the stored text.  Groups with one stored text are dropped
-    before members meet, so the join sees true pairs only; AQE splits a hot group on either side.
+    Stored texts of a class meet first, each once; ids are joined last, so rows that are stored alike never meet and all
+    work but this is in proportion to the pairs asked for.  Classes with one stored text reach no join; AQE splits a hot one.
     """
-    forms = consistent(pages, table)
-    # blanks are no case for pairs, whichever kind of blank
-    keyed = forms.where(F.length(F.trim(F.regexp_replace("form", r"\s", ""))) > 0).select(
-        "field_name", "layer_id", "stored", F.xxhash64("form").alias("h1"), F.hash("form").alias("h2"), F.length("form").alias("h3")
-    )
-    keyed = cut(keyed)
-    key = ["field_name", "h1", "h2", "h3"]
-    mixed = keyed.groupBy(*key).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select(*key)
-    members_ = keyed.join(mixed, key, "left_semi")
-    a = members_.select(*key, F.col("layer_id").alias("layer_id_a"), F.col("stored").alias("sa"))
-    b = members_.select(*key, F.col("layer_id").alias("layer_id_b"), F.col("stored").alias("sb"))
-    return a.join(b, key).where("layer_id_a < layer_id_b and sa <> sb").select("field_name", "layer_id_a", "layer_id_b")
+    keyed = cut(_keyed(pages, table))
+    mixed = keyed.groupBy(*_KEY).agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select(*_KEY)
+    members_ = keyed.join(mixed, _KEY, "left_semi")
+    texts = members_.select(*_KEY, "stored").distinct()
+    met = texts.withColumnRenamed("stored", "sa").join(texts.withColumnRenamed("stored", "sb"), _KEY).where("sa < sb")
+    a = members_.select(*_KEY, F.col("layer_id").alias("a"), F.col("stored").alias("sa"))
+    b = members_.select(*_KEY, F.col("layer_id").alias("b"), F.col("stored").alias("sb"))
+    return met.join(a, [*_KEY, "sa"]).join(b, [*_KEY, "sb"]).select("field_name", F.least("a", "b").alias("layer_id_a"), F.greatest("a", "b").alias("layer_id_b"))
+
+
+def membership(pages: DataFrame, table: dict[str, str] | None = None) -> DataFrame:
+    """One row per layer that is not blank: field_name, layer_id, class_id (the class's least layer_id), stored_texts (how many differ in it)."""
+    keyed = cut(_keyed(pages, table))
+    texts = keyed.groupBy(*_KEY, "stored").agg(F.min("layer_id").alias("first"))
+    sums = texts.groupBy(*_KEY).agg(F.min("first").alias("class_id"), F.count("*").alias("stored_texts"))
+    return keyed.join(sums, _KEY).select("field_name", "layer_id", "class_id", "stored_texts")

@@ -24,6 +24,8 @@ from .tokens import VOCABULARY, with_sizes
 
 #: Tokens of a shard, on average: many containers of any capacity, and a small part of a task's memory.
 SHARD_TOKENS = 4_000_000
+#: Kinds of containers; every item is dealt to each of them.
+MOST_KINDS = 1000
 #: Lengths, counting repeats, that one container's dynamic program looks at.
 WINDOW = 48
 
@@ -102,6 +104,8 @@ def assign(documents: DataFrame, capacities: DataFrame, path: str = VOCABULARY,
     total = sized.agg(F.sum(F.col("n_tokens").cast("bigint"))).first()[0] or 0
     shards = max(1, round(total / shard_tokens))
     kinds = capacities.select(F.col("pack_id").cast("int").alias("pack_id"), F.col("capacity_tokens").cast("int").alias("capacity")).where("capacity > 0").distinct()
+    if kinds.limit(MOST_KINDS + 1).count() > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     items = sized.select("doc_id", "n_tokens", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")).crossJoin(F.broadcast(kinds))
 
     def one(key, table):

@@ -35,14 +35,30 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("field_name", "rec_id").distinct()
 
 
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.damaged(read(spark, d, "choose_best_page_text"), read(spark, d, "page_audit"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.pairs(read(spark, d, "choose_best_page_text"))
 
 
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.consistent(read(spark, d, "choose_best_page_text")).select("field_name", "layer_id", "form")
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.membership(read(spark, d, "choose_best_page_text"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(read(spark, d, "choose_best_page_text"))
 
 
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.judged(read(spark, d, "choose_best_page_text"))
+
+
 def p6_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.assign(read(spark, d, "documents"), read(spark, d, "pack_sizes"))
 
@@ -64,6 +80,9 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(read(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_replaced": p2_replaced, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_containers": p6_containers, "p6_slack": p6_slack, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_found, p1_repaired, p2_found, p2_replaced, p3_found, p3_repaired, p4_found, p4_forms, p4_classes, p5_found, p5_shares, p6_containers, p6_slack, p7_mix, p7_shares, p8_found)
+}
 
 ORACLE_SQL: dict[str, str] = {}

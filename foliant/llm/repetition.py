@@ -3,8 +3,7 @@
 Weak supervision.  Rules look at one layer each and vote "repetitive", "not
 repetitive" or abstain.  Expectation-maximisation over the counts of the vote
 patterns of all layers estimates each rule's accuracy without labels, and a
-layer's posterior probability replaces a filter that every rule must pass.  The
-exact share of repeated words then confirms what the posterior selects.
+layer's posterior probability replaces a filter that every rule must pass.
 
 Defined results: a null layer gives no row, one of under two words the share 0;
 equal layers get equal shares; an empty table gives an empty result; columns
@@ -22,13 +21,14 @@ from pyspark.sql import functions as F
 
 from .common import SCAN_FOLD, SCAN_JOINED, cut, layer_rows
 
-#: The share of repeated words above which a layer is a case.
+#: The share of repeated words that makes the first rule vote for repetition.
 SHARE = 0.4
-#: Layers whose posterior reaches this are looked at exactly.
-POSTERIOR = 0.02
+#: Layers whose posterior probability reaches this are repetitive.
+POSTERIOR = 0.5
+#: Weight of what is held of a rule before it is seen, as a share of all layers.
+PRIOR_WEIGHT = 0.005
 
 _BREAK = re.compile(r"(?<=[^\W\d_])[-=¬‐\u00ad][ \t]*\n[ \t]*(?=[^\W\d_])")
-_BREAKS = ("-\n", "=\n", "¬\n", "‐\n", "\u00ad\n", "- \n")
 _NUMBER = re.compile(r"(?<!\w)[OolISBZ]{0,2}\d[\dOolISBZ.,/]*(?!\w)")
 _END = re.compile(rb"[.!?;\n]+\s*")
 #: What is left of a number.
@@ -44,7 +44,7 @@ def words(text: str) -> list:
 
     They are bytes where the text fits in one byte a character, as bytes are compared faster.
     """
-    if any(x in text for x in _BREAKS):
+    if "\n" in text:
         text = _BREAK.sub("", text)
     text = _NUMBER.sub(_ZERO, text.lower())
     for a, b in SCAN_JOINED:
@@ -100,12 +100,17 @@ def votes(text: str, ws: list, share: float) -> tuple[int, ...]:
 
 
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
-    """EM over pattern counts: prior, and each rule's rates of voting 1 given a repetitive and another layer."""
+    """EM over pattern counts: prior, and each rule's rates of voting 1 given a repetitive and another layer.
+
+    Rates are estimated with what was held before (0.8 and 0.1) as so many more votes, so none runs to 0 or 1; a rule that
+    would be right less often than not is taken to say nothing.
+    """
     rules = len(next(iter(patterns), ()))
     prior, rates = 0.1, [(0.8, 0.1)] * rules
+    weight = max(1.0, PRIOR_WEIGHT * sum(patterns.values()))
     for _ in range(rounds):
-        yes = total = 0.0
-        up = [[1e-2, 2e-2, 1e-2, 2e-2] for _ in range(rules)]  # votes of 1 and all, of either class
+        yes, total = 0.1 * weight, weight
+        up = [[0.8 * weight, weight, 0.1 * weight, weight] for _ in range(rules)]  # votes of 1 and all, of either class
         for votes_, n in patterns.items():
             p = posterior(votes_, prior, rates) * n
             yes, total = yes + p, total + n
@@ -115,8 +120,8 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[float,
                     up[k][1] += p
                     up[k][2] += (n - p) * v
                     up[k][3] += n - p
-        prior = min(0.999, max(1e-4, yes / total)) if total else prior
-        rates = [(min(0.999, max(0.501, a / b)), min(0.499, max(1e-3, c / d))) for a, b, c, d in up]
+        prior = yes / total
+        rates = [(max(0.5, a / b), min(0.5, c / d)) for a, b, c, d in up]
     return prior, rates
 
 
@@ -161,5 +166,6 @@ def judged(pages: DataFrame) -> DataFrame:
     return measured.join(F.broadcast(known), "votes").select("field_name", "layer_id", "share", "posterior")
 
 
-def repetitive(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    return judged(pages).where((F.col("posterior") >= POSTERIOR) & (F.col("share") > share)).select("field_name", "layer_id")
+def repetitive(pages: DataFrame, least: float = POSTERIOR) -> DataFrame:
+    """Layers that are more probably repetitive than not: field_name, layer_id."""
+    return judged(pages).where(F.col("posterior") >= least).select("field_name", "layer_id")

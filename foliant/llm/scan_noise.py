@@ -19,6 +19,8 @@ give empty results; columns other than the named ones are ignored.
 from __future__ import annotations
 
 import re
+import zlib
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,10 @@ RATIO_SIGNS = 2
 LEAST = 3
 #: Words of this share of all words are frequent; so there are at most 1/FREQUENT_SHARE.
 FREQUENT_SHARE = 1e-5
-#: Most two-stroke confusions in one word; one-stroke ones are not limited.
+#: The same in words of two or three letters, where more words are near each other.
+RATIO_SHORT = 500
+#: Two-stroke confusions that are tried one by one; one-stroke ones are not limited, and more two-stroke ones are found by
+#: a form in which all of them are undone.
 MAX_JOINED = 2
 #: A header is on this share of a file's pages, and on HEADER_PAGES of them if it is title-like, else on one more.
 HEADER_SHARE, HEADER_PAGES = 0.03, 2
@@ -88,13 +93,34 @@ def normal(token: str) -> str | None:
     return w.lower()
 
 
+#: Marks a word whose two parts stood on two lines.
+_REJOINED = "\x01"
+
+
 def tokens(text: str) -> list[str]:
-    return [t for t in text.split() if t[-1] not in _HYPHENS]
+    """Words as they stand, and those that a line's end breaks, marked."""
+    out = [t for t in text.split() if t[-1] not in _HYPHENS]
+    if "\n" in text:
+        out += [_REJOINED + m[1] + m[3] for m in _BREAK.finditer(text) if "\n" in m[2]]
+    return out
+
+
+def _counted(token: str) -> str | None:
+    if token[0] == _REJOINED:
+        w = normal(token[1:])
+        return w and _REJOINED + w
+    return normal(token)
 
 
 def vocabulary(pages: DataFrame) -> DataFrame:
-    """(word, cnt) over both layers of all pages."""
-    return token_counts(layer_rows(pages).select("text"), tokens, normal)
+    """(word, cnt, whole) over both layers of all pages; whole is the count without words that a line's end breaks.
+
+    The latter are evidence for the spelling of a word, but not for its being written without a hyphen.
+    """
+    counts = token_counts(layer_rows(pages).select("text"), tokens, _counted)
+    part = F.startswith("word", F.lit(_REJOINED))
+    sums = counts.groupBy(F.when(part, F.substr("word", F.lit(2))).otherwise(F.col("word")).alias("word"))
+    return sums.agg(F.sum("cnt").alias("cnt"), F.sum(F.when(~part, F.col("cnt")).otherwise(0)).alias("whole"))
 
 
 def _value(c: Column) -> Column:
@@ -106,6 +132,11 @@ def anagram_hash(word: Column) -> Column:
     return F.aggregate(F.split(F.translate(word, _FROM, _TO), ""), F.lit(0).cast("bigint"), lambda acc, c: acc + F.when(c == "", F.lit(0)).otherwise(_value(c)))
 
 
+def often_count(words: DataFrame) -> int:
+    """The count of the most frequent word: a word of more than its RATIOth part can be nobody's misreading."""
+    return words.agg(F.max("cnt")).first()[0] or 0
+
+
 def corrections(vocab: DataFrame) -> DataFrame:
     """(word, correction): the best ranked frequent word that each rare word can be a misread variant of."""
     words = vocab.where(F.length("word") >= 2)
@@ -127,18 +158,27 @@ def corrections(vocab: DataFrame) -> DataFrame:
     )
     none = F.array(F.struct(F.lit(0).cast("bigint").alias("d"), F.lit(0).alias("k")))
     one = F.transform(F.col("possible"), lambda o: F.struct(o["d"].alias("d"), F.lit(1).alias("k")))
-    two = F.flatten(F.transform(F.col("possible"), lambda a: F.transform(F.filter(F.col("possible"), lambda b: (b["i"] > a["i"]) | ((b["i"] == a["i"]) & (a["room"] >= 2 * a["n"]))), lambda b: F.struct((a["d"] + b["d"]).alias("d"), F.lit(2).alias("k")))))
-    variants = [none, one, two][: MAX_JOINED + 1]
+    both = F.flatten(F.transform(F.col("possible"), lambda a: F.transform(F.filter(F.col("possible"), lambda b: (b["i"] > a["i"]) | ((b["i"] == a["i"]) & (a["room"] >= 2 * a["n"]))), lambda b: F.struct((a["d"] + b["d"]).alias("d"), F.lit(2).alias("k")))))
+    variants = [none, one, both][: MAX_JOINED + 1]
     signs = F.col("word").rlike(_SIGN.pattern.replace(r"[^\W\d_]", r"\p{L}"))
-    rare = hashed.where(signs | (F.length("word") >= 4)).select("word", F.col("cnt").alias("rare"), "h", signs.alias("signs"), possible.alias("possible"))
+    ratio = F.when(F.col("signs"), RATIO_SIGNS).when(F.length("word") < 4, RATIO_SHORT).otherwise(RATIO)
+    most = often_count(words)
+    rare = hashed.where(F.col("cnt") * F.when(signs, RATIO_SIGNS).otherwise(RATIO) <= most).select("word", F.col("cnt").alias("rare"), "h", signs.alias("signs"), possible.alias("possible"))
     rare = rare.select("word", "rare", "signs", "h", F.explode(F.concat(*variants)).alias("v")).select("word", "rare", "signs", (F.col("h") + F.col("v.d")).alias("h"), F.col("v.k").alias("joined"))
     often = hashed.where((F.col("cnt") >= LEAST) & ~signs & ~F.col("word").rlike("[0-9|!@$†€¢ſ]")).select(F.col("word").alias("correction"), F.col("cnt").alias("often"), "h")
     pairs = rare.join(often, "h").where(
         (F.col("word") != F.col("correction"))
-        & (F.col("often") >= F.when(F.col("signs"), RATIO_SIGNS).otherwise(RATIO) * F.col("rare"))
+        & (F.col("often") >= ratio * F.col("rare"))
         & (F.levenshtein(F.translate("word", _FROM, _TO), F.translate("correction", _FROM, _TO)) <= 2 * F.col("joined"))
     )
-    as_word = pairs.select("word", "rare", "correction", "joined", "often")
+    # words with more confusions than are tried one by one: both sides with all of them undone
+    two = [j for j in JOINED if len(j[0]) == 2]
+    whole = F.translate(reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), two, F.col("word")), _FROM, _TO)
+    places = sum((F.length("word") - F.length(F.replace("word", F.lit(a), F.lit(""))) for a, _ in two), F.lit(0)) / 2
+    many = letters.where((F.length("word") >= 4) & (places > MAX_JOINED) & (F.col("cnt") * RATIO <= most)).select("word", F.col("cnt").alias("rare"), whole.alias("w"))
+    plain = letters.where((F.col("cnt") >= LEAST) & ~signs & ~F.col("word").rlike("[0-9|!@$†€¢ſ]")).select(F.col("word").alias("correction"), F.col("cnt").alias("often"), whole.alias("w"))
+    as_many = many.join(plain, "w").where((F.col("word") != F.col("correction")) & (F.col("often") >= RATIO * F.col("rare"))).withColumn("joined", F.lit(MAX_JOINED + 1))
+    as_word = pairs.select("word", "rare", "correction", "joined", "often").unionByName(as_many.select("word", "rare", "correction", "joined", "often"))
     ranked = as_number.select("word", "rare", "correction", "joined", "often").unionByName(as_word)
     best = W.partitionBy("word").orderBy("joined", F.desc("often"), F.levenshtein("word", "correction"), "correction")
     return ranked.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("word", "correction")
@@ -155,24 +195,36 @@ def rejoin(text: str) -> str:
 
 
 def edge_lines(text: str):
-    """(place, line, context, header text, page number only, page number inside, next line inward) of the two first and last lines."""
-    lines = [x.strip() for x in text.split("\n")]
-    lines = [x for x in lines if x]
+    """(place, depth, line, context, header text, page number only, page number inside, next line inward) of the first and last lines.
+
+    The two outermost lines are always looked at, further ones as long as every line so far could be noise.
+    """
+    lines = [x for x in (x.strip() for x in text.split("\n")) if x]
     n = len(lines)
-    picks = [("top", i) for i in range(min(2, n))] + [("bottom", i) for i in range(max(2, n - 2), n)]
-    for place, i in picks:
-        line = lines[i]
-        context = " ".join(lines[: i + 1]) if place == "top" else " ".join(lines[i:])
-        if _PAGE_ONLY.match(line):
-            yield place, line, context, "", True, False, ""
-            continue
-        inside, core = False, line
-        if m := _PAGE_LAST.match(line):
-            inside, core = True, m[1]
-        elif m := _PAGE_FIRST.match(line):
-            inside, core = True, m[2]
-        inner = i + 1 if place == "top" else i - 1
-        yield place, line, context, core, False, inside, header_key(lines[inner])[:24] if 0 <= inner < n else ""
+    for place in ("top", "bottom"):
+        could = True
+        for depth in range(n if place == "top" else n - 2):
+            if depth >= 2 and not could:
+                break
+            i = depth if place == "top" else n - 1 - depth
+            line = lines[i]
+            context = " ".join(lines[: i + 1]) if place == "top" else " ".join(lines[i:])
+            if _PAGE_ONLY.match(line):
+                yield place, depth, line, context, "", True, False, ""
+                continue
+            inside, core = False, line
+            if m := _PAGE_LAST.match(line):
+                inside, core = True, m[1]
+            elif m := _PAGE_FIRST.match(line):
+                inside, core = True, m[2]
+            could = could and _looks_running(core)
+            inner = i + 1 if place == "top" else i - 1
+            yield place, depth, line, context, core, False, inside, _digest(header_key(lines[inner])) if 0 <= inner < n else ""
+
+
+def _digest(key: str) -> str:
+    """A line's key in eight characters: neighbours are only compared for being the same."""
+    return f"{zlib.crc32(key.encode()):08x}"
 
 
 def header_key(core: str) -> str:
@@ -202,18 +254,18 @@ def edges(pages: DataFrame) -> DataFrame:
     """Edge lines of the OCR layer that may be headers or page numbers."""
 
     def one(layer_id, file_id, page_index, text):
-        for place, line, context, core, number, inside, beside in edge_lines(text):
+        for place, depth, line, context, core, number, inside, beside in edge_lines(text):
             fit = not number and _looks_running(core)
             if number or fit:
-                yield layer_id, file_id, page_index, place, line, context, header_key(core) if fit else None, number, inside, beside, _title_like(core), template(core)
+                yield layer_id, file_id, page_index, place, depth, line, context, header_key(core) if fit else None, number, inside, beside, _title_like(core), template(core)
 
     rows = pages.select(F.col("layer_id").cast("bigint").alias("layer_id"), F.col("file_id").cast("string").alias("file_id"), F.col("page_index").cast("int").alias("page_index"), F.col("ocr_text").cast("string").alias("text")).where("text is not null")
-    schema = "layer_id bigint, file_id string, page_index int, place string, line string, context string, key string, number boolean, inside boolean, beside string, title boolean, template string"
+    schema = "layer_id bigint, file_id string, page_index int, place string, depth int, line string, context string, key string, number boolean, inside boolean, beside string, title boolean, template string"
     return arrow_pass(rows, one, schema)
 
 
 def headers(edge: DataFrame, pages: DataFrame) -> DataFrame:
-    """(file_id, key) of running headers."""
+    """(file_id, key, few) of running headers; few are those on a share of the file's pages, so a bounded number in any file."""
     sizes = pages.where(F.col("ocr_text").isNotNull()).select(F.col("file_id").cast("string").alias("file_id"), F.col("page_index").cast("int").alias("page_index")).distinct().groupBy("file_id").agg(F.count("*").alias("pages"))
     seen = edge.where("key is not null").groupBy("file_id", "key", "page_index").agg(F.min("beside").alias("beside"), F.max("title").alias("title"), F.max("template").alias("template"))
     by_file = seen.groupBy("file_id", "key").agg(F.count("*").alias("on"), F.min("beside").alias("a"), F.max("beside").alias("b"), F.max("title").alias("title"), F.max("template").alias("template"))
@@ -227,29 +279,55 @@ def headers(edge: DataFrame, pages: DataFrame) -> DataFrame:
     kept = kept.where((F.col("all") >= TEMPLATE_PAGES) & (F.col("same") >= TEMPLATE_SAME * F.col("all"))).select("template", F.lit(True).alias("running"))
     judged = by_file.join(sizes, "file_id").join(wide, "key", "left").join(kept, "template", "left")
     enough = F.col("on") >= F.when(F.col("title"), HEADER_PAGES).otherwise(HEADER_PAGES + 1)
-    return judged.where((enough & (F.col("a") != F.col("b")) & (F.col("on") >= HEADER_SHARE * F.col("pages"))) | F.col("wide") | (F.col("running") & F.col("title"))).select("file_id", "key")
+    few = enough & (F.col("a") != F.col("b")) & (F.col("on") >= HEADER_SHARE * F.col("pages"))
+    return judged.where(few | F.col("wide") | (F.col("running") & F.col("title"))).select("file_id", "key", few.alias("few"))
+
+
+def _grams(key: Column) -> Column:
+    """The signature of a key: so many of its three-letter parts, in the order of their hashes, that keys within HEADER_EDITS share one.
+
+    Keys of n letters with e = HEADER_EDITS * n edits share at least n - 2 - 3 e parts, so one of all but that many, less one.
+    """
+    parts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(key) - 2)), lambda i: F.xxhash64(F.substring(key, i, F.lit(3))))))
+    return F.slice(parts, 1, F.least(F.size(parts), (F.ceil(3 * HEADER_EDITS / (1 - HEADER_EDITS) * F.length(key)) + 1).cast("int")))
+
+
+def altered(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(file_id, key) of the lines that are a header of their file, the same or altered.
+
+    Headers on a share of a file's pages are few, so every other line of the file is compared with each of them.  Of others
+    a file may have any number: they meet the lines that share a part of their signature.
+    """
+    near = (F.abs(F.length("key") - F.length("of")) <= HEADER_EDITS * F.length("of")) & (F.levenshtein("key", "of") <= HEADER_EDITS * F.length("of"))
+    same = lines.join(known.select("file_id", "key"), ["file_id", "key"], "left_semi")
+    open_ = cut(lines.join(known.select("file_id", "key"), ["file_id", "key"], "left_anti"))
+    of = known.withColumnRenamed("key", "of")
+    by_few = open_.join(of.where("few").drop("few"), "file_id").where(near).select("file_id", "key")
+    many = of.where("not coalesce(few, false)").select("file_id", "of", F.explode(_grams(F.col("of"))).alias("g"))
+    by_many = open_.select("file_id", "key", F.explode(_grams(F.col("key"))).alias("g")).join(many, ["file_id", "g"]).where(near).select("file_id", "key")
+    return same.unionByName(by_few).unionByName(by_many).distinct()
 
 
 def edge_noise(pages: DataFrame) -> DataFrame:
-    """Edge lines that are headers or page numbers: layer_id, file_id, page_index, place, line, context, header, page_number."""
+    """Edge lines that are headers or page numbers: layer_id, file_id, page_index, place, depth, line, context, header, page_number."""
     edge = cut(edges(pages))
     known = cut(headers(edge, pages))
     lines = edge.where("key is not null").select("file_id", "key").distinct()
-    close = (
-        lines.join(known.withColumnRenamed("key", "of"), "file_id")
-        .where((F.col("key") == F.col("of")) | ((F.abs(F.length("key") - F.length("of")) <= HEADER_EDITS * F.length("of")) & (F.levenshtein("key", "of") <= HEADER_EDITS * F.length("of"))))
-        .select("file_id", "key")
-        .distinct()
-        .withColumn("header", F.lit(True))
-    )
+    close = altered(lines, known).withColumn("header", F.lit(True))
     marked = edge.join(close, ["file_id", "key"], "left").withColumn("header", F.coalesce("header", F.lit(False)))
-    marked = marked.withColumn("page_number", F.col("number") | (F.col("inside") & F.col("header")))
-    return marked.where("header or page_number").select("layer_id", "file_id", "page_index", "place", "line", "context", "header", "page_number")
+    marked = marked.withColumn("page_number", F.col("number") | (F.col("inside") & F.col("header"))).where("header or page_number")
+    noise = cut(marked.select("layer_id", "file_id", "page_index", "place", "depth", "line", "context", "header", "page_number"))
+    # a line further in is noise only behind noise
+    side = ["layer_id", "place"]
+    deep = noise.where("depth >= 2").withColumn("_k", F.row_number().over(W.partitionBy(*side).orderBy("depth")))
+    outer = noise.where("depth < 2").join(deep.select(*side).distinct(), side, "left_semi").groupBy(*side).agg(F.count("*").alias("_n")).where("_n = 2").select(*side)
+    deep = deep.where(F.col("_k") == F.col("depth") - 1).join(outer, side, "left_semi").drop("_k")
+    return noise.where("depth < 2").unionByName(deep)
 
 
 def word_noise(rows: DataFrame, vocab: DataFrame, fixes: DataFrame) -> DataFrame:
     """rows: field_name, rec_id, text.  Cases of the kinds hyphen and misread: field_name, rec_id, noise_kind, word, correction."""
-    common = frequent(vocab, FREQUENT_SHARE)
+    common = frequent(vocab.select("word", F.col("whole").alias("cnt")), FREQUENT_SHARE)
     fixes = cut(fixes)
     # an error that recurs is frequent itself; as few as common words have a correction
     recurring = fixes.join(vocab.where(F.col("cnt") >= min(common.values(), default=float("inf"))), "word", "left_semi").select("word").toPandas()["word"]
@@ -268,7 +346,10 @@ def word_noise(rows: DataFrame, vocab: DataFrame, fixes: DataFrame) -> DataFrame
             # the hyphenated form is the frequent one: the word's own hyphen
         if any(h in text for h in _HYPHENS):
             text = rejoin(text)
-        unknown = {normal(t) for t in set(text.split())}
+        words = text.split()
+        if field_name == "summary" and words and words[-1].isalnum() and len(words[-1]) < 4:
+            words.pop()  # it may be the beginning of a longer word, cut off
+        unknown = {normal(t) for t in set(words)}
         for w in unknown:
             if w and w not in skip:
                 yield field_name, rec_id, "word", w, None, None
@@ -276,7 +357,7 @@ def word_noise(rows: DataFrame, vocab: DataFrame, fixes: DataFrame) -> DataFrame
     schema = "field_name string, rec_id bigint, noise_kind string, word string, correction string, clitic boolean"
     found = cut(arrow_pass(rows.select("field_name", "rec_id", "text"), one, schema))
     sure = found.where("noise_kind = 'hyphen'").select("field_name", "rec_id", "noise_kind", "word", "correction")
-    counts = vocab.select("word", "cnt")
+    counts = vocab.where("whole > 0").select("word", F.col("whole").alias("cnt"))
     open_ = found.where("noise_kind = 'parted'")
     open_ = open_.join(counts.select("word", F.col("cnt").alias("as_parted")), "word", "left").join(counts.select(F.col("word").alias("correction"), F.col("cnt").alias("as_whole")), "correction", "left")
     whole, parted = F.coalesce("as_whole", F.lit(0)), F.coalesce("as_parted", F.lit(0))
@@ -292,15 +373,15 @@ def texts(pages: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def edge_cases(pages: DataFrame, audit: DataFrame, files: DataFrame) -> DataFrame:
-    """field_name, rec_id, noise_kind, place, line: headers and page numbers of pages, and of the summaries that hold them whole."""
+    """field_name, rec_id, noise_kind, place, depth, line: headers and page numbers of pages, and of the summaries that hold them whole."""
     noise = cut(edge_noise(pages))
     kinds = F.explode(F.filter(F.array(F.when(F.col("header"), "header"), F.when(F.col("page_number"), "page_number")), lambda x: x.isNotNull())).alias("noise_kind")
-    on_pages = noise.select(F.lit("ocr_text").alias("field_name"), F.col("layer_id").alias("rec_id"), kinds, "place", "line")
+    on_pages = noise.select(F.lit("ocr_text").alias("field_name"), F.col("layer_id").alias("rec_id"), kinds, "place", "depth", "line")
     where = files.select(F.col("file_id").cast("string").alias("file_id"), F.col("input_path").cast("string").alias("input_path")).where("input_path is not null").distinct()
     summaries = audit.select(F.col("audit_id").cast("bigint").alias("rec_id"), F.col("input_file").cast("string").alias("input_path"), (F.col("page").cast("int") - 1).alias("page_index"), F.col("summary").cast("string").alias("summary")).where("summary is not null")
-    carried = noise.select("file_id", "page_index", "place", "line", "context", "header", "page_number").distinct().join(where, "file_id")
+    carried = noise.select("file_id", "page_index", "place", "depth", "line", "context", "header", "page_number").distinct().join(where, "file_id")
     held = F.when(F.col("place") == "top", F.startswith("summary", "context")).otherwise(F.endswith("summary", "context"))
-    on_summaries = summaries.join(carried, ["input_path", "page_index"]).where(held & (F.length("context") > 0)).select(F.lit("summary").alias("field_name"), "rec_id", kinds, "place", "line")
+    on_summaries = summaries.join(carried, ["input_path", "page_index"]).where(held & (F.length("context") > 0)).select(F.lit("summary").alias("field_name"), "rec_id", kinds, "place", "depth", "line")
     return on_pages.unionByName(on_summaries)
 
 
@@ -312,16 +393,19 @@ def found(pages: DataFrame, audit: DataFrame, files: DataFrame) -> DataFrame:
     return words.unionByName(lines).distinct()
 
 
-def reflow(text: str, gone: list[str], fixes: dict[str, str], joins: set[str]) -> str:
-    """The text without the lines in gone, words joined and corrected, lines of a paragraph in one."""
-    lines = text.split("\n")
-    for line in gone:
-        for i in (0, 1, -1, -2):
-            kept = [k for k, x in enumerate(lines) if x.strip()]
-            if -len(kept) <= i < len(kept) and lines[kept[i]].strip() == line:
-                del lines[kept[i]]
-                break
-    text = "\n".join(lines)
+_ITEM = re.compile(r"[ \t]*\n[ \t]*(?!(?:[-–—•*▪]|\(?\d{1,3}[.)]|\(?[a-z]\))[ \t])")
+
+
+def reflow(text: str, gone: list[tuple[str, int]], fixes: dict[str, str], joins: set[str]) -> str:
+    """The text without the lines in gone (place, depth), words joined and corrected, lines of a paragraph in one.
+
+    An item of a list keeps its line.
+    """
+    if gone:
+        lines = text.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip()]
+        out = {at[depth] if place == "top" else at[-1 - depth] for place, depth in gone if depth < len(at)}
+        text = "\n".join(x for k, x in enumerate(lines) if k not in out)
 
     def join(m: re.Match) -> str:
         return m[1] if f"{m[1]}-{m[3]}".lower() in joins else m[1] + "-"
@@ -329,18 +413,24 @@ def reflow(text: str, gone: list[str], fixes: dict[str, str], joins: set[str]) -
     text = _BREAK.sub(join, text)
     if fixes:
         text = re.sub(r"\S+", lambda m: _corrected(m[0], fixes), text)
-    paragraphs = [re.sub(r"[ \t]*\n[ \t]*", " ", p.strip()) for p in re.split(r"\n\s*\n", text)]
+    paragraphs = [_ITEM.sub(" ", p.strip()) for p in re.split(r"\n\s*\n", text)]
     return "\n\n".join(p for p in paragraphs if p)
 
 
+#: The digits that letters and signs in FOR_DIGITS stand for.
+_AS_DIGITS = str.maketrans(FOR_DIGITS, "000011111558226699")
+
+
 def _corrected(token: str, fixes: dict[str, str]) -> str:
     w = normal(token)
     to = fixes.get(w) if w else None
     if to is None:
         return token
     core = token.strip(_EDGE)
-    if w.lower() != core.lower():  # a number: its own digits stay
-        to = core.translate(str.maketrans("OoQDlIi|!SsBZzGbqg", "000011111558226699"[:18]))
+    if w.lower() != core.lower():  # a number: the correction's letters and signs, its own digits
+        if len(to) != len(core):
+            return token
+        to = "".join(c.translate(_AS_DIGITS) if x == "0" else x for c, x in zip(core, to))
     elif core[:1].isupper():
         to = to.upper() if core.isupper() and len(core) > 1 else to[:1].upper() + to[1:]
     return token.replace(core, to, 1)
@@ -355,20 +445,22 @@ def repaired(pages: DataFrame, audit: DataFrame, files: DataFrame) -> DataFrame:
     rows = texts(pages, audit)
     key = ["field_name", "rec_id"]
     words = word_noise(rows, vocab, corrections(vocab)).groupBy(*key).agg(F.collect_set(F.struct("noise_kind", "word", "correction")).alias("words"))
-    lines = edge_cases(pages, audit, files).groupBy(*key).agg(F.collect_set("line").alias("lines"))
+    lines = edge_cases(pages, audit, files).groupBy(*key).agg(F.collect_set(F.struct("place", "depth", "line")).alias("lines"))
 
     def one(field_name, rec_id, text, words, lines):
         words = words or []
         fixes = {w["word"]: w["correction"] for w in words if w["noise_kind"] == "misread"}
         joins = {w["word"] for w in words if w["noise_kind"] == "hyphen"}
-        if field_name == "summary":
-            for line in lines or []:
-                if text.startswith(line):
+        lines = sorted(lines or [], key=lambda x: x["depth"])
+        if field_name == "summary":  # one line: what stands outermost goes first
+            for x in lines:
+                line = x["line"]
+                if x["place"] == "top" and text.startswith(line):
                     text = text[len(line) :].lstrip()
-                elif text.endswith(line):
+                elif x["place"] == "bottom" and text.endswith(line):
                     text = text[: -len(line)].rstrip()
             lines = []
-        yield field_name, rec_id, text, reflow(text, lines or [], fixes, joins)
+        yield field_name, rec_id, text, reflow(text, [(x["place"], x["depth"]) for x in lines], fixes, joins)
 
     joined = rows.join(words, key, "left").join(lines, key, "left").select(*key, "text", "words", "lines")
     return arrow_pass(joined, one, "field_name string, rec_id bigint, text string, repaired string")

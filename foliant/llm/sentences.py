@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import arrow_pass
 
-#: Longest span, in atoms, that is weighed as one sentence.
-MAX_ATOMS = 24
-
 #: Marks that end sentences, opening and closing marks.
 ENDS = ".!?…。！？｡।॥؟۔"
 OPEN, CLOSE = "([{«“„‘「『（【《〈", ")]}»”’」』）】》〉"
@@ -247,38 +244,80 @@ def balance(text: str, s: int, e: int) -> float:
 
 
 _MARKS = re.compile(r"[()\[\]«»“”„「」『』（）\"]")
+_OPENING = frozenset("([«„「『（")
 _PAIRS = {"(": ")", "[": "]", "«": "»", "“": "”", "„": "“”", "「": "」", "『": "』", "（": "）"}
 
 
 def length_score(n: int) -> float:
-    return -1.5 if n < 4 else -0.5 if n < 8 else 0.0 if n < 500 else -(n - 500) / 400
+    return -1.5 if n < 4 else -0.5 if n < 8 else 0.0 if n < _LONG else -(n - _LONG) / _SLOPE
+
+
+_LONG, _SLOPE = 500, 400
+#: A boundary inside a span counts this share of its score against it.
+_INNER = 0.25
+#: A boundary of this score is sure: a span without quotation marks or brackets gains by parting there.
+_SURE = 4.0
+#: Most quotation marks and brackets of one sentence.
+MOST_MARKS = 64
+#: A mark that lacks its partner, and the least length_score of a piece.
+_ODD, _SHORT = 3.5, 1.5
 
 
 def segment(text: str, a: int, b: int, abbreviations: frozenset[str] = ABBREVIATIONS, thai: bool = False) -> list[tuple[int, int]]:
-    """The best spans of one block."""
+    """The best spans of one block; spans of any number of atoms are weighed, with up to MOST_MARKS marks.
+
+    Going back from an end, spans that cannot win are left out: those that gain by parting at one boundary behind which no
+    mark needs a partner before it, and those that gain by parting at all boundaries more than the marks behind can lose.
+    Beyond _LONG characters the score of a span without marks falls evenly, so the best of all longer ones is read from a
+    running maximum.
+    """
     ends = cuts(text, a, b, thai)
     if len(ends) == 1:
         return [(a, b)]
     starts = [a, *ends[:-1]]
     gaps = [gap_score(text, a, starts[i], e, b, abbreviations) for i, e in enumerate(ends[:-1])] + [0.0]
     some = _MARKS.search(text, a, b) is not None
-    marked = [some and _MARKS.search(text, starts[i], e) is not None for i, e in enumerate(ends)]
+    marks = [_MARKS.findall(text, starts[i], e) if some else () for i, e in enumerate(ends)]
     n = len(ends)
+    below, pieces = [0.0] * n, [0.0] * (n + 1)  # sums of the scores of the boundaries before an atom, of the lengths of atoms
+    for i in range(n):
+        below[i] = below[i - 1] + gaps[i - 1] if i else 0.0
+        pieces[i + 1] = pieces[i] + length_score(ends[i] - starts[i])
     best, back = [0.0] + [-1e18] * n, [0] * (n + 1)
+    far: list[tuple[float, int]] = []  # per start, the best one of a long span among all back to the last mark or sure boundary
+    edge: list[int] = []  # where these begin
     for j in range(1, n + 1):
-        inner = 0.0
-        odd = False
-        for i in range(j - 1, max(-1, j - 1 - MAX_ATOMS), -1):
-            odd = odd or marked[i]
-            s, e = starts[i], ends[j - 1]
-            score = best[i] + gaps[j - 1] - inner + length_score(e - s)
-            if odd:
-                score += balance(text, s, e)
+        k = j - 1
+        here = (best[k] + _INNER * below[k] + starts[k] / _SLOPE, k)
+        joined = k > 0 and not marks[k] and not marks[k - 1] and gaps[k - 1] < _SURE
+        far.append(max(here, far[k - 1], key=lambda x: x[0]) if joined else here)
+        edge.append(edge[k - 1] if joined else k)
+        last, held, closing, straight, i = ends[k], 0, 0, 0, k
+        while i >= 0:
+            for c in marks[i]:
+                held += 1
+                straight += c == '"'
+                closing += c != '"' and c not in _OPENING
+            if held > MOST_MARKS and i < k:
+                break
+            s = starts[i]
+            if not held and last - s > _LONG and i < k:
+                score, at = far[i]
+                score += gaps[k] - _INNER * below[k] - (last - _LONG) / _SLOPE
+                i = edge[i]
+            else:
+                at = i
+                score = best[i] + gaps[k] - _INNER * (below[k] - below[i]) + length_score(last - s)
+                if held:
+                    score += balance(text, s, last)
             if score > best[j]:
-                best[j], back[j] = score, i
-            if not odd and i and gaps[i - 1] >= 4.0:
-                break  # nothing before a sure boundary can join
-            inner += 0.25 * gaps[i - 1] if i else 0.0
+                best[j], back[j] = score, at
+            if i and not closing and not straight % 2:
+                if (1 + _INNER) * gaps[i - 1] + length_score(last - starts[i]) > _SHORT:
+                    break
+            elif i and (1 + _INNER) * (below[k] - below[i - 1]) + pieces[j] - pieces[i] - _SHORT > _ODD * (2 * closing + straight + 1):
+                break
+            i -= 1
     out, j = [], n
     while j:
         i = back[j]

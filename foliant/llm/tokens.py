@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import os
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 VOCABULARY = os.environ.get("FOLIANT_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: the pattern byte-level BPE vocabularies of this family were made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longest piece given to the tokenizer at once; longer runs without a blank are counted in parts.
+#: About as many characters are given to the tokenizer at once; a text is parted only before a blank behind another sign,
+#: where the pattern parts it in any case, so the count is that of the whole text.
 LONGEST = 100_000
+_PARTING = re.compile(r"(?<=\S)[ \n]")
 
 
 @lru_cache(maxsize=2)
@@ -26,14 +30,20 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def parts(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > LONGEST and (m := _PARTING.search(text, at + LONGEST)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
 def count(text: str | None, path: str = VOCABULARY) -> int:
     """Tokens of a text; none for a null or empty one."""
     if not text:
         return 0
     enc = encoding(path)
-    if len(text) <= LONGEST:
-        return len(enc.encode_ordinary(text))
-    return sum(len(enc.encode_ordinary(text[i : i + LONGEST])) for i in range(0, len(text), LONGEST))
+    return sum(len(enc.encode_ordinary(part)) for part in parts(text))
 
 
 def with_sizes(rows: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:

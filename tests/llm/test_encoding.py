@@ -60,3 +60,11 @@ def test_random_bytes_do_not_break_it():
     fix, r = E.repairer(model()), random.Random(4)
     for _ in range(300):
         fix(bytes(r.randrange(256) for _ in range(30)).decode("latin-1"))
+
+
+def test_question_marks_are_no_losses():
+    m = model()
+    fix = E.repairer(E.Garbling(dict.fromkeys(m.cost, 10), m.known, ["foi", "quem", "disse"]))
+    for t in ("quem foi? disse o perito", "quem foi?disse o perito", "veja x.com/a?b=ção", "o que ? disse", "foi?? disse"):
+        assert fix(t) == (False, False, t)
+    assert fix("a inspe??o foi? disse")[:2] == (True, True)

@@ -33,3 +33,19 @@ def test_classes_are_closed_and_rewriting_settles():
     for t in SAME:
         once = L.rewrite(t, auto)
         assert L.rewrite(once, auto) == once
+
+
+def test_canonically_equal_texts_are_one():
+    table = {k: v for k, v in L.representatives({}).items() if k != v}
+    auto = L.automaton(table)
+    for a, b in (("한국어", unicodedata.normalize("NFD", "한국어")), ("ẹ́", "ẹ́"), ("ẹ́", "ẹ́"), ("а̣́", "ạ́"), ("한", unicodedata.normalize("NFD", "한")[:2] + "​" + unicodedata.normalize("NFD", "한")[2:])):
+        assert L.rewrite(a, auto) == L.rewrite(b, auto)
+    assert L.rewrite("a" + "​‌" * 50 + "e​́", auto) == L.rewrite("aé", auto)
+
+
+def test_hot_class_and_membership(pages):
+    texts = [BASE] * 300 + [SAME[0]] + [OTHER[0]]
+    p = pages(*[(t, None) for t in texts])
+    assert {(r.layer_id_a, r.layer_id_b) for r in L.pairs(p).collect()} == {(i, 300) for i in range(300)}
+    rows = {r.layer_id: (r.class_id, r.stored_texts) for r in L.membership(p).collect()}
+    assert rows[299] == rows[300] == (0, 2) and rows[301] == (301, 1)

@@ -45,3 +45,14 @@ def test_query(spark):
     assert sum(r.doc_id == 5 for r in got if r.pack_id == 2) == 1
     assert B.assign(docs.limit(0), kinds).count() == 0
     assert B.slack(B.assign(docs, kinds), kinds).count() == 2
+
+
+def test_tokens_of_long_texts_are_counted_whole(monkeypatch):
+    from foliant.llm import tokens as K
+
+    enc = K.encoding(VOCABULARY)
+    monkeypatch.setattr(K, "LONGEST", 50)
+    rng = random.Random(3)
+    for _ in range(200):
+        t = "".join(rng.choice(["ação", " ", "  ", "\n", " \n", "'s", "12", "...", "日本", "\t", " "]) for _ in range(300))
+        assert count(t) == len(enc.encode_ordinary(t)) and "".join(K.parts(t)) == t

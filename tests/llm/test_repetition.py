@@ -40,3 +40,14 @@ def test_query(pages):
     p = pages(*rows)
     assert {(r.field_name, r.layer_id) for r in R.repetitive(p).collect()} == {("ocr_text", 0), ("native_text", 3), ("native_text", 4), ("ocr_text", 3)}
     assert R.measure(p).count() == 38 and R.judged(p.limit(0)).count() == 0
+
+
+def test_no_rate_is_certain_and_the_posterior_decides(pages):
+    prior, rates = R.fit({(1, 1, 1, 1): 90, (0, 0, 0, 0): 900, (-1, 1, 0, 0): 10})
+    assert 0.001 < prior < 0.999 and all(q > 0.0005 and p < 0.9995 for p, q in rates)
+    found = {(r.field_name, r.layer_id) for r in R.judged(pages((SPAM, PLAIN), *[(PLAIN, None)] * 20)).where("posterior >= 0.5").collect()}
+    assert found == {("native_text", 0)}
+
+
+def test_breaks_with_blanks():
+    assert R.words("na ins- \n pe=\t\nção") == R.words("na inspeção")

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from foliant.llm import scan_noise as S
@@ -67,3 +69,66 @@ def test_an_error_that_recurs_is_found(pages, audit, spark):
     got = {(r.rec_id, r.word, r.correction) for r in S.word_noise(rows, vocab, S.corrections(vocab)).collect()}
     assert got == {(i, w, c) for i in (40, 41, 42) for w, c in (("rcquereu", "requereu"), ("con†rato", "contrato"))}
     assert {r.repaired for r in S.repaired(p, audit((None, None, "", None)), files).where("rec_id >= 40").collect()} == {"a parte requereu vista do contrato"}
+
+
+def test_corrected_numbers_keep_their_letters():
+    assert S._corrected("S123O4", {"S000O0": "S00000"}) == "S12304"
+    assert S._corrected("(l2.3O4,", {"l0.0O0": "00.000"}) == "(12.304,"
+
+
+def test_lines_go_from_where_they_stand_and_items_keep_theirs():
+    assert S.reflow("Cabeçalho\ntexto\nCabeçalho", [("top", 0), ("bottom", 0)], {}, set()) == "texto"
+    assert S.reflow("Cabeçalho\ntexto\nCabeçalho", [("bottom", 0)], {}, set()) == "Cabeçalho texto"
+    assert S.reflow("lista:\n- item a\nque segue\n- item b\n1) item c\n\noutro", [], {}, set()) == "lista:\n- item a que segue\n- item b\n1) item c\n\noutro"
+
+
+def test_headers_of_many_lines(pages, audit, spark):
+    head = ["Comarca de Nova Candeia", "Cartório do Segundo Ofício", "Livro Geral de Atas", "Registro de Imóveis"]
+    p = pages(*[(None, "\n".join([*head, f"texto corrido da página número {i} que segue", "e termina aqui."])) for i in range(6)], *[(None, f"Uma linha comum {i} aqui.\nTexto {i} sem nada.\n{head[2]}\noutra linha {i}.\nfim {i}.") for i in range(3)])
+    got = {(r.rec_id, r.place, r.depth) for r in S.edge_cases(p, audit((None, None, "", None)), spark.createDataFrame([], "file_id string, input_path string")).collect()}
+    assert got == {(i, "top", d) for i in range(6) for d in range(4)}
+
+
+def test_short_and_much_damaged_words(spark):
+    vocab = [("rua", 2000), ("rna", 2), ("de", 9000), ("dc", 3), ("ele", 900), ("clc", 400), ("modernamente", 50), ("rnoclernarnente", 1)]
+    got = dict(map(tuple, S.corrections(spark.createDataFrame(vocab, "word string, cnt bigint")).collect()))
+    assert got == {"rna": "rua", "dc": "de", "rnoclernarnente": "modernamente"}
+
+
+def test_words_both_broken_and_misread(pages, audit, spark):
+    p = pages(*[("o requerimento foi lido", None)] * 40, (None, "o reque-\nrirnento foi lido"))
+    files = spark.createDataFrame([], "file_id string, input_path string")
+    got = {(r.rec_id, r.noise_kind) for r in S.found(p, audit((None, None, "", None)), files).collect()}
+    assert got == {(40, "hyphen"), (40, "misread")}
+
+
+def test_altered_headers_equal_brute_force(spark):
+    rng = random.Random(2)
+
+    def change(w):
+        w = list(w)
+        for _ in range(rng.randrange(0, 5)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["x"], [w[k], "y"]])
+        return "".join(w)
+
+    base = ["".join(rng.choice("aeiorstnm") for _ in range(rng.randrange(6, 40))) for _ in range(40)]
+    lines = {("f", change(b)) for b in base for _ in range(12)} | {("g", b) for b in base[:5]}
+    lines = {x for x in lines if x[1]}
+    known = [("f", b, few) for b, few in zip(base, [True] * 10 + [False] * 25 + [None] * 5)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i]
+        for j, y in enumerate(b, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (x != y)))
+        return out
+
+    want = {(f, k) for f, k in lines if any(f == g and distance(k, of) <= S.HEADER_EDITS * len(of) for g, of, _ in known)}
+    got = {tuple(r) for r in S.altered(spark.createDataFrame(sorted(lines), "file_id string, key string"), spark.createDataFrame(known, "file_id string, key string, few boolean")).collect()}
+    assert got == want and len(want) > 100

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from foliant.llm import sentences as S
@@ -54,3 +56,36 @@ def test_query(spark):
     assert sorted(tuple(r) for r in got.where("doc_id = 1").collect()) == [(1, 0, 3), (1, 0, 3), (1, 4, 9), (1, 4, 9)]
     assert got.where("doc_id = 4").count() == 20_000 and got.where("doc_id in (2, 3)").count() == 0
     assert S.split(docs.limit(0)).count() == 0
+
+
+def test_sentences_of_any_number_of_atoms():
+    t = "Foi visto por " + " ".join(f"{c}." for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZABCDEFGHIJ") + " Silva ontem."
+    assert list(S.spans(t)) == [(0, len(t))]
+
+
+def _best(text):
+    """Score of the best segmentation, by weighing every span."""
+    ends = S.cuts(text, 0, len(text))
+    starts = [0, *ends[:-1]]
+    gaps = [S.gap_score(text, 0, starts[i], e, len(text), S.ABBREVIATIONS) for i, e in enumerate(ends[:-1])] + [0.0]
+    span = lambda i, j: gaps[j] - 0.25 * sum(gaps[i:j]) + S.length_score(ends[j] - starts[i]) + S.balance(text, starts[i], ends[j])
+    best = [0.0]
+    for j in range(len(ends)):
+        best.append(max(best[i] + span(i, j) for i in range(j + 1)))
+    return best[-1], starts, ends, span
+
+
+def test_segmentation_is_the_best_of_all():
+    rng = random.Random(1)
+    words = ["A.", "B.", "Dr.", "casa", "foi.", "disse.", '"Oi.', 'ali."', "(ver", "lá.)", "12.", "Sim!", "etc.", "«Não.", "x»", "o", "Maria", "ontem."]
+    for k in range(200):
+        t = " ".join(rng.choice(words) for _ in range(rng.randrange(2, 60 if k % 3 else 200)))
+        best, starts, ends, span = _best(t)
+        if len(ends) > 1:
+            got = sum(span(starts.index(s), ends.index(e)) for s, e in S.segment(t, 0, len(t)))
+            assert abs(got - best) < 1e-6
+
+
+def test_long_texts_take_linear_time():
+    for t in ("A. " * 20_000 + "Silva veio.", "( . " * 10_000, "Ele foi. " * 10_000, '"Ele foi. ' + "Ela veio. " * 10_000):
+        assert list(S.spans(t))
