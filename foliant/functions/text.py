@@ -6,7 +6,9 @@ line ends are spelled out.  All functions treat a null text as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space and line ends of Unicode, in a syntax common to Java and RE2.
@@ -21,16 +23,31 @@ DIGIT = r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{
 LETTER = r"\p{L}"
 
 
+#: The same white space as characters.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that filters behind them do not compute anew: a generator lies between."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")).select(*df.columns, *[F.col(f"_once.{n}") for n in columns])
+
+
 def raw(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(raw(text), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(raw(text), F.lit(WS_CHARS))
 
 
 def count_of(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
+    """How many characters of a class a text has; by the length without them, so none becomes a string of its own."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"{pattern}+", ""))).cast("bigint")
 
 
 def words(text: Column) -> Column:

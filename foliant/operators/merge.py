@@ -209,8 +209,6 @@ def reconcile(pages: DataFrame, native: str = "native_text", n: str = "native_an
     """
     df = pages.withColumn("source", chosen_source(F.col(native), F.col(n), F.col(ocr), F.col(o), F.col(force), F.col(both)))
     one = df.where("source <> 'nativo+ocr'").withColumn("text", F.when(F.col("source") == "ocr", F.col(ocr)).otherwise(T.raw(F.col(native))))
-    one = with_quality(one, "text", "_q_", MIN_CHARS)
     two = df.where("source = 'nativo+ocr'").withColumn("text", merge_udf(F.col(native), F.col(ocr)))
-    two = with_quality(two, "text", "_q_", MIN_CHARS)
-    out = one.unionByName(two).withColumn("analysis", analysis("_q_"))
+    out = with_quality(one.unionByName(two), "text", "_q_", MIN_CHARS).withColumn("analysis", analysis("_q_"))
     return out.drop(*[c for c in out.columns if c.startswith("_q_")])

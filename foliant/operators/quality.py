@@ -31,7 +31,7 @@ def with_statistics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     chars = F.length(s).cast("bigint")
     n = F.size(w).cast("bigint")
     longest = F.coalesce(F.array_max(F.transform(w, F.length)), F.lit(0)).cast("bigint")
-    letters = F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+    letters = F.length(F.regexp_replace(s, f"{T.WS}+", ""))
     return (
         step.withColumn(f"{p}char_count", chars)
         .withColumn(f"{p}word_count", n)
@@ -46,7 +46,10 @@ def with_statistics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
 
 
 def penalties(p: str = "", min_chars: int | None = MIN_CHARS) -> list[tuple[Column, str, int]]:
-    """(condition, flag, penalty) in the order flags are listed; a page without text has the score 0."""
+    """(condition, flag, penalty) in the order flags are listed; a page without text has the score 0.
+
+    Fixed values: the limits, flags and penalties below.
+    """
     c = lambda name: F.col(p + name)
     least = max(1, int(min_chars or MIN_CHARS))
     cc, words, longest = c("char_count"), c("word_count"), c("longest_token")
@@ -85,18 +88,20 @@ def analysis(p: str = "") -> Column:
 
 def structure_hints(text: Column) -> Column:
     """Coarse structures a text suggests, in a fixed order."""
-    ls = T.lines(text)
 
-    def many(cond) -> Column:
-        return F.size(F.filter(ls, cond))
+    def hints(ls: Column) -> Column:
+        def many(cond) -> Column:
+            return F.size(F.filter(ls, cond))
 
-    rules = [
-        (many(lambda x: x.contains("\t") | (F.regexp_count(x, F.lit(r" \| ")) >= 2)) >= 2, "table-like"),
-        (many(lambda x: x.rlike(TIME)) >= 2, "chat-like"),
-        (many(lambda x: x.rlike(ATTACHMENT)) >= 1, "attachment-mention"),
-        (many(lambda x: x.rlike(NUMBERED)) >= 3, "list-like"),
-    ]
-    return F.filter(F.array(*[F.when(c, F.lit(h)) for c, h in rules]), lambda x: x.isNotNull())
+        rules = [
+            (many(lambda x: x.contains("\t") | (F.regexp_count(x, F.lit(r" \| ")) >= 2)) >= 2, "table-like"),
+            (many(lambda x: x.rlike(TIME)) >= 2, "chat-like"),
+            (many(lambda x: x.rlike(ATTACHMENT)) >= 1, "attachment-mention"),
+            (many(lambda x: x.rlike(NUMBERED)) >= 3, "list-like"),
+        ]
+        return F.filter(F.array(*[F.when(c, F.lit(h)) for c, h in rules]), lambda x: x.isNotNull())
+
+    return T.let(T.lines(text), hints)
 
 
 def summary(text: Column, most: int = 240) -> Column:

@@ -35,6 +35,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than there are cores is dealt to all of them; one of more, as any large one, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 # ---------------------------------------------------------------- quality of page texts
 
 _LAYERS = """layers AS (
@@ -83,7 +89,7 @@ _LAYER_SCORES = f"{_LAYER_STATS}, {_SCORES}"
 
 
 def _layers(spark: SparkSession, d: str) -> DataFrame:
-    pages = _t(spark, d, "choose_best_page_text")
+    pages = _wide(_t(spark, d, "choose_best_page_text").select("layer_id", "native_text", "ocr_text"))
     both = F.explode(F.array(F.struct(F.lit("native_text").alias("f"), F.col("native_text").alias("t")), F.struct(F.lit("ocr_text").alias("f"), F.col("ocr_text").alias("t"))))
     return pages.select("layer_id", both.alias("x")).select("layer_id", F.col("x.f").alias("field_name"), F.col("x.t").alias("text"))
 
@@ -105,7 +111,7 @@ def page_quality_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_stats_sql('documents', 'doc_id, lang', 'text')}, {_SCORES} SELECT lang, quality_score, count(*) AS pages, CAST(sum(char_count) AS BIGINT) AS chars FROM judged GROUP BY ALL")
 def quality_by_lang(spark: SparkSession, d: str) -> DataFrame:
-    scored = quality.with_quality(_t(spark, d, "documents").select("doc_id", "lang", "text"), "text")
+    scored = quality.with_quality(_wide(_t(spark, d, "documents").select("doc_id", "lang", "text")), "text")
     return scored.groupBy("lang", "quality_score").agg(F.count("*").alias("pages"), F.sum("char_count").alias("chars"))
 
 
@@ -127,8 +133,8 @@ hinted AS (
 
 @query(f"WITH {_LAYERS}, {_HINTS} SELECT layer_id, field_name, array_to_string(hints, ',') AS hints FROM hinted WHERE len(hints) > 0")
 def structure_hints_pages(spark: SparkSession, d: str) -> DataFrame:
-    df = _layers(spark, d).withColumn("h", quality.structure_hints(F.col("text")))
-    return df.where(F.size("h") > 0).select("layer_id", "field_name", F.array_join("h", ",").alias("hints"))
+    df = T.once(_layers(spark, d), hints=F.array_join(quality.structure_hints(F.col("text")), ","))
+    return df.where("hints <> ''").select("layer_id", "field_name", "hints")
 
 
 _CHAT = "chat AS (SELECT user_id AS layer_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS field_name, string_agg(strftime(ts, '%H:%M') || ' ' || event_type || CASE event_type WHEN 'error' THEN ' print' WHEN 'purchase' THEN ' anexo ' || event_id ELSE '' END, chr(10) ORDER BY ts, event_id) AS raw FROM events GROUP BY 1, 2), layers AS (SELECT * FROM chat)"
@@ -394,7 +400,7 @@ ocr_lines AS (SELECT layer_id, flat, line_no, norm FROM (SELECT layer_id, flat,
 
 
 def _both(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "choose_best_page_text").where("native_text is not null and ocr_text is not null").select("layer_id", "native_text", "ocr_text")
+    return _wide(_t(spark, d, "choose_best_page_text").where("native_text is not null and ocr_text is not null").select("layer_id", "native_text", "ocr_text"))
 
 
 @query(f"WITH {_BOTH} SELECT layer_id, CAST(line_no AS INTEGER) AS line_no, norm, (norm = flat OR (length(norm) >= 8 AND contains(flat, norm)) OR (length(replace(norm, ' ', '')) >= 12 AND contains(replace(flat, ' ', ''), replace(norm, ' ', '')))) AS contained FROM ocr_lines")
@@ -435,13 +441,13 @@ def merge_layers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def normalize_lines(spark: SparkSession, d: str) -> DataFrame:
-    df = _t(spark, d, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
+    df = _wide(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line"))
     return df.select("doc_id", "line_no", merge.normal_udf("line").alias("norm")).where("norm <> ''")
 
 
 @query()
 def reconciled_pages(spark: SparkSession, d: str) -> DataFrame:
-    out = merge.reconcile(_t(spark, d, "choose_best_page_text"))
+    out = merge.reconcile(_wide(_t(spark, d, "choose_best_page_text").select("layer_id", "native_text", "native_analysis", "ocr_text", "ocr_analysis", "force_ocr", "preserve_both")))
     return out.select("layer_id", "source", F.length("text").alias("chars"), F.col("analysis.quality_score").alias("quality_score"))
 
 
