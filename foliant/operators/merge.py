@@ -57,6 +57,13 @@ class NativeLayer:
         self.tokens = self.flat.split()
         self.lines = [n for n in map(normal, _LINE_END.split(text)) if n]
         self.short = frozenset(self.lines)
+        self.runs: Runs | None = None
+
+    def longest(self, tokens: list[str]) -> int:
+        if len(self.tokens) <= 500:
+            return longest_run(tokens, self.tokens)
+        self.runs = self.runs or Runs(self.tokens)
+        return self.runs.longest(tokens)
 
     def has(self, n: str) -> bool:
         """A normalized line is there already: whole, without its blanks, as a long run of tokens, or much alike.
@@ -69,7 +76,7 @@ class NativeLayer:
         if len(compact) >= 12 and compact in self.compact:
             return True
         tokens = n.split()
-        if len(tokens) >= 4 and longest_run(tokens, self.tokens) / len(tokens) >= RUN_SHARE:
+        if len(tokens) >= 4 and self.longest(tokens) / len(tokens) >= RUN_SHARE:
             return True
         if len(n) < 12:
             return False
@@ -108,7 +115,8 @@ def merge_udf(native: pd.Series, ocr: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+    """The similarity of two lines; 1 for what is left out because it is equal."""
+    return pd.Series([1.0 if x is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
 #: A text's form for comparison: normal_udf, or T.simple_normal where SQL is to give the same.
@@ -133,19 +141,77 @@ def contained(df: DataFrame, key: list[str], native: str, ocr: str, form: Form =
     return rows.select(*key, "line_no", "norm", hit.alias("contained"))
 
 
+class Runs:
+    """All runs of tokens of a text, as a suffix automaton: built and asked in time linear in the tokens, also where one recurs often."""
+
+    def __init__(self, tokens: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for w in tokens:
+            now = self._add({}, 0, self.length[last] + 1)
+            p = last
+            while p >= 0 and w not in self.next[p]:
+                self.next[p][w] = now
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][w]
+                if self.length[p] + 1 < self.length[q]:
+                    copy = self._add(dict(self.next[q]), self.link[q], self.length[p] + 1)
+                    while p >= 0 and self.next[p].get(w) == q:
+                        self.next[p][w] = copy
+                        p = self.link[p]
+                    self.link[q] = q = copy
+                self.link[now] = q
+            last = now
+
+    def _add(self, edges: dict[str, int], link: int, length: int) -> int:
+        self.next.append(edges)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.next) - 1
+
+    def longest(self, tokens: list[str]) -> int:
+        """Length of the longest run of the tokens that the text has."""
+        state = n = best = 0
+        for w in tokens:
+            while state and w not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if w in self.next[state]:
+                state, n = self.next[state][w], n + 1
+                best = max(best, n)
+        return best
+
+
 def token_runs(df: DataFrame, key: list[str], native: str, ocr: str, form: Form = normal_udf) -> DataFrame:
     """key..., line_no, tokens, run: the longest run of a line's tokens in the native text.
 
-    Tokens of a page meet on their word; a run is a stretch of one diagonal without gaps.
+    Both texts are in the page's row: one pass without a join, linear in a page's tokens.
     """
-    left = line_rows(df, key, ocr, form).select(*key, "line_no", F.size(F.split("norm", " ")).cast("bigint").alias("tokens"), F.posexplode(F.split("norm", " ")).alias("i", "w"))
-    right = df.select(*key, F.posexplode(F.split(form(F.col(native)), " ")).alias("j", "w")).where("w <> ''")
-    met = left.join(right, [*key, "w"]).withColumn("d", F.col("j") - F.col("i"))
-    diagonal = W.partitionBy(*key, "line_no", "d").orderBy("i")
-    runs = met.withColumn("g", F.col("i") - F.row_number().over(diagonal)).groupBy(*key, "line_no", "d", "g").agg(F.count("*").alias("n"))
-    best = runs.groupBy(*key, "line_no").agg(F.max("n").alias("run"))
-    lines = left.select(*key, "line_no", "tokens").distinct()
-    return lines.join(best, [*key, "line_no"], "left").select(*key, "line_no", "tokens", F.coalesce("run", F.lit(0)).cast("bigint").alias("run"))
+    import pyarrow as pa
+
+    lines = T.lines(F.col(ocr))
+    own = form is not normal_udf
+    rows = df.select(*key, (form(F.col(native)) if own else T.raw(F.col(native))).alias("_n"), (F.transform(lines, form) if own else lines).alias("_l"))
+    schema = rows.select(*key, F.lit(0).alias("line_no"), F.lit(0).cast("bigint").alias("tokens"), F.lit(0).cast("bigint").alias("run")).schema
+
+    def run(batches):
+        for b in batches:
+            at: list[int] = []
+            out: list[tuple[int, int, int]] = []
+            for i, (text, ls) in enumerate(zip(b.column("_n").to_pylist(), b.column("_l").to_pylist(), strict=True)):
+                runs = None
+                for no, line in enumerate(ls or ()):
+                    if words := (line if own else normal(line)).split():
+                        runs = runs or Runs((text if own else normal(text)).split())
+                        at.append(i)
+                        out.append((no, len(words), runs.longest(words)))
+            cols = list(zip(*out)) or [(), (), ()]
+            keys = [b.column(k).take(pa.array(at, pa.int64())) for k in key]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=[*key, "line_no", "tokens", "run"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def bag_overlap(df: DataFrame, key: list[str], native: str, ocr: str, form: Form = normal_udf) -> DataFrame:
@@ -159,20 +225,45 @@ def bag_overlap(df: DataFrame, key: list[str], native: str, ocr: str, form: Form
     return both.groupBy(*key).agg(F.sum("a").alias("tokens"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("shared"))
 
 
-def similar_lines(df: DataFrame, key: list[str], native: str, ocr: str) -> DataFrame:
+#: Pairs of lines of a page up to which all are compared; lines of larger pages meet by their parts, with the same result.
+PAIRS = 100_000
+
+
+def _grams(text: Column) -> Column:
+    """So many three-letter parts of a line, in the order of their hashes, that lines as alike as SIMILAR share one.
+
+    An edit takes three parts away, and lines of n letters that are so much alike are less than n * e edits apart.
+    """
+    e = (1 - SIMILAR) * (1 + (2 - SIMILAR) / SIMILAR)
+    parts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.xxhash64(F.substring(text, i, F.lit(3))))))
+    return F.slice(parts, 1, (F.ceil(3 * e * F.length(text)) + 1).cast("int"))
+
+
+def similar_lines(df: DataFrame, key: list[str], native: str, ocr: str, pairs: int = PAIRS) -> DataFrame:
     """key..., ocr_line_no, native_line_no, ratio: pairs of lines of a page that are much alike.
 
-    Equal lines are found by a join on the line; only the rest, in a band of lengths, reaches Python.
+    Pairs in a band of lengths and within the edit distance that the ratio allows are found in the JVM; only these reach
+    Python, and equal lines are not measured there.
     """
-    a = line_rows(df, key, ocr).select(*key, F.col("line_no").alias("ocr_line_no"), F.col("norm").alias("x")).where(F.length("x") >= 12)
-    b = line_rows(df, key, native).select(*key, F.col("line_no").alias("native_line_no"), F.col("norm").alias("y")).where(F.length("y") >= 12)
     band = SIMILAR / (2 - SIMILAR)
-    close = a.join(b, key).where(F.least(F.length("x"), F.length("y")) >= band * F.greatest(F.length("x"), F.length("y")))
-    same = close.where("x = y").withColumn("ratio", F.lit(1.0))
-    # what is that similar is also within this edit distance, which is measured without leaving the JVM
-    near = close.where((F.col("x") != F.col("y")) & (F.levenshtein("x", "y") <= (1 - SIMILAR) * (F.length("x") + F.length("y")) + 1e-9))
-    other = near.withColumn("ratio", ratio_udf("x", "y")).where(F.col("ratio") >= SIMILAR)
-    return same.unionByName(other).select(*key, "ocr_line_no", "native_line_no", "ratio")
+    both = df.select(*key, F.size(T.lines(F.col(native))).cast("bigint").alias("_n"), F.size(T.lines(F.col(ocr))).cast("bigint").alias("_m"), F.col(native), F.col(ocr))
+    near = (F.least(F.length("x"), F.length("y")) >= band * F.greatest(F.length("x"), F.length("y"))) & (
+        (F.col("x") == F.col("y")) | (F.levenshtein("x", "y") <= (1 - SIMILAR) * (F.length("x") + F.length("y")) + 1e-9)
+    )
+
+    def sides(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+        a = line_rows(pages, key, ocr).select(*key, F.col("line_no").alias("ocr_line_no"), F.col("norm").alias("x")).where(F.length("x") >= 12)
+        b = line_rows(pages, key, native).select(*key, F.col("line_no").alias("native_line_no"), F.col("norm").alias("y")).where(F.length("y") >= 12)
+        return a, b
+
+    a, b = sides(both.where(F.col("_n") * F.col("_m") <= pairs))
+    close = a.join(b, key).where(near)
+    c, d = sides(both.where(F.col("_n") * F.col("_m") > pairs))
+    met = c.select("*", F.explode(_grams(F.col("x"))).alias("_g")).join(d.select("*", F.explode(_grams(F.col("y"))).alias("_g")), [*key, "_g"])
+    close = close.unionByName(met.where(near).drop("_g").distinct())
+    other = F.col("x") != F.col("y")
+    out = close.withColumn("ratio", ratio_udf(F.when(other, F.col("x")), F.when(other, F.col("y"))))
+    return out.where(F.col("ratio") >= SIMILAR).select(*key, "ocr_line_no", "native_line_no", "ratio")
 
 
 def has_text(text: Column) -> Column:
