@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .engines import dispatch, preflight
 from .plans.pipeline import Options, convert
 from .session import ship
 
@@ -36,10 +37,21 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--engine", help="module:callable that makes an OcrEngine")
     p.add_argument("--renderer", help="module:callable that makes a PageRenderer")
     p.add_argument("--state", help="folder that keeps OCR results over runs")
+    p.add_argument("--drop-state", action="store_true", help="remove that folder once every file is done")
+    p.add_argument("--workers", type=int, help="most OCR tasks at a time (1-32)")
+    p.add_argument("--ocr-backend", choices=("auto", "tesseract", "vision"), default="auto")
+    p.add_argument("--vision-engine", help="module:callable of the engine that auto tries first")
+    p.add_argument("--layout", choices=("files", "packed"), default="files")
     a = p.parse_args(argv)
-    options = Options(a.ocr_threshold, a.ocr_dpi, a.lang, a.output_format, not a.no_ocr, a.force_ocr and not a.no_ocr, a.page_audit, a.compiled)
+    options = Options.of(
+        ocr_threshold=a.ocr_threshold, ocr_dpi=a.ocr_dpi, lang=a.lang, output_format=a.output_format, use_ocr=not a.no_ocr, force_ocr=a.force_ocr, page_audit=a.page_audit, compiled=a.compiled,
+        workers=a.workers, ocr_backend=a.ocr_backend, layout=a.layout, drop_state=a.drop_state,
+    )
+    engine, renderer = dispatch(a.ocr_backend, _load(a.vision_engine), _load(a.engine)), _load(a.renderer)
+    for issue in preflight(engine, renderer, a.lang) if options.use_ocr else ():
+        print(issue, file=sys.stderr)
     spark = ship(SparkSession.builder.appName("foliant").getOrCreate())
-    table = convert(spark, a.input, a.output, _load(a.engine), _load(a.renderer), options, datetime.now().isoformat(" ", "seconds"), a.state)
+    table = convert(spark, a.input, a.output, engine, renderer, options, datetime.now().isoformat(" ", "seconds"), a.state)
     counts = table.agg(F.count("*").alias("n"), F.count_if(F.col("status") != "ok").alias("failed")).first()
     table.write.mode("overwrite").parquet(f"{a.output}/results")
     print(f"{counts.n - counts.failed} ok, {counts.failed} failed", file=sys.stderr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import partial
 from typing import Protocol
 
 
@@ -13,7 +14,10 @@ class OcrEngine(Protocol):
 
 class PageRenderer(Protocol):
     def render(self, content: bytes, pages: list[int], dpi: int) -> Iterable[bytes]:
-        """Images of the 0-based pages, in order; fewer if the file has fewer."""
+        """Images of the 0-based pages, in order; fewer if the file has fewer.
+
+        A renderer that has render_path(path, pages, dpi) is given the file's path instead and reads what it needs.
+        """
 
 
 class StubEngine:
@@ -47,3 +51,24 @@ class FirstWorking:
             except Exception as e:  # noqa: BLE001
                 error = e
         raise error
+
+
+def dispatch(backend: str, vision: Callable[[], OcrEngine] | None, tesseract: Callable[[], OcrEngine] | None) -> Callable[[], OcrEngine] | None:
+    """The maker of the engine that a back end stands for; auto and vision fall back to the other engine image by image."""
+    makers = [m for m in ((tesseract,) if backend == "tesseract" else (vision, tesseract)) if m is not None]
+    if len(makers) < 2:
+        return makers[0] if makers else None
+    return partial(FirstWorking, *makers)
+
+
+def preflight(engine: Callable[[], OcrEngine] | None, renderer: Callable[[], PageRenderer] | None, lang: str) -> list[str]:
+    """What a run with OCR lacks, as warnings: an engine, a renderer, or the language where the engine tells its languages."""
+    issues = []
+    if renderer is None:
+        issues.append("Poppler não encontrado; OCR em PDFs escaneados pode falhar.")
+    if engine is None:
+        issues.append("Tesseract não encontrado; OCR em imagens e PDFs escaneados pode falhar.")
+    elif lang and (languages := getattr(engine(), "languages", None)) is not None:
+        missing = [x for x in lang.split("+") if x not in languages()]
+        issues += [f"Idioma '{x}' não está instalado no Tesseract." for x in missing]
+    return issues

@@ -45,13 +45,13 @@ def with_statistics(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     )
 
 
-def penalties(p: str = "", min_chars: int | None = MIN_CHARS) -> list[tuple[Column, str, int]]:
+def penalties(p: str = "", min_chars: int | Column | None = MIN_CHARS) -> list[tuple[Column, str, int]]:
     """(condition, flag, penalty) in the order flags are listed; a page without text has the score 0.
 
     Fixed values: the limits, flags and penalties below.
     """
     c = lambda name: F.col(p + name)
-    least = max(1, int(min_chars or MIN_CHARS))
+    least = min_chars if isinstance(min_chars, Column) else max(1, int(min_chars or MIN_CHARS))
     cc, words, longest = c("char_count"), c("word_count"), c("longest_token")
     return [
         (cc == 0, "sem-texto", 100),
@@ -66,7 +66,7 @@ def penalties(p: str = "", min_chars: int | None = MIN_CHARS) -> list[tuple[Colu
     ]
 
 
-def with_quality(df: DataFrame, text: str, prefix: str = "", min_chars: int | None = MIN_CHARS) -> DataFrame:
+def with_quality(df: DataFrame, text: str, prefix: str = "", min_chars: int | Column | None = MIN_CHARS) -> DataFrame:
     """Adds the statistics, quality_score, flags and needs_ocr.
 
     A null text is an empty one; extra columns pass through, ones of the added names are replaced.

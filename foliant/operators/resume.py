@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 3
@@ -20,6 +20,22 @@ def fingerprint(path: Column, size: Column, mtime_us: Column, settings: dict) ->
     return F.sha2(F.concat_ws("\n", path, size.cast("string"), mtime_us.cast("string"), F.lit(text), F.lit(str(VERSION))), 256)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; a failing storage is an error, not an absence."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The state kept under path; an empty one before the first run."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def page_name(index: Column) -> Column:
+    """The name of a page's entry in a state: page_000001 and so on, from the 0-based index."""
+    return F.format_string("page_%06d", index)
+
+
 def pending(pages: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Pages that the state table has not; keys hold the fingerprint, so stale state counts as none."""
     return pages.join(state.select(*keys), keys, "left_anti")

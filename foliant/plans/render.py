@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import flag_labels, hint_labels, source_label
 from ..operators.quality import detail_line
 
+#: The rule between documents, here and below the wording of documents and audit records.
 RULE = "=" * 60
 
 #: Columns of a final page: file_id, file_name, page (1-based), text, summary, source, quality_score, char_count,
@@ -111,9 +112,10 @@ def compile_report(pages: DataFrame, now: str, fmt: str = "txt") -> DataFrame:
     return header.unionByName(parts.select(F.lit(1).alias("ordinal"), "file_id", "part", "page", "body"))
 
 
-def audit_records(pages: DataFrame, input_file: str = "input_file") -> DataFrame:
-    """One record per page, its keys in a fixed order; char_count is the raw length of the text."""
+def audit_records(pages: DataFrame, input_file: str = "input_file", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One record per page, its keys in a fixed order; char_count is the raw length of the text; keep: further columns."""
     return pages.select(
+        *keep,
         F.col(input_file).alias("input_file"),
         F.col("page").cast("int").alias("page"),
         F.coalesce("summary", F.lit("")).alias("summary"),

@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable
+from itertools import islice
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,23 +20,58 @@ from .pdf import read_pdf
 #: Accepted extensions by kind.
 KINDS = {".pdf": "pdf", ".png": "image", ".jpg": "image", ".jpeg": "image", ".docx": "docx", ".md": "markdown", ".markdown": "markdown"}
 
-_PAGES = "path string, ext string, page_index int, text string, source string, image_count int, image_coverages array<double>, extraction_issue string, error string"
+_PAGES = "path string, ext string, page_index int, text string, source string, image_count int, image_coverages array<double>, extraction_issue string, reliable boolean, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+#: Pages a task holds before it hands them on.
+PAGES_AT_ONCE = 256
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))
 
 
+def file_system(uri: str):
+    """The file system of a path or URI, and the path in it, for use in tasks."""
+    from pyarrow import fs
+
+    if re.match(r"file:/*", uri):
+        uri = re.sub(r"^file:/*", "/", uri)
+    return (fs.LocalFileSystem(), uri) if "://" not in uri else fs.FileSystem.from_uri(uri)
+
+
+def open_bytes(uri: str) -> bytes:
+    fs, path = file_system(uri)
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 def read_files(spark: SparkSession, paths: str | Iterable[str], recursive: bool = True) -> DataFrame:
-    """path, ext, length, mtime, content, ordinal_key: accepted files in the order of their lower-cased path.
+    """path, ext, length, mtime, content, ordinal_key: accepted files.
 
-    A directory is read with its subdirectories; the extension is compared without case, so by column and not by glob.
+    One path: a file, or a directory with its subdirectories in the order of lower-cased paths.  A list: its existing files
+    in the given order; directories in it are not read.  The extension is compared without case, so by column, not by glob.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+    if isinstance(paths, str):
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+        return _accepted(df).withColumn("ordinal_key", F.lower("path"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, str] = {}
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where) and fs.getFileStatus(where).isFile():
+            found.setdefault(fs.makeQualified(where).toString(), f"{len(found):012d}")
+    if not found:
+        return spark.createDataFrame([], "path string, ext string, length bigint, mtime timestamp, content binary, ordinal_key string")
+    given = spark.createDataFrame(list(found.items()), "path string, ordinal_key string")
+    return _accepted(spark.read.format("binaryFile").load(list(found))).join(F.broadcast(given), "path")
+
+
+def _accepted(df: DataFrame) -> DataFrame:
     df = df.select("path", extension(F.col("path")).alias("ext"), "length", F.col("modificationTime").alias("mtime"), "content")
-    return df.where(F.col("ext").isin(list(KINDS))).withColumn("ordinal_key", F.lower("path"))
+    return df.where(F.col("ext").isin(list(KINDS)))
 
 
 def complete_pdf(content: Column) -> Column:
@@ -95,31 +131,33 @@ def read_pages(files: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     columns = [x.split()[0] for x in _PAGES.split(", ")]
-    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.string()]
+    types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.float64()), pa.string(), pa.bool_(), pa.string()]
 
     def pages(path: str, ext: str, content: bytes) -> Iterable[tuple]:
         kind = KINDS.get(ext)
         try:
             if kind == "markdown":
-                yield path, ext, 0, content.decode("utf-8"), "markdown", 0, None, None, None
+                yield path, ext, 0, content.decode("utf-8"), "markdown", 0, None, None, True, None
             elif kind == "docx":
-                yield path, ext, 0, docx_text(content), "docx", 0, None, None, None
+                yield path, ext, 0, docx_text(content), "docx", 0, None, None, True, None
             elif kind == "image":
-                yield path, ext, 0, "", "imagem-ocr", 1, None, None, None
+                yield path, ext, 0, "", "imagem-ocr", 1, None, None, True, None
             elif kind == "pdf":
                 for p in read_pdf(content):
-                    yield path, ext, p.index, p.text, "nativo", p.image_count, p.coverages, p.issue, None
+                    yield path, ext, p.index, p.text, "nativo", p.image_count, p.coverages, p.issue, p.reliable, None
             else:
-                yield path, ext, None, None, None, None, None, None, f"Formato não suportado: {ext}"
+                yield path, ext, None, None, None, None, None, None, None, f"Formato não suportado: {ext}"
         except Exception as e:  # noqa: BLE001
-            yield path, ext, None, None, None, None, None, None, f"Erro durante processamento: {e}"
+            yield path, ext, None, None, None, None, None, None, None, f"Erro durante processamento: {e}"
 
-    def run(batches):
+    def rows(batches):
         for b in batches:
-            out: list[tuple] = []
             for row in zip(*(b.column(c).to_pylist() for c in ("path", "ext", "content")), strict=True):
-                out.extend(pages(*row))
-            cols = list(zip(*out)) or [()] * len(columns)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=columns)
+                yield from pages(*row)
+
+    def run(batches):
+        every = rows(batches)
+        while out := list(islice(every, PAGES_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types, strict=True)], names=columns)
 
     return files.select("path", "ext", "content").mapInArrow(run, _PAGES)

@@ -24,6 +24,7 @@ class Page:
     image_count: int = 0
     coverages: list[float] = field(default_factory=list)
     issue: str | None = None
+    reliable: bool = True
 
 
 def _stream(body: bytes) -> bytes | None:
@@ -178,15 +179,42 @@ def count_images(doc: Document, body: bytes, seen: set[int]) -> int:
 
 
 def read_pdf(content: bytes):
-    """The pages of a file, one at a time; a page that cannot be read has an issue and no text."""
+    """The pages of a file, one at a time.
+
+    A page whose text cannot be read by its operators is read by its strings alone, and one that has none of these says so
+    in its issue.  A page whose images cannot be inspected makes the file's inspection unreliable.
+    """
     doc = Document(content)
     for index, number in enumerate(doc.pages()):
         body = doc.objects[number]
+        page = Page(index, "")
+        data = b""
         try:
             data = doc.contents(body)
-            box = re.search(rb"/(?:CropBox|MediaBox)\s*\[(.*?)\]", doc.inherited(number, b"/CropBox") or doc.inherited(number, b"/MediaBox"), re.S)
-            x0, y0, x1, y1 = map(float, box[1].split()) if box else (0.0, 0.0, 0.0, 0.0)
-            owner = body if b"/Resources" in body else doc.inherited(number, b"/Resources")
-            yield Page(index, page_text(data), count_images(doc, owner, set()), coverages(doc, owner, data, abs((x1 - x0) * (y1 - y0))))
+            page.text = page_text(data)
         except Exception as e:  # noqa: BLE001
-            yield Page(index, "", issue=f"página ilegível: {e}")
+            page.text = "\n".join(filter(None, (_try_string(m[0]) for m in _STRINGS.finditer(data)))).strip()
+            page.issue = f"texto lido sem posições: {e}" if page.text else f"página ilegível: {e}"
+        try:
+            owner = body if b"/Resources" in body else doc.inherited(number, b"/Resources")
+            page.image_count = count_images(doc, owner, set())
+        except Exception:  # noqa: BLE001
+            page.reliable = False
+        else:
+            try:
+                box = re.search(rb"/(?:CropBox|MediaBox)\s*\[(.*?)\]", doc.inherited(number, b"/CropBox") or doc.inherited(number, b"/MediaBox"), re.S)
+                x0, y0, x1, y1 = map(float, box[1].split()) if box else (0.0, 0.0, 0.0, 0.0)
+                page.coverages = coverages(doc, owner, data, abs((x1 - x0) * (y1 - y0)))
+            except Exception:  # noqa: BLE001
+                page.coverages = []  # placements unknown: a reason for OCR, and a warning
+        yield page
+
+
+_STRINGS = re.compile(rb"\((?:\\.|[^\\()])*\)")
+
+
+def _try_string(token: bytes) -> str:
+    try:
+        return _string(token)
+    except Exception:  # noqa: BLE001
+        return ""

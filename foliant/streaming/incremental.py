@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.quality import structure_hints, with_quality
-from ..operators.resume import pending
+from ..operators.resume import exists, pending
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, state: str, checkpoint: str, keys: list[str], text: str = "text") -> StreamingQuery:
@@ -18,10 +18,7 @@ def score_stream(spark: SparkSession, source: str, schema: str, state: str, chec
 
     def each(batch: DataFrame, epoch: int) -> None:
         new = batch.dropDuplicates(keys)
-        try:
-            held = spark.read.parquet(state).select(*keys)
-        except Exception:  # noqa: BLE001  nothing written yet
-            held = new.select(*keys).limit(0)
+        held = spark.read.parquet(state).select(*keys) if exists(spark, state) else new.select(*keys).limit(0)
         scored = with_quality(pending(new, held, keys), text).withColumn("structure_hints", structure_hints(F.col(text)))
         scored.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(state)
 
