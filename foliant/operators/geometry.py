@@ -15,6 +15,12 @@ def block_text(text: Column) -> Column:
     return F.array_join(T.lines(text), "\n")
 
 
+def kept_blocks(blocks: DataFrame, text: str = "text", kind: str = "kind") -> DataFrame:
+    """Blocks of text, of kind 0 or unknown, with their normal text; blocks without any are left out."""
+    df = blocks.where(F.coalesce(F.col(kind), F.lit(0)) == 0).withColumn(text, block_text(F.col(text)))
+    return df.where(F.col(text) != "")
+
+
 def columns_of(blocks: DataFrame, page: list[str], x: str = "x0", width: str = "page_width", seq: str = "seq") -> DataFrame:
     """Adds column_no (0, or 1 right of the gap) and two_columns to each block.
 

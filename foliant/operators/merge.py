@@ -225,6 +225,13 @@ def bag_overlap(df: DataFrame, key: list[str], native: str, ocr: str, form: Form
     return both.groupBy(*key).agg(F.sum("a").alias("tokens"), F.sum(F.least("a", F.coalesce("b", F.lit(0)))).alias("shared"))
 
 
+def equal_lines(df: DataFrame, key: list[str], native: str, ocr: str, form: Form = normal_udf) -> DataFrame:
+    """key..., ocr_line_no, native_line_no: lines of a page that are the same in their form, by a join on it."""
+    a = line_rows(df, key, ocr, form).select(*key, F.col("line_no").alias("ocr_line_no"), "norm")
+    b = line_rows(df, key, native, form).select(*key, F.col("line_no").alias("native_line_no"), "norm")
+    return a.join(b, [*key, "norm"]).where(F.length("norm") >= 12).select(*key, "ocr_line_no", "native_line_no")
+
+
 #: Pairs of lines of a page up to which all are compared; lines of larger pages meet by their parts, with the same result.
 PAIRS = 100_000
 

@@ -88,7 +88,7 @@ def score_pages(pages: DataFrame, options: Options) -> DataFrame:
 
 
 def inspections(pages: DataFrame) -> DataFrame:
-    """path, reliable, coverage_reliable, unmeasured (the first pages whose images have no known area, and how many)."""
+    """path, reliable, coverage_reliable: whether all pages of a file could be inspected, and all images measured."""
     image = F.coalesce("image_count", F.lit(0)) > 0
     unmeasured = (F.col("source") == "nativo") & image & (F.size(F.coalesce("image_coverages", F.array().cast("array<double>"))) == 0)
     return pages.groupBy("path").agg(F.bool_and(F.coalesce("reliable", F.lit(True))).alias("reliable"), (~F.bool_or(unmeasured)).alias("coverage_reliable"))

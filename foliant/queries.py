@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .functions import labels
 from .functions import text as T
 from .operators import geometry, merge, policy, quality, resume
-from .plans import render
-from .sinks import output_name, unique_names
+from .plans import pipeline, render
+from .sinks import audit_name, output_name, unique_names
 from .sources.files import flatten_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,11 +574,142 @@ def results_by_file(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH p AS (SELECT input_file, page, row_number() OVER (PARTITION BY input_file ORDER BY page) AS k, count(*) OVER (PARTITION BY input_file) AS n FROM (SELECT DISTINCT input_file, page FROM page_audit WHERE coalesce(extraction_issue, '') <> '')) SELECT input_file, string_agg(CAST(page AS VARCHAR), ', ' ORDER BY page) || CASE WHEN max(n) > 8 THEN '...' ELSE '' END AS preview FROM p WHERE k <= 8 GROUP BY 1")
 def warning_preview(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window as W
+    due = _t(spark, d, "page_audit").where(F.coalesce("extraction_issue", F.lit("")) != "").select("input_file", "page")
+    return pipeline.page_preview(due, "input_file", "page")
+
+
+def _paths_sql(stem: str, suffix: str) -> str:
+    return f"WITH t AS (SELECT file_id, regexp_replace(rel_path, '(.)\\.[^./]*$', '\\1') || '{stem}' AS stem, input_path FROM files), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY lower(input_path), file_id) AS k FROM t) SELECT file_id, CASE WHEN k = 1 THEN stem || '{suffix}' ELSE stem || '_' || k || '{suffix}' END AS name FROM n"
+
+
+@query(_paths_sql("", ".md"))
+def output_paths(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "files").select("file_id", F.lower("input_path").alias("_o"), output_name(F.col("rel_path"), ".md").alias("target"))
+    return unique_names(df, "target", ["_o", "file_id"]).select("file_id", "name")
+
+
+@query(_paths_sql("_paginas", ".jsonl"))
+def audit_paths(spark: SparkSession, d: str) -> DataFrame:
+    df = _t(spark, d, "files").select("file_id", F.lower("input_path").alias("_o"), audit_name(F.col("rel_path")).alias("target"))
+    return unique_names(df, "target", ["_o", "file_id"]).select("file_id", "name")
+
+
+@query(
+    f"""WITH {_FINAL}, n AS (SELECT file_id, count(*) AS pages, bool_or(coalesce(char_count, 0) > 0) AS some, CAST(sum(coalesce(char_count, 0)) AS BIGINT) AS chars,
+  coalesce(string_agg(CASE WHEN image_count > 0 THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS ip, coalesce(string_agg(CASE WHEN ocr_image_candidate THEN CAST(page AS VARCHAR) END, ',' ORDER BY page), '') AS cp FROM final GROUP BY 1),
+w AS (SELECT input_path, CASE WHEN inspect_warning IS NOT NULL THEN inspect_warning ELSE '' END AS warnings FROM files),
+r AS (SELECT f.input_path, n.*, w.warnings, CASE WHEN f.page_count IS NULL THEN '{pipeline.BROKEN_PDF}' WHEN n.pages IS NULL THEN '{pipeline.NO_PAGES}' WHEN NOT n.some THEN '{pipeline.NO_TEXT}' END AS failure
+  FROM files f LEFT JOIN n ON f.input_path = n.file_id LEFT JOIN w ON f.input_path = w.input_path)
+SELECT input_path, CASE WHEN failure IS NULL THEN pages ELSE 0 END AS pages, CASE WHEN failure IS NULL THEN chars ELSE 0 END AS chars, CASE WHEN failure IS NULL THEN 'ok' ELSE 'failed' END AS status, failure, warnings,
+  CASE WHEN failure IS NULL THEN CASE WHEN pages <= 250 THEN 'pequeno' WHEN pages <= 2000 THEN 'grande' WHEN pages <= 5000 THEN 'muito-grande' ELSE 'gigante' END END AS processing_profile,
+  CASE WHEN failure IS NULL THEN ip ELSE '' END AS image_pages, CASE WHEN failure IS NULL THEN cp ELSE '' END AS ocr_image_pages FROM r"""
+)
+def result_records(spark: SparkSession, d: str) -> DataFrame:
+    files = _t(spark, d, "files").select(F.col("input_path").alias("path"), F.lower("input_path").alias("ordinal_key"), "page_count", "inspect_warning")
+    errors = files.where("page_count is null").select("path", F.lit(pipeline.BROKEN_PDF).alias("error"))
+    warned = files.where("inspect_warning is not null").select("path", F.array("inspect_warning").alias("warnings"))
+    pages = _final(spark, d).withColumn("char_count", F.coalesce("char_count", F.lit(0))).withColumn("raw_chars", F.col("char_count"))
+    out = pipeline.results(files, pages, errors, pipeline.Options(), warned)
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return out.select("input_path", "pages", "chars", "status", "failure", F.array_join("warnings", "; ").alias("warnings"), "processing_profile", joined("image_pages"), joined("ocr_image_pages"))
+
+
+_ISSUE = "CASE WHEN layer_id % 7 = 0 THEN 'texto parcial' END"
+
+
+def _judged_sql(name: str, column: str) -> str:
+    inner = f"{_stats_sql('choose_best_page_text', 'layer_id', column)}, {_SCORES}".replace("char_count < 30", "char_count < 60").replace("'texto-curto'", "'texto-curto'")
+    return f"{name} AS (WITH {inner} SELECT * FROM judged)"
+
+
+@query(
+    f"""WITH {_judged_sql("nj", "native_text")}, {_judged_sql("oj", "ocr_text")},
+p AS (SELECT c.layer_id, c.ocr_text IS NOT NULL AS got, {_ISSUE.replace("layer_id", "c.layer_id")} AS issue, n.char_count AS nc, n.quality_score AS ns, n.flags AS nf, n.needs_ocr AS nn, o.char_count AS oc, o.quality_score AS os, o.flags AS fo, o.needs_ocr AS oo
+  FROM choose_best_page_text c JOIN nj n USING (layer_id) JOIN oj o USING (layer_id)),
+q AS (SELECT *, nn OR issue IS NOT NULL AS bad, CASE WHEN issue IS NOT NULL THEN list_append(nf, 'camada-nativa-incompleta') ELSE nf END AS flagged FROM p),
+s AS (SELECT *, CASE WHEN NOT got THEN 'nativo' WHEN issue IS NOT NULL AND nc > 0 AND oc > 0 THEN 'nativo+ocr' WHEN nc = 0 AND oc > 0 THEN 'ocr' WHEN nc > 0 AND oc = 0 THEN 'nativo' WHEN nc = 0 THEN 'sem-texto' WHEN bad THEN 'ocr'
+  WHEN os >= ns + 10 AND oc >= greatest(20, CAST(trunc(nc * CAST(0.55 AS DOUBLE)) AS BIGINT)) THEN 'ocr' WHEN oc > CAST(trunc(nc * CAST(1.35 AS DOUBLE)) AS BIGINT) AND os + 3 >= ns THEN 'ocr' ELSE 'nativo' END AS source FROM q)
+SELECT layer_id, source, CASE WHEN source = 'nativo+ocr' THEN NULL WHEN source = 'ocr' THEN os WHEN source = 'sem-texto' THEN 0 ELSE ns END AS quality_score,
+  CASE WHEN source = 'nativo+ocr' THEN NULL WHEN source = 'ocr' THEN oo WHEN source = 'sem-texto' THEN true ELSE bad END AS needs_ocr,
+  CASE WHEN source = 'nativo+ocr' THEN NULL WHEN source = 'ocr' THEN array_to_string(fo, ',') WHEN source = 'sem-texto' THEN 'sem-texto' WHEN got THEN '' ELSE array_to_string(flagged, ',') END AS flags, issue IS NOT NULL AS issue FROM s"""
+)
+def final_details(spark: SparkSession, d: str) -> DataFrame:
+    """The details of what is kept of a page, by a threshold of 60; what merging gives is left to merge_layers."""
+    layers = _wide(_t(spark, d, "choose_best_page_text").select(F.col("layer_id").cast("string").alias("path"), F.lit(0).alias("page_index"), F.col("native_text").alias("text"), "ocr_text", F.expr(_ISSUE).alias("extraction_issue")))
+    pages = layers.drop("ocr_text").withColumn("source", F.lit("nativo")).withColumn("image_count", F.lit(0)).withColumn("image_coverages", F.lit(None).cast("array<double>"))
+    options = pipeline.Options(ocr_threshold=60)
+    scored = pipeline.score_pages(pages, options)
+    ocr = layers.where("ocr_text is not null").select("path", "page_index", "ocr_text", F.lit(None).cast("string").alias("ocr_error"))
+    out = pipeline.final_pages(scored, pipeline.select_ocr_pages(scored), ocr, options)
+    plain = lambda c: F.when(F.col("source") != "nativo+ocr", c)
+    return out.select(F.col("file_id").cast("bigint").alias("layer_id"), "source", plain(F.col("quality_score")).alias("quality_score"), plain(F.col("needs_ocr")).alias("needs_ocr"), plain(F.array_join("quality_flags", ",")).alias("flags"), F.col("extraction_issue").isNotNull().alias("issue"))
+
+
+@query("WITH s AS (SELECT p_partkey, p_partkey % 3000 AS w, p_size * 60 AS h FROM part), f AS (SELECT *, CASE WHEN greatest(w, h) < 1400 THEN least(CAST(2 AS DOUBLE), CAST(1400 AS DOUBLE) / greatest(w, h)) ELSE CAST(1 AS DOUBLE) END AS k FROM s) SELECT p_partkey, CAST(greatest(1, floor(w * k)) AS INTEGER) AS width, CAST(greatest(1, floor(h * k)) AS INTEGER) AS height FROM f")
+def prepared_sizes(spark: SparkSession, d: str) -> DataFrame:
+    size = policy.prepared_size(F.col("p_partkey") % 3000, F.col("p_size") * 60)
+    return _t(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("SELECT o_orderkey, round(CASE WHEN o_orderkey % 5 > 0 THEN CAST(0.35 AS DOUBLE) * (o_orderkey % 101) / 100 + CAST(0.64 AS DOUBLE) * (o_custkey % (o_orderkey % 5 + 1)) / (o_orderkey % 5) ELSE CAST(o_orderkey % 101 AS DOUBLE) / 100 END, 9) AS done FROM orders")
+def progress_shares(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col
+    share = policy.progress(c("o_orderkey") % 101, F.lit(100), c("o_custkey") % (c("o_orderkey") % 5 + 1), c("o_orderkey") % 5)
+    return _t(spark, d, "orders").select("o_orderkey", F.round(share, 9).alias("done"))
+
+
+@query(f"WITH b AS (SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 1 WHEN 2 THEN NULL ELSE 0 END AS kind, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{T.LINE_END}'), lambda x: regexp_replace(x, '^{T.WS}+|{T.WS}+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM documents) SELECT doc_id, text FROM b WHERE coalesce(kind, 0) = 0 AND text <> ''")
+def text_blocks(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 4 == 1, 1).when(F.col("doc_id") % 4 == 2, F.lit(None)).otherwise(0)
+    return geometry.kept_blocks(_wide(_t(spark, d, "documents").select("doc_id", "text")).withColumn("kind", kind)).select("doc_id", "text")
+
+
+@query("SELECT layer_id, printf('page_%06d', page_index) AS name, page_index + 1 AS page FROM choose_best_page_text")
+def page_names(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "choose_best_page_text").select("layer_id", resume.page_name(F.col("page_index")).alias("name"), (F.col("page_index") + 1).alias("page"))
+
+
+@query("SELECT file_id, count(*) AS pages, CAST(sum(length(coalesce(native_text, '')) + length(coalesce(ocr_text, ''))) AS BIGINT) AS chars FROM choose_best_page_text GROUP BY 1")
+def character_totals(spark: SparkSession, d: str) -> DataFrame:
+    chars = F.length(T.raw(F.col("native_text"))) + F.length(T.raw(F.col("ocr_text")))
+    return _t(spark, d, "choose_best_page_text").groupBy("file_id").agg(F.count("*").alias("pages"), F.sum(chars).cast("bigint").alias("chars"))
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, {_simple('unnest(ls)')} AS norm FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '{T.LINE_END}'), lambda x: regexp_replace(x, '^{T.WS}+|{T.WS}+$', '', 'g')), lambda x: x <> '') AS ls FROM documents WHERE text IS NOT NULL)) SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, norm FROM l WHERE norm <> ''")
+def simple_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all documents in the form that built-in functions give, beside normalize_lines."""
+    return merge.line_rows(_wide(_t(spark, d, "documents").select("doc_id", "text")), ["doc_id"], "text", T.simple_normal).select("doc_id", "line_no", "norm")
+
+
+@query(f"""WITH {_BOTH}, native_split AS (SELECT layer_id, list_filter(list_transform(regexp_split_to_array(native_text, '{T.LINE_END}'), lambda x: regexp_replace(x, '^{T.WS}+|{T.WS}+$', '', 'g')), lambda x: x <> '') AS ls FROM both_),
+native_lines AS (SELECT layer_id, unnest(range(len(ls))) AS line_no, {_simple("unnest(ls)")} AS norm FROM native_split)
+SELECT o.layer_id, CAST(o.line_no AS INTEGER) AS ocr_line_no, CAST(n.line_no AS INTEGER) AS native_line_no FROM ocr_lines o JOIN native_lines n ON o.layer_id = n.layer_id AND o.norm = n.norm WHERE length(o.norm) >= 12""")
+def equal_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of line_similarity_join that are equal, in the form that SQL has."""
+    return merge.equal_lines(_both(spark, d), ["layer_id"], "native_text", "ocr_text", T.simple_normal)
 
-    due = _t(spark, d, "page_audit").where(F.coalesce("extraction_issue", F.lit("")) != "").select("input_file", "page").distinct()
-    # the rank's limit is applied before the exchange, and counts are added up before it
-    first = due.withColumn("k", F.row_number().over(W.partitionBy("input_file").orderBy("page"))).where("k <= 8")
-    shown = first.groupBy("input_file").agg(F.sort_array(F.collect_list("page")).alias("p"))
-    out = shown.join(due.groupBy("input_file").agg(F.count("*").alias("n")), "input_file")
-    return out.select("input_file", F.concat(F.array_join(F.col("p").cast("array<string>"), ", "), F.when(F.col("n") > 8, "...").otherwise("")).alias("preview"))
+
+@query(f"SELECT layer_id, md5(CASE WHEN n = '' THEN o ELSE n END) AS beginning FROM (SELECT layer_id, regexp_replace(native_text, '^{T.WS}+|{T.WS}+$', '', 'g') AS n, regexp_replace(ocr_text, '^{T.WS}+|{T.WS}+$', '', 'g') AS o FROM choose_best_page_text WHERE native_text IS NOT NULL AND ocr_text IS NOT NULL)")
+def merged_beginnings(spark: SparkSession, d: str) -> DataFrame:
+    """What a merged text begins with: the native text, or the OCR text where there is none."""
+    n = T.strip(F.col("native_text"))
+    merged = _both(spark, d).select("layer_id", n.alias("n"), merge.merge_udf("native_text", "ocr_text").alias("m"))
+    return merged.select("layer_id", F.md5(F.when(F.col("n") == "", F.col("m")).otherwise(F.substr("m", F.lit(1), F.length("n")))).alias("beginning"))
+
+
+@query()
+def exact_containment(spark: SparkSession, d: str) -> DataFrame:
+    """line_containment in the whole form (compatibility forms, case, marks), which SQL lacks."""
+    return merge.contained(_both(spark, d), ["layer_id"], "native_text", "ocr_text")
+
+
+@query()
+def exact_token_run(spark: SparkSession, d: str) -> DataFrame:
+    """longest_token_run in the whole form."""
+    return merge.token_runs(_both(spark, d), ["layer_id"], "native_text", "ocr_text")
+
+
+@query()
+def exact_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """token_multiset_overlap in the whole form."""
+    return merge.bag_overlap(_both(spark, d), ["layer_id"], "native_text", "ocr_text")

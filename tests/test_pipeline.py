@@ -126,3 +126,122 @@ def test_command_line(spark, folder, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("cli"))
     assert main([str(folder), out, "--output-format", "md", "--engine", "foliant.engines:StubEngine", "--renderer", "foliant.engines:StubRenderer"]) == 2
     assert spark.read.parquet(f"{out}/results").count() == 6
+
+
+def test_outputs_are_where_the_results_say(spark, folder, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("out"))
+    (folder / "sub/outro.md").write_text("# Outro\n\nUm texto com mais de trinta letras para ler.", encoding="utf-8")
+    for round_ in (1, 2):  # a second run takes free names
+        rows = {r.input_path.rsplit("/", 1)[1]: r for r in convert(spark, str(folder), out, StubEngine, StubRenderer, output_format="md", page_audit=True, now="agora").collect()}
+        end = "" if round_ == 1 else "_2"
+        assert rows["outro.md"].output_path == f"sub/outro{end}.md" and rows["outro.md"].page_audit_path == f"sub/outro_paginas{end}.jsonl"
+        for r in rows.values():
+            assert (r.status == "ok") == bool(r.output_path) and r.processed_at == "agora"
+            if r.output_path:
+                with open(f"{out}/documents/{r.output_path}", encoding="utf-8") as f:
+                    assert f.read().startswith(f"# {r.input_path.rsplit('/', 1)[1]}\n\n## Resumo")
+                with open(f"{out}/audit/{r.page_audit_path}", encoding="utf-8") as f:
+                    assert [json.loads(x)["page"] for x in f] == list(range(1, r.pages + 1))
+    a = rows["a.PDF"]
+    assert (a.processing_profile, a.image_pages, a.ocr_image_pages, a.pages) == ("pequeno", [1, 2], [1, 2], 2)
+    assert a.warnings == ["Não foi possível medir a área das imagens nas páginas 2."]  # its image is not drawn
+    assert rows["quebrado.pdf"].failure.startswith("PDF sem páginas")
+
+
+def test_packed_layout_and_state_dropped(spark, folder, tmp_path_factory):
+    (folder / "quebrado.pdf").unlink()
+    (folder / "sub/ruim.md").unlink()
+    out, state = str(tmp_path_factory.mktemp("out")), tmp_path_factory.mktemp("state") / "ocr"
+    convert(spark, str(folder), out, StubEngine, StubRenderer, state=str(state), layout="packed", drop_state=True)
+    packed = spark.read.parquet(f"{out}/documents")
+    assert packed.select("file_id").distinct().count() == 4 and not state.exists()
+
+
+def test_missing_engine_fails_files_with_pages_due(spark, folder, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("out"))
+    got = {r.input_path.rsplit("/", 1)[1]: r.failure for r in convert(spark, str(folder), out).collect()}
+    assert got["a.PDF"].startswith("Dependências de OCR ausentes") and got["foto.png"].startswith("Dependências de OCR ausentes") and got["b.Md"] is None
+    got = {r.input_path.rsplit("/", 1)[1]: r.failure for r in convert(spark, str(folder), out, use_ocr=False).collect()}
+    assert got["foto.png"] == "OCR desativado; imagens exigem OCR." and got["a.PDF"] is None
+
+
+def test_unreliable_inspection_forces_ocr(spark):
+    from foliant.plans import pipeline as L
+
+    pages = spark.createDataFrame([("x", 0, True), ("x", 1, False), ("y", 0, True)], "path string, page_index int, reliable boolean").selectExpr("*", "'nativo' AS source", "'um texto com mais de trinta letras, sem imagem' AS text", "0 AS image_count", "cast(null as array<double>) AS image_coverages", "cast(null as string) AS extraction_issue")
+    scored = L.with_force(L.score_pages(pages, Options()), L.inspections(pages), False)
+    due = {(r.path, r.page_index): r.ocr_reason for r in L.select_ocr_pages(scored).collect()}
+    assert due == {("x", 0): "OCR integral solicitado", ("x", 1): "OCR integral solicitado"}
+    none = spark.createDataFrame([], L.OCR_SCHEMA)
+    final = L.final_pages(scored, L.select_ocr_pages(scored), none, Options())
+    warned = {r.path: r.warnings for r in L.file_warnings(pages, L.inspections(pages), final, True).collect()}
+    assert warned == {"x": [L.UNRELIABLE]}
+
+
+def test_details_are_those_of_what_is_kept(spark):
+    from foliant.plans import pipeline as L
+
+    rows = [("a", 0, "curto, mas com quarenta letras ao menos aqui", None), ("b", 0, "x" * 20, "lacuna"), ("c", 0, "um texto nativo bom e longo o bastante para ficar", None)]
+    pages = spark.createDataFrame(rows, "path string, page_index int, text string, extraction_issue string").selectExpr("*", "true AS reliable", "'nativo' AS source", "0 AS image_count", "cast(null as array<double>) AS image_coverages")
+    options = Options(ocr_threshold=100)
+    scored = L.score_pages(pages, options)
+    ocr = spark.createDataFrame([("c", 0, "", None)], L.OCR_SCHEMA)
+    got = {r.file_id: (r.source, r.quality_flags, r.needs_ocr) for r in L.final_pages(scored, L.select_ocr_pages(scored), ocr, options).collect()}
+    assert got == {"a": ("nativo", ["texto-curto"], False), "b": ("nativo", ["texto-curto", "camada-nativa-incompleta"], True), "c": ("nativo", [], False)}
+
+
+def test_no_bytes_cross_an_exchange(spark, folder):
+    from foliant.plans import pipeline as L
+
+    files = read_files(spark, str(folder))
+    pages = read_pages(files).where("error is null")
+    scored = L.score_pages(pages, Options())
+    ocr = L.run_ocr(L.select_ocr_pages(scored), pages.groupBy("path").agg(F.count("*").alias("pages")), StubRenderer, StubEngine, Options())
+    plan = ocr._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" in plan or "Relation" in plan
+    for line in plan.splitlines():
+        if "Repartition" in line or "Join" in line or "Aggregate" in line:
+            assert "content" not in line
+    assert ocr.where("ocr_error is null").count() == 3
+
+
+def test_lists_keep_their_order_and_skip_what_is_missing(spark, folder):
+    given = [str(folder / x) for x in ("b.docx", "nada.csv", "a.PDF", "fehlt.md", "sub", "b.docx")]
+    assert [r.path.rsplit("/", 1)[1] for r in read_files(spark, given).orderBy("ordinal_key").collect()] == ["b.docx", "a.PDF"]
+    assert read_files(spark, [str(folder / "fehlt.md")]).count() == 0
+
+
+def test_loose_options():
+    assert Options.of(output_format="pdf").output_format == "txt" and Options.of(output_format=" MD ").output_format == "md"
+    assert Options.of(use_ocr=False, force_ocr=True).force_ocr is False
+    for bad in ({"workers": 33}, {"ocr_backend": "x"}, {"layout": "x"}):
+        with pytest.raises(ValueError):
+            Options(**bad)
+
+
+def test_engines_by_backend():
+    from foliant.engines import dispatch, preflight
+
+    class Bad:
+        def read(self, image, lang):
+            raise RuntimeError("no")
+
+    assert dispatch("auto", Bad, StubEngine)().read(b"x", "por") == "x" and dispatch("tesseract", Bad, StubEngine) is StubEngine
+    assert dispatch("vision", None, None) is None and len(preflight(None, None, "por")) == 2 and preflight(StubEngine, StubRenderer, "por") == []
+
+
+def test_stopped_runs_keep_their_state(spark, folder, tmp_path_factory):
+    import threading
+
+    out, state = str(tmp_path_factory.mktemp("out")), str(tmp_path_factory.mktemp("state") / "ocr")
+    first = convert(spark, str(folder), out, StubEngine, StubRenderer, state=state).count()
+    held = spark.read.parquet(state).count()
+    timer = threading.Timer(0.3, spark.interruptTag, ["parar"])
+    timer.start()
+    try:
+        convert(spark, str(folder), out, StubEngine, StubRenderer, state=state, tag="parar")
+    except Exception:  # noqa: BLE001  stopped
+        pass
+    timer.join()
+    assert spark.read.parquet(state).count() == held
+    assert convert(spark, str(folder), out, StubEngine, StubRenderer, state=state).count() == first

@@ -63,3 +63,14 @@ def test_summary(spark):
     got = [r.s for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(summary(F.col("t")).alias("s")).collect()]
     want = [" ".join((t or "").strip().splitlines())[:240].strip() or "<sem texto>" for t in texts]
     assert [re.sub(r"\s", "_", x) for x in got] == [re.sub(r"\s", "_", x) for x in want]
+
+
+def test_sql_functions_equal_the_columns(spark):
+    from foliant.functions.register import register
+    from foliant.operators.quality import analysis, structure_hints, with_quality
+
+    register(spark)
+    texts = [None, "", "curto", "a" * 60, "um dois\ttrês\nquatro\t5\ncinco 10:20\n11:30 anexo", "1. a\n2. b\n3. c", "12 34 " * 20, " abc def ghi jkl mno pqr", "x" * 200 + " y", "  texto com espaços  "]
+    df = with_quality(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "", 40).withColumn("a", analysis()).withColumn("h", structure_hints(F.col("t")))
+    for r in df.selectExpr("a", "page_quality(t, 40) AS b", "h", "structure_hints(t) AS g").collect():
+        assert r.a == r.b and r.h == r.g
