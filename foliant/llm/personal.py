@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, cut, layer_rows
 from .lookalike import LOOK_ALIKE
 
-ROUNDS = 4
+ROUNDS = 3
 #: Scores from which a pattern or instance counts as one of its type.
 CONFIDENT = 0.5
 #: What is seen less often gives no evidence: a fixed number, whatever the size of the tables.
@@ -133,9 +133,9 @@ _PARTS = re.compile(rf"{_PART}", re.I)
 _PLACE_AT, _CEP_AT = re.compile(_PLACE), re.compile(_CEP, re.I)
 _STREET_WORD = re.compile(r"[\w'’.|@†/-]+")
 _STREET_WORDS = 7  # a street's words, the street word among them
-_FIRST = re.compile(r"(?<![\w./-])(?=[OolISB|]{0,4}\d)[0-9OolISB|]{1,5}((?:\s[A-Z][\w'’|@†]+){2,4})\b")
-#: A digit, at most four more signs of the number, a blank and a capital: what every match of _FIRST has.
-_FIRST_SIGN = re.compile(r"\d[0-9OolISB|]{0,4}\s[A-Z]")
+#: A house number before capitalised words: a digit, more signs of the number, and the words; the number may begin before the digit.
+_FIRST = re.compile(r"\d[0-9OolISB|]{0,4}((?:\s[A-Z][\w'’|@†]+){2,4})\b")
+_HOUSE_SIGNS = frozenset("0123456789OolISB|")
 
 _SAME_WIDTH = {ord(x): y for a, b in LOOK_ALIKE.items() for x, y in zip(a, b)} | {c: chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | {c: " " for c in (0xA0, 0x2007, 0x202F, 0x2009, 0x200A, 0x3000)}
 _WIDE = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_SAME_WIDTH)) + "]")
@@ -229,11 +229,21 @@ def behind(t: str, e: int) -> str:
 
 
 _STOPS_OF_NUMBERS = " .-(\n"
+#: Runs of all signs that _NUM can match: a match lies within one, and one of a number has six signs and four digits.
+_RUN = re.compile(rf"[{_D}A-Zx+() .\n/-]{{6,}}")
+_DIGIT = re.compile(r"\d")
+
+
+def _numbers_in(t: str):
+    """The matches of _NUM that can be of numbers; what stands behind a run is seen by the pattern, so it ends as in the whole text."""
+    for r in _RUN.finditer(t):
+        if len(_DIGIT.findall(r[0])) >= 4:
+            yield from _NUM.finditer(t, r.start(), r.end() + 4)
 
 
 def numbers(t: str):
     """Candidate numbers: (start, end, shape, word before, the words before that)."""
-    for m in _NUM.finditer(t):
+    for m in _numbers_in(t):
         a, b = m.span()
         if b - a < 6:
             continue
@@ -356,12 +366,18 @@ _SEED_STREETS = frozenset(f"h {street_key(w)}" for w in STREETS[0].split())
 
 
 def firsts(t: str):
-    """(start, words, ends) of house numbers before capitalised words."""
-    if _FIRST_SIGN.search(t) is None:
-        return
+    """(start, words, ends) of house numbers, of one to five signs, before capitalised words."""
     for m in _FIRST.finditer(t):
-        ws = list(re.finditer(r"\S+", m[1]))
-        yield m.start(), [w[0] for w in ws], [m.start(1) + w.end() for w in ws]
+        a = m.start()
+        while a and t[a - 1] in _HOUSE_SIGNS:
+            a -= 1
+        if m.start(1) - a > 5 or (a and (t[a - 1].isalnum() or t[a - 1] in "_./-")):
+            continue
+        ws = list(_PIECE.finditer(m[1]))
+        yield a, [w[0] for w in ws], [m.start(1) + w.end() for w in ws]
+
+
+_PIECE = re.compile(r"\S+")
 
 
 def around(t: str, a: int, e: int) -> list[str]:
@@ -628,7 +644,7 @@ def _names_learned(graph: DataFrame, places: DataFrame) -> DataFrame:
     people = cut(g.join(often, ["kind", "pattern"], "left_semi"))
     # seed entities: sequences that a mail address repeats, against firms and streets
     start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    patterns, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).withColumn("doubt", F.lit(False)), start.select("pattern", F.col("score").alias("s0")), ["NAME"], 3)
+    patterns, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).withColumn("doubt", F.lit(False)), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
     # words: first names by their instances' scores, last names by the first names they follow
     weight = people.where("kind = 'l' and seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
     scored = weight.join(persons, "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("s0", F.lit(0.0)).alias("score"), "n")

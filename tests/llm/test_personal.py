@@ -117,3 +117,11 @@ def test_numbers_need_a_fitting_form(known):
 
 def test_breaks_with_blanks(known):
     assert found(known, "Hele= \nna Ardovaz e Hele-  \n na Ardovaz") == [("NAME", "Hele= \nna Ardovaz"), ("NAME", "Hele-  \n na Ardovaz")]
+
+
+def test_number_scan_equals_the_pattern(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("0123456789012345OolISBZ|x+( .()-/\nAXQ,:a") for _ in range(rng.randrange(1, 80))) for _ in range(4000)]
+    fast = [list(P.numbers(t)) for t in texts]
+    monkeypatch.setattr(P, "_numbers_in", P._NUM.finditer)
+    assert fast == [list(P.numbers(t)) for t in texts] and sum(map(len, fast)) > 500
