@@ -60,7 +60,7 @@ SEEDS = {
     "ID_NUMBER": "cpf rg identidade dni passaporte passport pasaporte passeport nif tax ssn ausweis паспорт инн",
     "-": "processo protocolo nota fiscal lote file expediente dossier akte дело том r$",
 }
-TYPES = (*SEEDS, "EMAIL", "ADDRESS")
+TYPES = (*SEEDS, "EMAIL", "ADDRESS", "NAME")
 #: Seed street words, before a name and number and behind a number and name.
 STREETS = ("rua avenida av. calle rue", "street road avenue")
 #: Seed signs between the parts of a mail address; brackets of all kinds are one.
@@ -185,7 +185,6 @@ _LEAD = re.compile(r"[A-Z]{2}(?=[0-9OolISBZ|]{6}$)")
 _SHAPE = {c: "0" for c in "0123456789OolISBZ|"}
 
 
-@lru_cache(maxsize=100_000)
 def shape(s: str) -> str:
     lead = 2 * (_LEAD.match(s) is not None)
     return "A" * lead + "".join(_SHAPE.get(c) or (" " if c.isspace() else c if not c.isalpha() or c == "x" else "A") for c in s.strip()[lead:])
@@ -529,8 +528,7 @@ def spread(graph: DataFrame, seeds: DataFrame, types: list[str], rounds: int = R
     at its end.
     """
     cols = [f"s{k}" for k in range(len(types))]
-    first = F.broadcast(seeds) if len(types) > 1 else seeds  # seed words are a fixed list; other seeds are as many as there are
-    edges_ = cut(graph.join(first.select("pattern", *[F.col(c).alias(f"_{c}") for c in cols]), "pattern", "left"))
+    edges_ = cut(graph.join(seeds.select("pattern", *[F.col(c).alias(f"_{c}") for c in cols]), "pattern", "left"))
 
     def mean(c: str):
         score = F.coalesce(F.col(c), F.when(F.col("doubt"), 0.0))
@@ -555,22 +553,30 @@ def _best(types: list[str], least: float = CONFIDENT):
     return out
 
 
-def _scored(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Patterns and instances of numbers, mail addresses and streets with their scores by TYPES.
+def _edges_of(graph: DataFrame) -> DataFrame:
+    """All graphs as one of pattern, instance, n, doubt and seed, told apart by how patterns and instances begin.
 
     Mail addresses and streets have no seeds against them, so their edges are doubted.
     """
-    spark = graph.sparkSession
-    g = graph.where("kind in ('n', '@', 'a')").select(
-        F.when(F.col("kind") == "a", F.col("instance")).otherwise(F.concat(F.when(F.col("kind") == "@", "s ").otherwise(""), "pattern")).alias("pattern"),
-        F.when(F.col("kind") == "a", F.concat(F.lit("a "), "pattern")).otherwise(F.concat("kind", F.lit(" "), "instance")).alias("instance"),
-        (F.col("n") * F.when(F.startswith("pattern", F.lit("1 ")) & (F.col("kind") == "n"), LABEL_WEIGHT).otherwise(1)).alias("n"), (F.col("kind") != "n").alias("doubt"),
+    kind, c = F.col("kind"), F.col
+    near = (kind == "n") & F.startswith("pattern", F.lit("1 "))
+    g = graph.where("kind in ('n', '@', 'a', 'l', 'r')").select(
+        F.when(kind == "a", c("instance")).when(kind == "@", F.concat(F.lit("s "), "pattern")).when(kind == "n", c("pattern")).otherwise(F.concat(kind, F.lit(" "), "pattern")).alias("pattern"),
+        F.when(kind == "a", F.concat(F.lit("a "), "pattern")).when(kind.isin("l", "r"), F.concat(F.lit("w "), "instance")).otherwise(F.concat(kind, F.lit(" "), "instance")).alias("instance"),
+        (c("n") * F.when(near, LABEL_WEIGHT).otherwise(1)).alias("n"), kind.isin("@", "a").alias("doubt"), F.when(kind.isin("l", "r"), c("seed")).otherwise(-1).alias("seed"),
     )
     often = g.groupBy("pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("pattern")
+    return cut(g.join(often, "pattern", "left_semi"))
+
+
+def _seeds(edges_: DataFrame) -> DataFrame:
+    """Patterns that have a score from the start: seed words, signs and streets, and what stands around names that a mail address
+    repeats, against firms and streets."""
     rows = [(f"1 {one}", kind) for one, kind in _SEED_LABELS.items()] + [(f"s {x}", "EMAIL") for x in SIGNS] + [(f"{k} {street_key(w)}", "ADDRESS") for k, ws in zip("ht", STREETS) for w in ws.split()]
-    of = {"n": TYPES[:3], "s": TYPES[3:], "h": TYPES[3:], "t": TYPES[3:]}
-    seeds = spark.createDataFrame([(p, *(float(t == kind) if t in of[p[0] if p[0] in of else "n"] else None for t in TYPES)) for p, kind in rows], "pattern string, " + ", ".join(f"s{k} double" for k in range(len(TYPES))))
-    return spread(g.join(often, "pattern", "left_semi"), seeds, list(TYPES), ROUNDS)
+    schema = "pattern string, " + ", ".join(f"s{k} double" for k in range(len(TYPES)))
+    fixed = edges_.sparkSession.createDataFrame([(p, *(float(t == kind) if (t in SEEDS) == (kind in SEEDS) and t != "NAME" else None for t in TYPES)) for p, kind in rows], schema)
+    names = edges_.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias(f"s{len(TYPES) - 1}"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
+    return fixed.unionByName(names.drop("n"), allowMissingColumns=True)
 
 
 def _numbers_learned(graph: DataFrame, instances: DataFrame) -> DataFrame:
@@ -600,6 +606,9 @@ def _numbers_learned(graph: DataFrame, instances: DataFrame) -> DataFrame:
 _SEED_LABELS = {label(w): kind for kind, ws in SEEDS.items() for w in ws.split()}
 
 
+_NAME_SCORE = f"s{len(TYPES) - 1}"
+
+
 def _places_learned(graph: DataFrame, patterns: DataFrame, instances: DataFrame) -> DataFrame:
     """key, value, n of signs and domains of mail addresses, street words, places and their first words."""
     n = graph.where("kind in ('@', 'a')").groupBy(F.when(F.col("kind") == "a", F.col("instance")).otherwise(F.concat(F.lit("s "), "pattern")).alias("pattern")).agg(F.sum("n").alias("n"))
@@ -632,40 +641,36 @@ def _places_learned(graph: DataFrame, patterns: DataFrame, instances: DataFrame)
     )
 
 
-def _names_learned(graph: DataFrame, places: DataFrame) -> DataFrame:
-    """key, value, n of words of names and of sure patterns around them; what is a place is no person."""
-    g = graph.where("kind in ('l', 'r')").withColumn("pattern", F.when(F.col("kind") == "r", F.concat(F.lit("> "), F.col("pattern"))).otherwise(F.col("pattern")))
+def _names_learned(people: DataFrame, patterns: DataFrame, instances: DataFrame, places: DataFrame) -> DataFrame:
+    """key, value, n of words of names and of sure patterns around them; what is a place, or stands behind the first word of one, is no person."""
     words = F.filter(F.split(F.substr("key", F.lit(3)), " "), lambda w: ~w.isin(sorted(PARTICLES)))
-    place = places.where(F.startswith("key", F.lit("p "))).select(F.concat_ws(" ", F.element_at(words, 1), F.element_at(words, -1)).alias("instance"), F.lit(True).alias("place")).distinct()
-    opening = places.where(F.startswith("key", F.lit("q "))).select(F.substr("key", F.lit(3)).alias("_w"), F.lit(True).alias("opening"))
-    g = g.withColumn("_w", F.when(F.col("kind") == "l", F.element_at(F.split("pattern", " "), -1))).join(place, "instance", "left").join(opening, "_w", "left")
-    g = g.withColumn("seed", F.when(F.col("place") | F.col("opening"), 0).otherwise(F.col("seed"))).drop("place", "opening", "_w")
-    often = g.groupBy("kind", "pattern").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST).select("kind", "pattern")
-    people = cut(g.join(often, ["kind", "pattern"], "left_semi"))
-    # seed entities: sequences that a mail address repeats, against firms and streets
-    start = people.where("seed >= 0").groupBy("pattern").agg((F.sum(F.col("n") * F.col("seed")) / F.sum("n")).alias("score"), F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    patterns, persons = spread(people.groupBy("pattern", "instance").agg(F.sum("n").alias("n")).withColumn("doubt", F.lit(False)), start.select("pattern", F.col("score").alias("s0")), ["NAME"])
+    place = places.where(F.startswith("key", F.lit("p "))).select(F.concat_ws(" ", F.lit("w"), F.element_at(words, 1), F.element_at(words, -1)).alias("instance")).distinct()
+    opening = places.where(F.startswith("key", F.lit("q "))).select(F.substr("key", F.lit(3)).alias("_w"))
+    lefts = people.where(F.startswith("pattern", F.lit("l ")) & (F.col("seed") != 0)).withColumn("_w", F.element_at(F.split("pattern", " "), -1))
+    lefts = lefts.join(place, "instance", "left_anti").join(opening, "_w", "left_anti")
     # words: first names by their instances' scores, last names by the first names they follow
-    weight = people.where("kind = 'l' and seed <> 0").groupBy("instance").agg(F.sum("n").alias("n"))
-    scored = weight.join(persons, "instance", "left").select(F.element_at(F.split("instance", " "), 1).alias("first"), F.element_at(F.split("instance", " "), 2).alias("last"), F.coalesce("s0", F.lit(0.0)).alias("score"), "n")
+    weight = lefts.groupBy("instance").agg(F.sum("n").alias("n"))
+    scored = weight.join(instances.select("instance", _NAME_SCORE), "instance", "left").select(F.element_at(F.split("instance", " "), 2).alias("first"), F.element_at(F.split("instance", " "), 3).alias("last"), F.coalesce(_NAME_SCORE, F.lit(0.0)).alias("score"), "n")
+    scored = cut(scored)
     firsts_ = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
     firsts_ = cut(firsts_.where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST)).select("first", "n"))
     follow = scored.where(F.length("last") >= 3).join(firsts_.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
     lasts = follow.join(firsts_.select(F.col("first").alias("last")), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST))
     seen = people.groupBy("pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("names")).where(F.col("names") >= SURE_NAMES)
-    sure = patterns.where(F.col("s0") >= SURE).join(seen, "pattern").where("pattern not in ('^', '> $')")
-    side = F.when(F.startswith("pattern", F.lit("> ")), F.concat(F.lit("r "), F.substr("pattern", F.lit(3)))).otherwise(F.concat(F.lit("l "), "pattern"))
+    sure = patterns.where(F.col(_NAME_SCORE) >= SURE).join(seen, "pattern").where("pattern not in ('l ^', 'r $')")
     word = lambda df, c, value: df.select(F.concat(F.lit("w "), c).alias("key"), F.lit(value).alias("value"), "n")
-    return word(firsts_, "first", "F").unionByName(word(lasts, "last", "L")).unionByName(sure.select(side.alias("key"), F.lit("P").alias("value"), "n"))
+    return word(firsts_, "first", "F").unionByName(word(lasts, "last", "L")).unionByName(sure.select(F.col("pattern").alias("key"), F.lit("P").alias("value"), "n"))
 
 
 def learn(pages: DataFrame, held: int | None = None) -> Learned:
     """Run the bootstrap over all layers; at most held rows and the hashes of the others reach the driver."""
     held = held or HELD
     graph = cut(edges(pages))
-    patterns, instances = _scored(graph)
+    all_edges = _edges_of(graph)
+    patterns, instances = spread(all_edges.drop("seed"), _seeds(all_edges), list(TYPES))
+    people = all_edges.where(F.col("pattern").rlike("^[lr] "))
     places = cut(_places_learned(graph, patterns, instances))
-    table = cut(_numbers_learned(graph, instances).unionByName(places).unionByName(_names_learned(graph, places)))
+    table = cut(_numbers_learned(graph, instances).unionByName(places).unionByName(_names_learned(people, patterns, instances, places)))
     first = table.orderBy(F.desc("n"), "key").limit(held).select("key", "value", "n").collect()
     out = Learned(places=any(r["key"].startswith("p ") for r in first))
     for r in first:
@@ -680,6 +685,11 @@ def learn(pages: DataFrame, held: int | None = None) -> Learned:
     return out
 
 
+@lru_cache(maxsize=10_000)
+def _shares(value: str) -> dict[str, float]:
+    return {k: float(v) for k, v in (x.split("=") for x in value.split())}
+
+
 class Finder:
     """Stretches of one layer, by what was learned."""
 
@@ -744,7 +754,7 @@ class Finder:
                 return True
             last = last or bool(kinds)
             if not kinds and not self.extra:
-                if len(self.nothing) > 200_000:
+                if len(self.nothing) > 500_000:
                     self.nothing.clear()
                 self.nothing.add(piece)
         return last and any("L" in self.kind(w[0]) for m in _INITIAL.finditer(t) if (w := _TOKEN.match(t, m.end())))
@@ -793,7 +803,7 @@ class Finder:
 
     def number_type(self, sh: str, one: str) -> str | None:
         """By label and shape where they were seen together, else by both apart; a label alone does not suffice, unless it is a seed."""
-        shares = {k: float(v) for k, v in (x.split("=") for x in (self.look(f"f {form(sh)}") or "").split())}
+        shares = _shares(self.look(f"f {form(sh)}") or "")
         best = max(shares, key=shares.__getitem__, default=None)
         seed = _SEED_LABELS.get(one)
         kind = self.look(f"n {one}\t{sh}")
