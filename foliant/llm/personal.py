@@ -24,7 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -214,6 +214,20 @@ def before(t: str, a: int) -> list[str]:
     return [label(w) for w in words[-3:]]
 
 
+def label_before(t: str, a: int) -> str:
+    """The last of before(t, a), without the others; "^" if there is none."""
+    last = None
+    for w in reversed(t[max(0, a - _CONTEXT) : a].lower().split()[-6:]):
+        w = w.strip(".:,;()[]-–\"'“”º°") or w
+        if set(w) <= _DOTS:
+            continue
+        w = _masked(w)
+        if w not in _NO_LABELS:
+            return label(w)
+        last = last or w
+    return label(last) if last else "^"
+
+
 _DOTS = frozenset(".:-(º°")
 _NO_LABELS = frozenset(["nº", "n", "no", "núm", "número", "number", "sob"])
 _DIGIT_OR_AT = re.compile(r"[\d@]")
@@ -241,7 +255,7 @@ def _numbers_in(t: str):
 
 
 def numbers(t: str):
-    """Candidate numbers: (start, end, shape, word before, the words before that)."""
+    """Candidate numbers: (start, end, shape)."""
     for m in _numbers_in(t):
         a, b = m.span()
         if b - a < 6:
@@ -253,8 +267,7 @@ def numbers(t: str):
             b, s = b - 1, s[:-1]
         if sum(c in _SHAPE for c in s) < 6 or sum(map(str.isdigit, s)) < 4:
             continue
-        words = before(t, a)
-        yield a, b, shape(s), words[-1] if words else "^", words[:-1]
+        yield a, b, shape(s)
 
 
 def name_contexts(t: str):
@@ -456,7 +469,8 @@ def places_in(t: str, a: int, e: int):
 def observe(text: str, counts: Counter) -> None:
     """Add a layer's candidates to the counts of graph edges (kind, pattern, instance, seed)."""
     t, _ = plain(text)
-    for _a, e, sh, one, others in numbers(t):
+    for a, e, sh in numbers(t):
+        *others, one = before(t, a) or ["^"]
         for p in (f"1 {one}", *(f"< {w}" for w in others if len(w) > 2), f"> {behind(t, e)}"):
             counts[("n", p, f"{one}\t{sh}\t{form(sh)}", -1)] += 1
         counts[("n", f"1 {one}", f"\t\t{form(sh)}", -1)] += 1  # labels of one form are near each other
@@ -710,7 +724,8 @@ class Finder:
         keys = {f"w {fold(w)}" for w in set(_TOKEN.findall(t))}
         for _first, _last, left, right, _a, _e in name_contexts(t):
             keys.update((f"l {_left(left)}", f"r {_right(right)}"))
-        for _a, _e, sh, one, _ in numbers(t):
+        for a, _e, sh in numbers(t):
+            one = label_before(t, a)
             keys.update((f"n {one}\t{sh}", f"b {one}", f"f {form(sh)}"))
         for _a, e, _local_, domain, sign in mails(t):
             keys.update((f"s {sign}", f"d {domain}", *(f"d {d}" for d, _ in self._longer(t, e, domain))))
@@ -828,6 +843,7 @@ class Finder:
         kind = self.kind if self.extra else lambda w, get=self.kinds.get: k if (k := get(w)) is not None else self.kind(w)
         kinds = [kind(m[0]) for m in words]
         n, i = len(words), 0
+        hits = [k for k, x in enumerate(kinds) if x]
         gap = lambda x, y: t[words[x].end() : words[y].start()]
         while i < n:
             k = kinds[i]
@@ -837,7 +853,8 @@ class Finder:
                     yield words[i].start(), words[i + 1].end()
                     i += 2
                     continue
-                i += 1
+                near = bisect_left(hits, i)  # to the word before the next known one
+                i = max(i + 1, hits[near] - 1) if near < len(hits) else n
                 continue
             if "L" in k and i + 1 < n and "F" in kinds[i + 1] and re.fullmatch(r",\s", gap(i, i + 1)) and not self._firm(words, i):
                 j = i + 1
@@ -894,8 +911,8 @@ class Finder:
             take("EMAIL", a, e)
         for a, e in self.addresses(t):
             take("ADDRESS", a, e)
-        for a, e, sh, one, _ in numbers(t):
-            if kind := self.number_type(sh, one):
+        for a, e, sh in numbers(t):
+            if kind := self.number_type(sh, label_before(t, a)):
                 take(kind, a, e)
         if self.has_names(t):
             for a, e in self.names(t):

@@ -47,6 +47,8 @@ HEADER_SHARE, HEADER_PAGES = 0.03, 2
 HEADER_FILES_SHARE, HEADER_FILES = 0.002, 3
 #: A pattern of lines is a header's if on this many further pages of its files, and this share of them, its line is the same.
 TEMPLATE_PAGES, TEMPLATE_SAME = 5, 0.5
+#: Headers of a file that every line of it is compared with.
+MANY = 200
 #: Lines this much of their length apart are one header, altered.
 HEADER_EDITS = 0.15
 
@@ -93,6 +95,8 @@ def normal(token: str) -> str | None:
     return w.lower()
 
 
+_LINE_BREAK = re.compile(rf"[{_HYPHENS}][ \t]*\n[ \t]*")
+_BLANK = re.compile(r"\s")
 #: Marks a word whose two parts stood on two lines.
 _REJOINED = "\x01"
 
@@ -100,8 +104,11 @@ _REJOINED = "\x01"
 def tokens(text: str) -> list[str]:
     """Words as they stand, and those that a line's end breaks, marked."""
     out = [t for t in text.split() if t[-1] not in _HYPHENS]
-    if "\n" in text:
-        out += [_REJOINED + m[1] + m[3] for m in _BREAK.finditer(text) if "\n" in m[2]]
+    for m in _LINE_BREAK.finditer(text):
+        begin = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
+        end = _BLANK.search(text, m.end())
+        if (b := _BREAK.search(text, begin, end.start() if end else len(text))) and b.start(2) == m.start() + 1:
+            out.append(_REJOINED + b[1] + b[3])
     return out
 
 
@@ -292,19 +299,21 @@ def _grams(key: Column) -> Column:
     return F.slice(parts, 1, F.least(F.size(parts), (F.ceil(3 * HEADER_EDITS / (1 - HEADER_EDITS) * F.length(key)) + 1).cast("int")))
 
 
-def altered(lines: DataFrame, known: DataFrame) -> DataFrame:
+def altered(lines: DataFrame, known: DataFrame, many: int = MANY) -> DataFrame:
     """(file_id, key) of the lines that are a header of their file, the same or altered.
 
-    Headers on a share of a file's pages are few, so every other line of the file is compared with each of them.  Of others
-    a file may have any number: they meet the lines that share a part of their signature.
+    Headers on a share of a file's pages are few, so every other line of the file is compared with each of them, and so with
+    others where a file has no more than MANY of these.  Where it has more, they meet the lines that share a part of their
+    signature, with the same result.
     """
     near = (F.abs(F.length("key") - F.length("of")) <= HEADER_EDITS * F.length("of")) & (F.levenshtein("key", "of") <= HEADER_EDITS * F.length("of"))
     same = lines.join(known.select("file_id", "key"), ["file_id", "key"], "left_semi")
     open_ = cut(lines.join(known.select("file_id", "key"), ["file_id", "key"], "left_anti"))
-    of = known.withColumnRenamed("key", "of")
-    by_few = open_.join(of.where("few").drop("few"), "file_id").where(near).select("file_id", "key")
-    many = of.where("not coalesce(few, false)").select("file_id", "of", F.explode(_grams(F.col("of"))).alias("g"))
-    by_many = open_.select("file_id", "key", F.explode(_grams(F.col("key"))).alias("g")).join(many, ["file_id", "g"]).where(near).select("file_id", "key")
+    large = cut(known.where("not coalesce(few, false)").groupBy("file_id").agg(F.count("*").alias("n")).where(F.col("n") > many).select("file_id"))
+    of = known.withColumnRenamed("key", "of").join(large.withColumn("_large", F.lit(True)), "file_id", "left").withColumn("few", F.coalesce("few", F.lit(False)) | F.col("_large").isNull())
+    by_few = open_.join(of.where("few").select("file_id", "of"), "file_id").where(near).select("file_id", "key")
+    rest = of.where("not few").select("file_id", "of", F.explode(_grams(F.col("of"))).alias("g"))
+    by_many = open_.join(large, "file_id", "left_semi").select("file_id", "key", F.explode(_grams(F.col("key"))).alias("g")).join(rest, ["file_id", "g"]).where(near).select("file_id", "key")
     return same.unionByName(by_few).unionByName(by_many).distinct()
 
 

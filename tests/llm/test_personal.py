@@ -125,3 +125,9 @@ def test_number_scan_equals_the_pattern(monkeypatch):
     fast = [list(P.numbers(t)) for t in texts]
     monkeypatch.setattr(P, "_numbers_in", P._NUM.finditer)
     assert fast == [list(P.numbers(t)) for t in texts] and sum(map(len, fast)) > 500
+
+
+def test_last_label_is_that_of_the_words_before(corpus):
+    for t in [*corpus, "CPF nº 1", "nº 2", "", "( . 3", "12/3 a@b 4", "Tel.: (", "x" * 200 + " 5"]:
+        for a in range(0, len(t) + 1, 3):
+            assert P.label_before(t, a) == (P.before(t, a) or ["^"])[-1]
