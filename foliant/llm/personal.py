@@ -664,14 +664,18 @@ def _names_learned(people: DataFrame, patterns: DataFrame, instances: DataFrame,
     lefts = lefts.join(place, "instance", "left_anti").join(opening, "_w", "left_anti")
     # words: first names by their instances' scores, last names by the first names they follow
     weight = lefts.groupBy("instance").agg(F.sum("n").alias("n"))
-    scored = weight.join(instances.select("instance", _NAME_SCORE), "instance", "left").select(F.element_at(F.split("instance", " "), 2).alias("first"), F.element_at(F.split("instance", " "), 3).alias("last"), F.coalesce(_NAME_SCORE, F.lit(0.0)).alias("score"), "n")
+    scored = weight.join(instances.select("instance", _NAME_SCORE), "instance", "left").select(F.element_at(F.split("instance", " "), 2).alias("first"), F.element_at(F.split("instance", " "), 3).alias("last"), F.coalesce(_NAME_SCORE, F.lit(0.0)).alias("score"), "n", "instance")
     scored = cut(scored)
     firsts_ = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
     firsts_ = cut(firsts_.where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST)).select("first", "n"))
     follow = scored.where(F.length("last") >= 3).join(firsts_.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
     lasts = follow.join(firsts_.select(F.col("first").alias("last")), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST))
-    seen = people.groupBy("pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("names")).where(F.col("names") >= SURE_NAMES)
-    sure = patterns.where(F.col(_NAME_SCORE) >= SURE).join(seen, "pattern").where("pattern not in ('l ^', 'r $')")
+    # a sure pattern stands around known names for the most part, and has a word of its own
+    lasts = cut(lasts.select("last", "n"))
+    named = scored.join(firsts_.select("first"), "first", "left_semi").join(lasts.select("last"), "last", "left_semi").select("instance", F.lit(1).alias("known"))
+    seen = people.join(named, "instance", "left").groupBy("pattern").agg(F.sum("n").alias("n"), F.countDistinct("instance").alias("names"), (F.sum(F.col("n") * F.coalesce("known", F.lit(0))) / F.sum("n")).alias("share"))
+    seen = seen.where((F.col("names") >= SURE_NAMES) & (F.col("share") >= CONFIDENT))
+    sure = patterns.where((F.col(_NAME_SCORE) >= SURE) & F.col("pattern").rlike(r"^. .*\p{L}\p{L}")).join(seen, "pattern")
     word = lambda df, c, value: df.select(F.concat(F.lit("w "), c).alias("key"), F.lit(value).alias("value"), "n")
     return word(firsts_, "first", "F").unionByName(word(lasts, "last", "L")).unionByName(sure.select(F.col("pattern").alias("key"), F.lit("P").alias("value"), "n"))
 
@@ -738,7 +742,7 @@ class Finder:
             ends += stops[1:]
         for e in ends:
             e = tail(t, e, lambda a, b: (keys.update(f"p {k}" for k, _ in places_in(t, a, b)), _at_line(t, a, b))[1])
-        for w in {w for k in keys if k[0] == "w" for w in (k[2:],)}:
+        for w in {k[2:] for k in keys if k[0] == "w"}:
             keys.update((f"q {w}", f"h {w}", f"h {w}."))
         return sorted(k for k in keys if self._hashed(k))
 
@@ -835,7 +839,7 @@ class Finder:
     def named_by_pattern(self, t: str):
         """(start, end) of capitalised words that a pattern of high confidence makes a name."""
         for first, _last, left, right, a, e in name_contexts(t):
-            if (self.look(f"l {_left(left)}") or self.look(f"r {_right(right)}")) and not _no_person(first, left, right):
+            if (self.look(f"l {_left(left)}") or self.look(f"r {_right(right)}")) and not _no_person(first, left, right) and not (left and self.look(f"q {fold(left[-1])}")):
                 yield a, e
 
     def names(self, t: str):
