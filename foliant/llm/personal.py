@@ -83,7 +83,7 @@ _NUM = re.compile(
     rf"(?<![\w/@.,-])(?:\+|\({{0,2}})(?:[OoQ0]?xx[{_D}]{{2}}|[A-Z]{{2}}{_G}{{6}}(?!\w)|(?<=\()[{_D}]{{2}}(?=\)[ \n-]?{_G})|(?<=\+)[{_D}]{{2}} [OolISBZ|]{{2}}(?= {_G})|(?<=\+)[{_D}]{{1,2}}(?=[ \n]?[ (]{_G})|{_G}(?=[{_D} .()\n-]))"
     rf"[{_D}]*(?:(?:[ .\n-]|\)[ \n-]?|[ \n]?\()?(?<=\D)(?!\d\d?:\d){_GROUP}|[./-]{_G}(?!\w)|\){_G}+|[ \n]?\([{_D}]{{2}}(?=\)[ \n-]?{_G}))*(?:-[A-Z{_D}](?!\w))?"
 )
-_SIGN = re.compile(r"\s?@\s?|\s?[(\[{<]\s?([^\W\d_]{2,8})\s?[)\]}>]\s?")
+_SIGN = re.compile(r"[@(\[{<](?:(?<=@)|\s?([^\W\d_]{2,8})\s?[)\]}>])")
 _BRACKET = re.compile(r"[(\[{<]\s?[^\W\d_]{2,8}\s?[)\]}>]\s?[A-Za-z0-9][\w-]*\.")
 _DOTTED = re.compile(r"\.[^\W\d_]{2}")
 _BARE = re.compile(r"\s([^\W\d_]{2,8})\s$")
@@ -111,7 +111,8 @@ def mails(t: str):
     """Candidate mail addresses: (start, end, local part, domain, sign between them)."""
     if "@" in t or _BRACKET.search(t):
         for m in _SIGN.finditer(t):
-            yield from _mail(t, m.start(), m.end(), f"({m[1].lower()})" if m[1] else "@")
+            a, e = m.span()  # and a blank on either side
+            yield from _mail(t, a - (t[a - 1 : a].isspace()), e + (t[e : e + 1].isspace()), f"({m[1].lower()})" if m[1] else "@")
     done = -1
     for m in _DOTTED.finditer(t):  # a bare word for the sign
         a = m.start()
@@ -157,8 +158,7 @@ def fold(word: str) -> str:
 _FOLD = str.maketrans({"0": "o", "1": "l", "|": "l", "!": "l", "i": "l", "5": "s", "$": "s", "6": "b", "8": "b", "@": "a", "4": "a", "c": "e", "3": "e", "†": "t", "f": "t", "ſ": "t", "9": "g", "q": "g", "'": None, "’": None})
 
 
-def plain(text: str) -> tuple[str, list[int] | None]:
-    """The text without breaks inside words and unseen marks, in one width; and where each character was, if any moved."""
+def _one_width(text: str) -> str:
     try:
         text.encode("latin-1")
         if "\xa0" in text:
@@ -166,11 +166,26 @@ def plain(text: str) -> tuple[str, list[int] | None]:
     except UnicodeEncodeError:
         if _WIDE.search(text):
             text = text.translate(_SAME_WIDTH)
+    return text
+
+
+def _stays(text: str, m: re.Match) -> bool:
+    """A hyphen between parts of a number or address stays."""
+    return "\n" in m[0] and (text[m.start() - 1].isdigit() or text[m.end()].isdigit())
+
+
+def flat(text: str) -> str:
+    """The text of plain, without the places."""
+    text = _one_width(text)
+    return _BREAK.sub(lambda m: m[0][0] if _stays(text, m) else "", text)
+
+
+def plain(text: str) -> tuple[str, list[int] | None]:
+    """The text without breaks inside words and unseen marks, in one width; and where each character was, if any moved."""
+    text = _one_width(text)
     at, out, places = 0, [], []
     for m in _BREAK.finditer(text):
-        # a hyphen between parts of a number or address stays
-        stay = "\n" in m[0] and (text[m.start() - 1].isdigit() or text[m.end()].isdigit())
-        end = m.start() + stay
+        end = m.start() + _stays(text, m)
         out.append(text[at:end])
         places.extend(range(at, end))
         at = m.end()
@@ -209,7 +224,7 @@ _CONTEXT = 96
 def before(t: str, a: int) -> list[str]:
     """Labels of the up to three words before a candidate; "#" for what holds a digit or is an address."""
     words = [w.strip(".:,;()[]-–\"'“”º°") or w for w in t[max(0, a - _CONTEXT) : a].lower().split()[-6:]]
-    words = [_masked(w) for w in words if w and not (set(w) <= _DOTS)]
+    words = [_masked(w) for w in words if w.strip(_DOTS)]
     words = [w for w in words if w not in _NO_LABELS] or words
     return [label(w) for w in words[-3:]]
 
@@ -219,7 +234,7 @@ def label_before(t: str, a: int) -> str:
     last = None
     for w in reversed(t[max(0, a - _CONTEXT) : a].lower().split()[-6:]):
         w = w.strip(".:,;()[]-–\"'“”º°") or w
-        if set(w) <= _DOTS:
+        if not w.strip(_DOTS):
             continue
         w = _masked(w)
         if w not in _NO_LABELS:
@@ -228,7 +243,7 @@ def label_before(t: str, a: int) -> str:
     return label(last) if last else "^"
 
 
-_DOTS = frozenset(".:-(º°")
+_DOTS = ".:-(º°"
 _NO_LABELS = frozenset(["nº", "n", "no", "núm", "número", "number", "sob"])
 _DIGIT_OR_AT = re.compile(r"[\d@]")
 
@@ -468,7 +483,7 @@ def places_in(t: str, a: int, e: int):
 
 def observe(text: str, counts: Counter) -> None:
     """Add a layer's candidates to the counts of graph edges (kind, pattern, instance, seed)."""
-    t, _ = plain(text)
+    t = flat(text)
     for a, e, sh in numbers(t):
         *others, one = before(t, a) or ["^"]
         for p in (f"1 {one}", *(f"< {w}" for w in others if len(w) > 2), f"> {behind(t, e)}"):
