@@ -150,8 +150,12 @@ _PARTED = re.compile(f"[{re.escape(_MARKS)}\u1100-\u11ff]")
 
 def composed(text: str) -> str:
     """Marks in their canonical order and Hangul in syllables: one form of what is canonically equal."""
-    if text.isascii() or _PARTED.search(text) is None:
+    try:
+        text.encode("latin-1")  # no marks or parts of syllables are among these
         return text
+    except UnicodeEncodeError:
+        if _PARTED.search(text) is None:
+            return text
     return _CLUSTER.sub(lambda m: unicodedata.normalize("NFC", m[0]), text)
 
 
