@@ -618,7 +618,7 @@ _ISSUE = "CASE WHEN layer_id % 7 = 0 THEN 'texto parcial' END"
 
 
 def _judged_sql(name: str, column: str) -> str:
-    inner = f"{_stats_sql('choose_best_page_text', 'layer_id', column)}, {_SCORES}".replace("char_count < 30", "char_count < 60").replace("'texto-curto'", "'texto-curto'")
+    inner = f"{_stats_sql('choose_best_page_text', 'layer_id', column)}, {_SCORES}".replace("char_count < 30", "char_count < 60")
     return f"{name} AS (WITH {inner} SELECT * FROM judged)"
 
 
@@ -629,20 +629,20 @@ p AS (SELECT c.layer_id, c.ocr_text IS NOT NULL AS got, {_ISSUE.replace("layer_i
 q AS (SELECT *, nn OR issue IS NOT NULL AS bad, CASE WHEN issue IS NOT NULL THEN list_append(nf, 'camada-nativa-incompleta') ELSE nf END AS flagged FROM p),
 s AS (SELECT *, CASE WHEN NOT got THEN 'nativo' WHEN issue IS NOT NULL AND nc > 0 AND oc > 0 THEN 'nativo+ocr' WHEN nc = 0 AND oc > 0 THEN 'ocr' WHEN nc > 0 AND oc = 0 THEN 'nativo' WHEN nc = 0 THEN 'sem-texto' WHEN bad THEN 'ocr'
   WHEN os >= ns + 10 AND oc >= greatest(20, CAST(trunc(nc * CAST(0.55 AS DOUBLE)) AS BIGINT)) THEN 'ocr' WHEN oc > CAST(trunc(nc * CAST(1.35 AS DOUBLE)) AS BIGINT) AND os + 3 >= ns THEN 'ocr' ELSE 'nativo' END AS source FROM q)
-SELECT layer_id, source, CASE WHEN source = 'nativo+ocr' THEN NULL WHEN source = 'ocr' THEN os WHEN source = 'sem-texto' THEN 0 ELSE ns END AS quality_score,
-  CASE WHEN source = 'nativo+ocr' THEN NULL WHEN source = 'ocr' THEN oo WHEN source = 'sem-texto' THEN true ELSE bad END AS needs_ocr,
-  CASE WHEN source = 'nativo+ocr' THEN NULL WHEN source = 'ocr' THEN array_to_string(fo, ',') WHEN source = 'sem-texto' THEN 'sem-texto' WHEN got THEN '' ELSE array_to_string(flagged, ',') END AS flags, issue IS NOT NULL AS issue FROM s"""
+SELECT layer_id, source, CASE WHEN source = 'nativo+ocr' THEN -1 WHEN source = 'ocr' THEN os WHEN source = 'sem-texto' THEN 0 ELSE ns END AS quality_score,
+  CASE WHEN source = 'nativo+ocr' THEN false WHEN source = 'ocr' THEN oo WHEN source = 'sem-texto' THEN true ELSE bad END AS needs_ocr,
+  CASE WHEN source = 'nativo+ocr' THEN '' WHEN source = 'ocr' THEN array_to_string(fo, ',') WHEN source = 'sem-texto' THEN 'sem-texto' WHEN got THEN '' ELSE array_to_string(flagged, ',') END AS flags, issue IS NOT NULL AS issue FROM s"""
 )
 def final_details(spark: SparkSession, d: str) -> DataFrame:
-    """The details of what is kept of a page, by a threshold of 60; what merging gives is left to merge_layers."""
+    """The details of what is kept of a page, by a threshold of 60; what merging gives (-1 and no flags here) is left to merge_layers."""
     layers = _wide(_t(spark, d, "choose_best_page_text").select(F.col("layer_id").cast("string").alias("path"), F.lit(0).alias("page_index"), F.col("native_text").alias("text"), "ocr_text", F.expr(_ISSUE).alias("extraction_issue")))
     pages = layers.drop("ocr_text").withColumn("source", F.lit("nativo")).withColumn("image_count", F.lit(0)).withColumn("image_coverages", F.lit(None).cast("array<double>"))
     options = pipeline.Options(ocr_threshold=60)
     scored = pipeline.score_pages(pages, options)
     ocr = layers.where("ocr_text is not null").select("path", "page_index", "ocr_text", F.lit(None).cast("string").alias("ocr_error"))
     out = pipeline.final_pages(scored, pipeline.select_ocr_pages(scored), ocr, options)
-    plain = lambda c: F.when(F.col("source") != "nativo+ocr", c)
-    return out.select(F.col("file_id").cast("bigint").alias("layer_id"), "source", plain(F.col("quality_score")).alias("quality_score"), plain(F.col("needs_ocr")).alias("needs_ocr"), plain(F.array_join("quality_flags", ",")).alias("flags"), F.col("extraction_issue").isNotNull().alias("issue"))
+    plain = lambda c, left: F.when(F.col("source") != "nativo+ocr", c).otherwise(left)
+    return out.select(F.col("file_id").cast("bigint").alias("layer_id"), "source", plain(F.col("quality_score"), F.lit(-1)).alias("quality_score"), plain(F.col("needs_ocr"), F.lit(False)).alias("needs_ocr"), plain(F.array_join("quality_flags", ","), F.lit("")).alias("flags"), F.col("extraction_issue").isNotNull().alias("issue"))
 
 
 @query("WITH s AS (SELECT p_partkey, p_partkey % 3000 AS w, p_size * 60 AS h FROM part), f AS (SELECT *, CASE WHEN greatest(w, h) < 1400 THEN least(CAST(2 AS DOUBLE), CAST(1400 AS DOUBLE) / greatest(w, h)) ELSE CAST(1 AS DOUBLE) END AS k FROM s) SELECT p_partkey, CAST(greatest(1, floor(w * k)) AS INTEGER) AS width, CAST(greatest(1, floor(h * k)) AS INTEGER) AS height FROM f")
