@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -15,6 +16,7 @@ LOCAL_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -41,5 +43,6 @@ def ship(spark: SparkSession) -> SparkSession:
     with os.fdopen(fd, "wb") as f:
         f.write(packed.getvalue())
     sc.addPyFile(name)  # copied from the driver to each executor
+    atexit.register(Path(name).unlink, missing_ok=True)
     sc._foliant_shipped = True
     return spark
