@@ -214,7 +214,7 @@ def form(shape_: str) -> str:
 @lru_cache(maxsize=100_000)
 def label(word: str) -> str:
     """One form for a word before a number: "C.P.F.", "cpf/mf" and a misread "CPf" are one label."""
-    return fold(re.sub(r"[^\w]", "", word.split("/")[0])) or word
+    return fold(re.sub(r"[^\w@|!†$]", "", word.split("/")[0])) or word
 
 
 #: Characters around a candidate in which the words of its context are looked for.
@@ -224,7 +224,7 @@ _CONTEXT = 96
 def before(t: str, a: int) -> list[str]:
     """Labels of the up to three words before a candidate; "#" for what holds a digit or is an address."""
     words = [w.strip(".:,;()[]-–\"'“”º°") or w for w in t[max(0, a - _CONTEXT) : a].lower().split()[-6:]]
-    words = [_masked(w) for w in words if w.strip(_DOTS)]
+    words = [_unread(w) for w in words if w.strip(_DOTS)]
     words = [w for w in words if w not in _NO_LABELS] or words
     return [label(w) for w in words[-3:]]
 
@@ -236,7 +236,7 @@ def label_before(t: str, a: int) -> str:
         w = w.strip(".:,;()[]-–\"'“”º°") or w
         if not w.strip(_DOTS):
             continue
-        w = _masked(w)
+        w = _unread(w)
         if w not in _NO_LABELS:
             return label(w)
         last = last or w
@@ -252,7 +252,18 @@ def _masked(word: str) -> str:
     return "#" if _DIGIT_OR_AT.search(word) else word
 
 
+def _unread(word: str) -> str:
+    """As _masked, but a word in which a scanner took some letters for digits or signs stays: "te1efone", "protoc@lo"."""
+    if not _DIGIT_OR_AT.search(word):
+        return word
+    letters = sum(map(str.isalpha, word))
+    return word if letters > 3 and letters >= 2 * (len(word) - letters) and "." not in word else "#"
+
+
 def behind(t: str, e: int) -> str:
+    """The words behind a number in its sentence."""
+    if t[e : e + 1] == "." and t[e + 1 : e + 2].isspace():
+        return ""
     return " ".join(_masked(w) for w in t[e : e + 32].lower().split()[:3] if w not in (",", ".", ";"))
 
 
@@ -486,7 +497,8 @@ def observe(text: str, counts: Counter) -> None:
     t = flat(text)
     for a, e, sh in numbers(t):
         *others, one = before(t, a) or ["^"]
-        for p in (f"1 {one}", *(f"< {w}" for w in others if len(w) > 2), f"> {behind(t, e)}"):
+        after = behind(t, e)
+        for p in (f"1 {one}", *(f"< {w}" for w in others if len(w) > 2), *([f"> {after}"] if after else [])):
             counts[("n", p, f"{one}\t{sh}\t{form(sh)}", -1)] += 1
         counts[("n", f"1 {one}", f"\t\t{form(sh)}", -1)] += 1  # labels of one form are near each other
     locals_ = []
@@ -683,7 +695,10 @@ def _names_learned(people: DataFrame, patterns: DataFrame, instances: DataFrame,
     scored = cut(scored)
     firsts_ = scored.where(F.length("first") >= 3).groupBy("first").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
     firsts_ = cut(firsts_.where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST)).select("first", "n"))
-    follow = scored.where(F.length("last") >= 3).join(firsts_.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg((F.sum(F.coalesce("known", F.lit(0)) * F.col("n")) / F.sum("n")).alias("s"), F.sum("n").alias("n"))
+    follow = scored.where(F.length("last") >= 3).join(firsts_.select("first", F.lit(1).alias("known")), "first", "left").groupBy("last").agg(F.sum(F.coalesce("known", F.lit(0)) * F.col("n")).alias("behind"), F.sum("n").alias("n"))
+    follow = cut(follow.select("last", "n", "behind", (F.col("behind") / F.col("n")).alias("s")))
+    # a last name stands first now and then, in a large table more than LEAST times: a word is what it is more often
+    firsts_ = cut(firsts_.join(follow.select(F.col("last").alias("first"), "behind"), "first", "left").where(F.col("n") >= F.coalesce("behind", F.lit(0))).select("first", "n"))
     lasts = follow.join(firsts_.select(F.col("first").alias("last")), "last", "left_anti").where((F.col("s") >= CONFIDENT) & (F.col("n") >= LEAST))
     # a sure pattern stands around known names for the most part, and has a word of its own
     lasts = cut(lasts.select("last", "n"))
@@ -715,6 +730,7 @@ def learn(pages: DataFrame, held: int | None = None) -> Learned:
         for h in rest.select((F.crc32("key") % HASHES).alias("h")).distinct().toPandas()["h"]:
             bits[h >> 3] |= 1 << (h & 7)
         out.rest, out.hashes = rest, bytes(bits)
+        out.places = out.places or not rest.where(F.startswith("key", F.lit("p "))).isEmpty()
     return out
 
 
@@ -755,8 +771,18 @@ class Finder:
         for _a, words, stops in firsts(t):
             keys.update(f"t {street_key(w)}" for w in words[1:])
             ends += stops[1:]
-        for e in ends:
-            e = tail(t, e, lambda a, b: (keys.update(f"p {k}" for k, _ in places_in(t, a, b)), _at_line(t, a, b))[1])
+        done: set[int] = set()
+
+        def place(a: int, b: int) -> int:
+            for key, end in places_in(t, a, b):
+                keys.add(f"p {key}")
+                ends.append(end)  # the address may go on behind each of them
+            return _at_line(t, a, b)
+
+        while ends:
+            if (e := ends.pop()) not in done:
+                done.add(e)
+                tail(t, e, place)
         for w in {k[2:] for k in keys if k[0] == "w"}:
             keys.update((f"q {w}", f"h {w}", f"h {w}."))
         return sorted(k for k in keys if self._hashed(k))
@@ -851,6 +877,12 @@ class Finder:
             kind = best
         return None if kind == "-" else kind
 
+    def farther_type(self, sh: str, words: list[str]) -> str | None:
+        """The type of a form whose label is against it, where a seed farther off is for it: "phone on file:"."""
+        shares = _shares(self.look(f"f {form(sh)}") or "")
+        best = max(shares, key=shares.__getitem__, default="-")
+        return best if best != "-" and shares[best] >= CONFIDENT and best in map(_SEED_LABELS.get, words) else None
+
     def named_by_pattern(self, t: str):
         """(start, end) of capitalised words that a pattern of high confidence makes a name."""
         for first, _last, left, right, a, e in name_contexts(t):
@@ -931,7 +963,11 @@ class Finder:
         for a, e in self.addresses(t):
             take("ADDRESS", a, e)
         for a, e, sh in numbers(t):
-            if kind := self.number_type(sh, label_before(t, a)):
+            one = label_before(t, a)
+            kind = self.number_type(sh, one)
+            if kind is None and _SEED_LABELS.get(one) == "-":
+                kind = self.farther_type(sh, before(t, a)[:-1])
+            if kind:
                 take(kind, a, e)
         if self.has_names(t):
             for a, e in self.names(t):

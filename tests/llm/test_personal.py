@@ -131,3 +131,49 @@ def test_last_label_is_that_of_the_words_before(corpus):
     for t in [*corpus, "CPF nº 1", "nº 2", "", "( . 3", "12/3 a@b 4", "Tel.: (", "x" * 200 + " 5"]:
         for a in range(0, len(t) + 1, 3):
             assert P.label_before(t, a) == (P.before(t, a) or ["^"])[-1]
+
+
+def layers(spark, texts):
+    return spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "layer_id bigint, native_text string, ocr_text string")
+
+
+@pytest.mark.parametrize("times", [1, 25])
+def test_a_last_name_that_stands_first_now_and_then_stays_one(spark, corpus, times):
+    # in a table 25 times as large, what stands wrong is there 25 times as often
+    wrong = [f"Compareceu glória dos {n} Telvorin, CPF 184.000.299-99, com domicílio." for n in ("Ardovaz", "Quirelles")]
+    k = P.learn(layers(spark, [*corpus, *wrong] * times))
+    for n in ("Ardovaz", "Quirelles", "Telvorin", "Seprano"):
+        assert found(k, f"À tarde veio {n}, Bruna sozinha. Então disse helena {n.lower()} que sim.") == [("NAME", f"{n}, Bruna"), ("NAME", f"helena {n.lower()}")]
+
+
+def test_places_behind_each_end_of_a_place_are_asked_for(known):
+    text = "Mora na Av. do Moinho, 45, Serra\nLisa, Nova Candeia, à tarde."
+    rest = P.Learned(held={k: v for k, v in known.held.items() if k[0] != "p"}, hashes=b"\xff" * (P.HASHES // 8), places=True)
+    asked = P.Finder(rest).open_keys(text)
+    assert {"p serra hsa", "p nova eandela"} <= set(asked)
+    assert P.Finder(rest).spans(text, {k: known.held[k] for k in asked if k in known.held and k[0] == "p"}) == P.Finder(known).spans(text)
+
+
+def test_the_next_sentence_tells_nothing_of_a_number(spark, corpus):
+    more = []
+    for i in range(40):
+        after = ("The audit ended.", "The witness left.", "Even so, it rained.")[i % 3]
+        more += [f"He showed tax number 732 232 8{i:02d}. {after}", f"He showed ID card no. 991{i:02d}208-U. {after}", *[f"O protocolo 793.649.6{i:02d}-54. {after}"] * 20]
+    k = P.learn(layers(spark, [*corpus, *more]))
+    assert found(k, "He showed ID card no. 99104208-U. The audit ended.") == [("ID_NUMBER", "99104208-U")]
+    assert P.behind("CPF 1. The audit", 5) == "" and P.behind("CPF 1, the audit", 5) == "the audit"
+
+
+def test_damaged_labels_are_labels(known):
+    assert P.label_before("O te1efone 5", 11) == P.label("telefone") and P.label_before("O pr|t@colo 5", 12) == P.label("prltacolo")
+    for t in ("lote AB92-15 5", "bruna.s@posta.invalid 5", "às 12h47min 5", "a@b 5"):
+        assert P.label_before(t, len(t) - 1) == "#"
+    assert found(known, "O pr0toco1o 184.000.211-99 sumiu.") == []
+
+
+def test_a_phone_on_file(known):
+    assert found(known, "Phone on file: (30) 93288-1111. See file 134-54/2023.") == [("PHONE", "(30) 93288-1111")]
+
+
+def test_places_among_the_rest_count(spark, corpus):
+    assert P.learn(layers(spark, corpus), 1).places
